@@ -50,7 +50,7 @@ def window_stats(
 
 def build(
     obs: DataFrame,
-    sites: DataFrame,
+    sites: DataFrame | None,
     pre: Span = P.PRE_PERIOD,
     post: Sequence[Span] = (),
     keys: Sequence[str] = ("site_id", "orbit"),
@@ -79,7 +79,8 @@ def build(
     folded = stats.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("win"), vec.alias("s")))).alias("_by_win")
     )
-    grid = folded.join(sites, list(site_keys), "left").select("*", F.inline(window_array(post)))
+    described = folded if sites is None else folded.join(sites, list(site_keys), "left")
+    grid = described.select("*", F.inline(window_array(post)))
     grid = grid.withColumn("label", window_label(F.col("end_post"), change_date))
     if severe_col:
         grid = grid.where((F.col("label") == 0) | (F.col(severe_col) <= F.col("end_post")))
@@ -97,7 +98,7 @@ def build(
         for r in reducers
     ]
     counts = [F.coalesce(F.col(f"{side}.n"), F.lit(0)).alias(f"n_tiles_{p}") for p, side in periods]
-    meta = [c for c in sites.columns if c not in site_keys]
+    meta = [c for c in sites.columns if c not in site_keys] if sites is not None else []
     return grid.select(
         *keys, *meta, "win",
         F.lit(pre[0]).alias("start_pre"), F.lit(pre[1]).alias("end_pre"), "start_post", "end_post", "label",
@@ -114,10 +115,7 @@ def from_pixels(
     pixels: DataFrame, pre: Span, post: Sequence[Span], keys: Sequence[str] = ("tile", "row", "col", "orbit"), **kw
 ) -> DataFrame:
     """Feature rows per pixel: the same plan keyed by cell, every window kept."""
-    cells = pixels.select(*keys[:-1]).distinct()
-    return build(
-        pixels, cells, pre, post, keys=keys, site_keys=tuple(keys[:-1]), severe_col=None, **kw
-    )
+    return build(pixels, None, pre, post, keys=keys, severe_col=None, **kw)
 
 
 def drop_incomplete(features: DataFrame, cols: Sequence[str]) -> DataFrame:
