@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from changemap.plans import q_features, q_geo, q_labels, q_model, q_predict
+from changemap.plans import q_features, q_geo, q_io, q_labels, q_model, q_predict
 
-MODULES = (q_features, q_labels, q_predict, q_geo, q_model)
+MODULES = (q_features, q_labels, q_predict, q_geo, q_model, q_io)
 
 
 def queries():

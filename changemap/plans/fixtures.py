@@ -59,24 +59,17 @@ def sites(spark, sf) -> DataFrame:
 
 
 def assess(spark, sf) -> DataFrame:
-    """Assessments, long: every twentieth shipment of a supplier after the change."""
-    from pyspark.sql import Window
-
-    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
-    w = Window.partitionBy("l_suppkey").orderBy(*order)
+    """Assessments, long: a supplier's shipments after the change fall into 14
+    epochs of four months; the first one of an epoch gives its date and class."""
+    d = _day("l_shipdate")
     m = F.col("l_orderkey") % 7
     damage = F.when(m == 0, F.lit(11)).otherwise(m.cast("int"))
+    ep = F.least((F.year(d) - 1997) * 3 + F.floor((F.month(d) - 1) / 4) + 1, F.lit(P.N_EPOCHS)).cast("int")
     return (
         table(spark, sf, "lineitem")
-        .where(_day("l_shipdate") >= F.lit(CHANGE))
-        .withColumn("rn", F.row_number().over(w))
-        .where((F.col("rn") % 20 == 1) & (F.col("rn") <= 261))
-        .select(
-            F.col("l_suppkey").alias("site_id"),
-            ((F.col("rn") + 19) / 20).cast("int").alias("ep"),
-            damage.alias("damage"),
-            _day("l_shipdate").alias("date"),
-        )
+        .where(d >= F.lit(CHANGE))
+        .groupBy(F.col("l_suppkey").alias("site_id"), ep.alias("ep"))
+        .agg(F.min_by(damage, F.struct(d, F.col("l_orderkey"))).alias("damage"), F.min(d).alias("date"))
     )
 
 
@@ -253,14 +246,11 @@ SELECT s_suppkey AS site_id, r_name AS aoi, n_name AS adm2_name,
        34.2e0 + (s_suppkey * 7919 % 3500) / 1e4 AS lon, 31.2e0 + (s_suppkey * 104729 % 4000) / 1e4 AS lat
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "assess": """
-SELECT site_id, CAST((rn + 19) // 20 AS INT) AS ep, damage, d AS date FROM (
-  SELECT l_suppkey AS site_id,
-         CASE WHEN l_orderkey % 7 = 0 THEN 11 ELSE CAST(l_orderkey % 7 AS INT) END AS damage,
-         CAST(l_shipdate AS DATE) AS d,
-         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber,
-                            l_partkey, l_quantity, l_extendedprice) AS rn
-  FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1997-01-07') t
-WHERE rn % 20 = 1 AND rn <= 261""",
+SELECT l_suppkey AS site_id,
+       CAST(least((year(l_shipdate) - 1997) * 3 + (month(l_shipdate) - 1) // 4 + 1, 14) AS INT) AS ep,
+       first(CASE WHEN l_orderkey % 7 = 0 THEN 11 ELSE CAST(l_orderkey % 7 AS INT) END ORDER BY l_shipdate, l_orderkey) AS damage,
+       CAST(min(l_shipdate) AS DATE) AS date
+FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1997-01-07' GROUP BY ALL""",
     "preds": """
 SELECT s_suppkey AS site_id, orbit, win,
        (s_suppkey * 31 + win * 17 + orbit + CASE WHEN win > 7 THEN 60 ELSE 0 END) % 256 / 255e0 AS prob

@@ -101,7 +101,7 @@ def window_ids(spark, sf):
 def window_pairs(spark, sf):
     """Sites x pre periods x post periods."""
     pre2 = [X.PRE, X.POST[0]]
-    return windows.pairs(X.sites(spark, sf).select("site_id", "aoi"), pre2, X.POST[:4]).drop("win")
+    return windows.pairs(X.sites(spark, sf).select("site_id", "aoi"), pre2, X.POST).drop("win")
 
 
 def windows_from_names(spark, sf):
@@ -283,7 +283,7 @@ WHERE w.label = 0 OR y.date_first_severe <= w.end_post GROUP BY ALL""",
     + "SELECT win, count(*) AS n, max(obs_date) AS last FROM obs JOIN windows ON obs_date >= start_post AND obs_date < end_post GROUP BY ALL",
     "window_ids": X.with_views("sites", windows=X.POST)
     + "SELECT site_id, win, start_post, end_post, label, printf('w%02d_%s_%s', win, CAST(start_post AS VARCHAR), CAST(end_post AS VARCHAR)) AS window_id FROM sites CROSS JOIN windows",
-    "window_pairs": X.with_views("sites", windows=X.POST[:4])
+    "window_pairs": X.with_views("sites", windows=X.POST)
     + f"""SELECT site_id, aoi, p.start_pre, p.end_pre, start_post, end_post FROM sites CROSS JOIN windows CROSS JOIN
  (VALUES (DATE '{X.PRE[0]}', DATE '{X.PRE[1]}'), (DATE '{X.POST[0][0]}', DATE '{X.POST[0][1]}')) p(start_pre, end_pre)""",
     "windows_from_names": X.with_views("obs", windows=X.POST)

@@ -210,7 +210,8 @@ def building_classify(spark, sf):
 
 def building_classify_strict(spark, sf):
     """Needs a value in all six windows before the change; area above 50 m2."""
-    some = _dated(_scores(spark, sf)).where((F.col("building_id") + F.month("start_post")) % 13 != 0)
+    gap = (F.col("building_id") + F.month("start_post")) % 13 == 0
+    some = _dated(_scores(spark, sf)).withColumn("weighted_mean", F.when(~gap, F.col("weighted_mean")))
     out = B.classify(some, change_date=X.CHANGE, strict=True, n_pre=6)
     b = X.buildings(spark, sf).where(area_at_least("area_m2", inclusive=False)).select("building_id")
     return out.join(b, "building_id").select("building_id", "damaged")
@@ -277,12 +278,12 @@ def stats_totals(spark, sf):
 
 
 def pixel_boxes(spark, sf):
-    px = pixels.centres(X.pixels(spark, sf).where(F.col("win") == 1), GRID)
-    return pixels.to_boxes(px, P.PIXEL_M).select("row", "col", "pred", "minx", "miny", "maxx", "maxy")
+    px = pixels.centres(X.pixels(spark, sf), GRID)
+    return pixels.to_boxes(px, P.PIXEL_M).select("win", "row", "col", "pred", "minx", "miny", "maxx", "maxy")
 
 
 def pixel_focal_mean(spark, sf):
-    p = X.pixels(spark, sf).where((F.col("row") + F.col("col")) % 3 != 0)
+    p = X.pixels(spark, sf).withColumn("pred", F.when((F.col("row") + F.col("col")) % 3 != 0, F.col("pred")))
     return pixels.focal_mean(p, ["pred"], 3, ["win"]).withColumns(X.round6("pred"))
 
 
@@ -590,8 +591,8 @@ ORACLES = {
     "building_max_pre_post": _b() + f"SELECT building_id, {X.r6('max_pre')} AS max_pre, {X.r6('max_post')} AS max_post FROM pp",
     "building_classify": _b() + f"SELECT building_id, {X.r6('max_pre')} AS max_pre, {X.r6('max_post')} AS max_post, damaged FROM cl",
     "building_classify_strict": _b(
-        "st AS (SELECT building_id, count(*) FILTER (start_post < DATE '1997-01-07') AS n, max(weighted_mean) FILTER (start_post < DATE '1997-01-07') AS a,"
-        " max(weighted_mean) FILTER (start_post >= DATE '1997-01-07') AS b FROM sc JOIN windows w ON w.win = sc.win WHERE (building_id + month(start_post)) % 13 <> 0 GROUP BY building_id)"
+        "st AS (SELECT building_id, count(m) FILTER (start_post < DATE '1997-01-07') AS n, max(m) FILTER (start_post < DATE '1997-01-07') AS a,"
+        " max(m) FILTER (start_post >= DATE '1997-01-07') AS b FROM (SELECT building_id, start_post, CASE WHEN (building_id + month(start_post)) % 13 <> 0 THEN weighted_mean END AS m FROM sc JOIN windows w ON w.win = sc.win) GROUP BY building_id)"
     )
     + "SELECT st.building_id, CASE WHEN n = 6 AND a < 170 AND b >= 170 THEN 1 ELSE 0 END AS damaged FROM st JOIN buildings bu ON bu.building_id = st.building_id WHERE area_m2 > 50",
     "building_with_preds_left": _b() + "SELECT bu.building_id, area_m2, damaged FROM buildings bu LEFT JOIN cl ON cl.building_id = bu.building_id",
@@ -606,8 +607,8 @@ ORACLES = {
     "stats_admin_damage": _b(_REPORT) + f"SELECT adm2_name, count(*) FILTER (area_m2 > 50) AS n_buildings, count(*) FILTER (area_m2 > 50 AND damaged = 1) AS n_buildings_damaged, {X.r6('100e0 * count(*) FILTER (area_m2 > 50 AND damaged = 1) / nullif(count(*) FILTER (area_m2 > 50), 0)')} AS perc_damaged FROM rt GROUP BY adm2_name",
     "stats_temporal_curve": _b() + f"SELECT adm2_name, start_post, {X.r6('avg(weighted_mean)')} AS mean_value FROM sc JOIN windows w ON w.win = sc.win JOIN buildings bu ON bu.building_id = sc.building_id GROUP BY ALL",
     "stats_totals": _b() + f"SELECT count(*) AS n_total, CAST(sum(damaged) AS BIGINT) AS n_damaged, CAST(sum(1 - damaged) AS BIGINT) AS n_undamaged, {X.r6('avg(damaged) * 100')} AS pct_damaged, {X.r6('avg(1 - damaged) * 100')} AS pct_undamaged FROM cl",
-    "pixel_boxes": X.with_views("pixels") + "SELECT row, col, pred, col * 1e1 AS minx, row * 1e1 AS miny, col * 1e1 + 10 AS maxx, row * 1e1 + 10 AS maxy FROM pixels WHERE win = 1",
-    "pixel_focal_mean": X.with_views("pixels", extra=("p AS (SELECT * FROM pixels WHERE (row + col) % 3 <> 0)",))
+    "pixel_boxes": X.with_views("pixels") + "SELECT win, row, col, pred, col * 1e1 AS minx, row * 1e1 AS miny, col * 1e1 + 10 AS maxx, row * 1e1 + 10 AS maxy FROM pixels",
+    "pixel_focal_mean": X.with_views("pixels", extra=("p AS (SELECT win, row, col, CASE WHEN (row + col) % 3 <> 0 THEN pred END AS pred FROM pixels)",))
     + f"SELECT a.win, a.row, a.col, {X.r6('avg(b.pred)')} AS pred FROM p a JOIN p b ON b.win = a.win AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY a.win, a.row, a.col",
     "pixel_mosaic": X.with_views("pixels") + """SELECT win, row, col, CASE WHEN b <> 0 THEN b WHEN a <> 0 THEN a ELSE 0 END AS pred FROM (SELECT win, row, col,
  CASE WHEN (row + col * 3 + win) % 3 = 0 THEN 0 ELSE CAST((pred + 7) % 256 AS INT) END AS b, CASE WHEN (row + col * 3 + win) % 2 = 0 THEN 0 ELSE pred END AS a FROM pixels)""",

@@ -148,7 +148,7 @@ def scenes_optical(spark, sf):
         k.alias("image_id"), (k % 100 / F.lit(1e1)).alias("B2"), (k % 90 / F.lit(1e1)).alias("B8"),
         F.col("o_totalprice").alias("B99"),
     )
-    scores = X.table(spark, sf, "orders").where(k % 10 != 3).select(
+    scores = X.table(spark, sf, "orders").where(F.col("o_orderpriority") != "5-LOW").select(
         k.alias("image_id"), (F.col("o_custkey") % 11 / F.lit(1e1)).alias("cs")
     )
     return scenes.select_optical(images, scores, ("B2", "B8"))
@@ -249,7 +249,7 @@ ORACLES = {
     "scenes_radar_any_platform": X.with_views("scenes")
     + "SELECT platform, aoi_no, count(*) AS n FROM scenes WHERE list_contains(polarisation, 'HH') AND mode = 'IW' AND aoi_no IN (1, 2) GROUP BY ALL",
     "scenes_optical": """WITH i AS (SELECT o_orderkey AS image_id, o_orderkey % 100 / 1e1 AS B2, o_orderkey % 90 / 1e1 AS B8 FROM orders),
-s AS (SELECT o_orderkey AS image_id, o_custkey % 11 / 1e1 AS cs FROM orders WHERE o_orderkey % 10 <> 3)
+s AS (SELECT o_orderkey AS image_id, o_custkey % 11 / 1e1 AS cs FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT i.image_id, CASE WHEN cs >= 0.6e0 THEN B2 END AS B2, CASE WHEN cs >= 0.6e0 THEN B8 END AS B8,
  CASE WHEN cs >= 0.6e0 THEN cs END AS cs FROM i JOIN s ON s.image_id = i.image_id""",
     "scenes_valid_orbits": _VALID + "SELECT aoi, string_agg(CAST(orbit AS VARCHAR), ',' ORDER BY orbit) AS valid_orbits FROM v GROUP BY aoi",

@@ -12,7 +12,7 @@ from changemap.plans import fixtures as X
 def scored(spark, sf):
     """Pseudo-probabilities with area and window start; every eleventh is missing."""
     p = X.preds(spark, sf).withColumn("start_post", F.element_at(windows.window_array(X.POST), F.col("win"))["start_post"])
-    p = p.where((F.col("site_id") + F.col("win") * 3) % 11 != 0)
+    p = p.withColumn("prob", F.when((F.col("site_id") + F.col("win") * 3) % 11 != 0, F.col("prob")))
     return p.join(X.sites(spark, sf).select("site_id", "aoi"), "site_id")
 
 
@@ -26,8 +26,8 @@ def orbit_mean(spark, sf):
 
 
 _SCORED = (
-    "scored AS (SELECT p.*, s.aoi, w.start_post FROM preds p JOIN sites s ON s.site_id = p.site_id"
-    " JOIN windows w ON w.win = p.win WHERE (p.site_id + p.win * 3) % 11 <> 0)",
+    "scored AS (SELECT p.site_id, p.orbit, p.win, CASE WHEN (p.site_id + p.win * 3) % 11 <> 0 THEN prob END AS prob, s.aoi, w.start_post FROM preds p JOIN sites s ON s.site_id = p.site_id"
+    " JOIN windows w ON w.win = p.win)",
     "sp AS (SELECT site_id, aoi, start_post, avg(prob) AS prob, CAST(trunc(avg(prob) * 255e0 + 1e-9) AS INT) AS pred FROM scored GROUP BY ALL)",
 )
 
@@ -243,7 +243,7 @@ ORACLES = {
     + "SELECT site_id, aoi, "
     + ", ".join(f"max(pred) FILTER (start_post = DATE '{s}') AS \"pred_{s}\"" for s, _ in X.POST)
     + " FROM sp GROUP BY site_id, aoi",
-    "predict_long_again": _head() + "SELECT site_id, aoi, start_post, pred FROM sp",
+    "predict_long_again": _head() + "SELECT site_id, aoi, start_post, pred FROM sp WHERE pred IS NOT NULL",
     "predict_attach_labels": _head()
     + "SELECT sp.site_id, aoi, start_post, pred, date_first_severe AS date, damage_max FROM sp LEFT JOIN (SELECT * FROM site_summary WHERE damage_max <= 2) y ON y.site_id = sp.site_id",
     "predict_append_train": _head()
