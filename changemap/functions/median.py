@@ -1,12 +1,10 @@
 """Exact grouped medians that do not need a whole group in one task.
 
-``median`` keeps every distinct value of a group in one buffer.  That is right
-for a time series of some dozens of images and wrong for a group that holds a
-large share of all rows, so groups above ``hot_rows`` are split off: their
+Ranking a group sorts it in one task.  That is right for a time series of some
+dozens of images and wrong for a group that holds a large share of all rows, so
+groups above ``hot_rows`` are split off: their
 values are narrowed to the slice holding the middle rank by counting equal-width
 bins (at most ``bins`` rows per group travel), and only that slice is ranked.
-The list of hot groups has at most ``rows / hot_rows`` entries, which bounds what
-is broadcast.  With no hot group the split-off side is empty at run time.
 """
 
 from __future__ import annotations
@@ -18,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changemap import params as P
+from changemap.session import materialise
+
+BROADCAST_KEYS = 100_000
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = P.HOT_GROUP_ROWS) -> DataFrame:
@@ -25,10 +26,18 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = P.HOT_GROUP_R
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of hot groups); keys must not be null."""
-    hot = F.broadcast(hot_groups(df, keys, hot_rows))
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """The hot groups' keys, or None when there are none.
+
+    One counting pass over the key columns, combined before its shuffle.  The list
+    is written once and broadcast only when it is short enough.
+    """
+    hot = hot_groups(df, keys, hot_rows)
+    n = hot.limit(BROADCAST_KEYS + 1).count()
+    if n == 0:
+        return None
+    hot = materialise(hot, "hot")
+    return F.broadcast(hot) if n <= BROADCAST_KEYS else hot
 
 
 def range_split_median(
@@ -77,6 +86,19 @@ def range_split_median(
     return pick(counted, "_v").groupBy(*keys).agg(F.avg("_v").alias(value))
 
 
+def _ranked(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Rows with the rank of each value in its group and the number of values."""
+    part = Window.partitionBy(*keys)
+    ranks = [F.row_number().over(part.orderBy(F.col(c).asc_nulls_last())).alias(f"_r_{c}") for c in cols]
+    return df.select("*", *ranks, *[F.count(c).over(part).alias(f"_n_{c}") for c in cols])
+
+
+def _middle(c: str) -> Column:
+    """Mean of the one or two middle values of a ranked column."""
+    twice = F.col(f"_r_{c}") * 2
+    return F.avg(F.when((twice >= F.col(f"_n_{c}")) & (twice <= F.col(f"_n_{c}") + 2), F.col(c)))
+
+
 def grouped_agg(
     df: DataFrame,
     keys: Sequence[str],
@@ -87,15 +109,27 @@ def grouped_agg(
     """``groupBy(keys).agg(aggs + medians)`` with hot groups' medians range-split.
 
     ``medians`` maps output name to input column.  ``aggs`` must be mergeable
-    aggregates of fixed size, which Spark combines before the shuffle.
-    ``hot_rows=None`` states that every group is small.
+    aggregates of fixed size.  Ordinary groups are shuffled once by key and sorted,
+    ranks mark the middle values, and everything else is a plain hash aggregate on
+    the same partitioning: mixing ``median`` itself into the aggregate would push
+    all of it onto the much slower object-based path.  ``hot_rows=None`` states that
+    every group is small.
     """
     keys = list(keys)
-    native = [F.median(c).alias(o) for o, c in medians.items()]
-    if hot_rows is None or not medians:
-        return df.groupBy(*keys).agg(*aggs, *native)
-    cold, hot = split_hot(df, keys, hot_rows)
-    cold_out = cold.groupBy(*keys).agg(*aggs, *native)
+    if not medians:
+        return df.groupBy(*keys).agg(*aggs)
+    middle = [_middle(c).alias(o) for o, c in medians.items()]
+
+    def ranked_agg(rows: DataFrame) -> DataFrame:
+        return _ranked(rows, keys, list(medians.values())).groupBy(*keys).agg(*aggs, *middle)
+
+    if hot_rows is None:
+        return ranked_agg(df)
+    hot_keys = find_hot(df, keys, hot_rows)
+    if hot_keys is None:
+        return ranked_agg(df)
+    cold_out = ranked_agg(df.join(hot_keys, keys, "left_anti"))
+    hot = df.join(hot_keys, keys, "left_semi")
     parts = [hot.groupBy(*keys).agg(*aggs)] if aggs else [hot.select(*keys).distinct()]
     parts += [range_split_median(hot, keys, c).withColumnRenamed(c, o) for o, c in medians.items()]
     hot_out = reduce(lambda a, b: a.join(b, keys, "left"), parts)

@@ -15,40 +15,24 @@ from pyspark.sql import functions as F
 from changemap import params as P
 
 
-def _skew(v: Column) -> Column:
-    n = F.count(v)
-    return (
-        F.when(n < 3, F.lit(None).cast("double"))
-        .when(F.min(v) == F.max(v), F.lit(0.0))
-        .otherwise(F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2))
-    )
-
-
-def _kurtosis(v: Column) -> Column:
-    n = F.count(v)
-    return (
-        F.when(n < 4, F.lit(None).cast("double"))
-        .when(F.min(v) == F.max(v), F.lit(0.0))
-        .otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(v) + 6))
-    )
-
-
 _REDUCERS = {
-    "mean": F.avg,
-    "stdDev": F.stddev_samp,
-    "median": F.median,
-    "min": F.min,
-    "max": F.max,
-    "skew": _skew,
-    "kurtosis": _kurtosis,
+    "mean": "avg({v})",
+    "stdDev": "stddev_samp({v})",
+    "median": "median({v})",
+    "min": "min({v})",
+    "max": "max({v})",
+    "skew": """CASE WHEN count({v}) < 3 THEN NULL WHEN min({v}) = max({v}) THEN 0D
+        ELSE skewness({v}) * sqrt(count({v}) * (count({v}) - 1)) / (count({v}) - 2) END""",
+    "kurtosis": """CASE WHEN count({v}) < 4 THEN NULL WHEN min({v}) = max({v}) THEN 0D
+        ELSE (count({v}) - 1) / ((count({v}) - 2) * (count({v}) - 3)) * ((count({v}) + 1) * kurtosis({v}) + 6) END""",
 }
 
 
-def reducer(name: str, value: Column | str) -> Column:
-    """Aggregate expression for one reducer name; unknown names raise."""
+def reducer(name: str, value: str) -> Column:
+    """Aggregate of a column for one reducer name; unknown names raise."""
     if name not in _REDUCERS:
         raise ValueError(f"unknown reducer {name!r}; use one of {sorted(_REDUCERS)}")
-    return _REDUCERS[name](F.col(value) if isinstance(value, str) else value)
+    return F.expr(_REDUCERS[name].format(v=f"`{value}`"))
 
 
 def moments(value: str, names: Sequence[str] = P.REDUCERS, prefix: str | None = None) -> list[Column]:

@@ -1,11 +1,11 @@
 """Pre/post window features per site, orbit and window.
 
-The plan has one pass over the observations.  Each observation is tagged with
-the windows it falls in (the pre period is window 0), all statistics come out of
-one grouped aggregate whose fixed-size states combine before the shuffle, and the
-window rows of a site are folded into one map of at most ``len(post)+1`` entries
-so that every window row, including windows without images, is produced by a
-row-local explode instead of two left joins.
+Each observation is tagged with the windows it falls in (the pre period is window
+0), and all statistics of a site, orbit and window come out of one shuffle, so the
+pre period is computed once instead of once per window.  The window rows of a site
+are then folded into one map of at most ``len(post)+2`` entries, so that every
+window row, including windows without images, is produced by a row-local explode
+instead of two left joins.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from changemap.functions.median import grouped_agg
 from changemap.functions.moments import reducer
 from changemap.functions.names import feature_name
 from changemap.functions.scalars import nan_to_null
-from changemap.operators.windows import Span, matching, window_array, window_label
+from changemap.operators.windows import Span, tag, window_array, window_label
 
 
 def window_stats(
@@ -37,11 +37,8 @@ def window_stats(
     """``keys, win, n, {band}_{reducer}...``; win 0 is the pre period and -1
     marks keys that have observations outside every window."""
     keys = list(keys)
-    tags = F.transform(matching(F.col(date_col), [pre, *post], first=0), lambda w: w["win"])
-    tags = F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit(-1)))
-    rows = obs.select(
-        *keys, F.explode(tags).alias("win"), *[nan_to_null(F.col(b).cast("double")).alias(b) for b in bands]
-    )
+    values = [nan_to_null(F.col(b).cast("double")).alias(b) for b in bands]
+    rows = tag(obs.select(*keys, date_col, *values), date_col, [pre, *post], first=0, none=-1).drop(date_col)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [reducer(r, b).alias(f"{b}_{r}") for b in bands for r in reducers if r != "median"]
     medians = {f"{b}_median": b for b in bands} if "median" in reducers else {}
@@ -92,17 +89,14 @@ def build(
     )
     periods = (("pre", "_pre"), ("post", "_post"))
     feats = [
-        F.col(f"{side}.{b}_{r}").alias(feature_name(b, p, extract_window, r))
-        for b in bands
-        for p, side in periods
-        for r in reducers
+        f"{side}.{b}_{r} AS `{feature_name(b, p, extract_window, r)}`" for b in bands for p, side in periods for r in reducers
     ]
-    counts = [F.coalesce(F.col(f"{side}.n"), F.lit(0)).alias(f"n_tiles_{p}") for p, side in periods]
+    if with_counts:
+        feats += [f"coalesce({side}.n, 0L) AS n_tiles_{p}" for p, side in periods]
     meta = [c for c in sites.columns if c not in site_keys] if sites is not None else []
-    return grid.select(
-        *keys, *meta, "win",
-        F.lit(pre[0]).alias("start_pre"), F.lit(pre[1]).alias("end_pre"), "start_post", "end_post", "label",
-        *feats, *(counts if with_counts else []),
+    return grid.selectExpr(
+        *keys, *meta, "win", f"DATE'{pre[0]}' AS start_pre", f"DATE'{pre[1]}' AS end_pre", "start_post", "end_post", "label",
+        *feats,
     )
 
 

@@ -31,14 +31,11 @@ def window_name(win: Column, start: Column, end: Column) -> Column:
 
 def window_array(spans: Sequence[Span], first: int = 1) -> Column:
     """Array literal of ``(win, start_post, end_post)`` structs."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("win"), F.lit(s).alias("start_post"), F.lit(e).alias("end_post")
-            )
-            for i, (s, e) in enumerate(spans, first)
-        ]
-    )
+    items = [
+        f"named_struct('win', {i}, 'start_post', DATE'{s}', 'end_post', DATE'{e}')"
+        for i, (s, e) in enumerate(spans, first)
+    ]
+    return F.expr(f"array({', '.join(items)})")
 
 
 def window_table(
@@ -67,23 +64,49 @@ def pairs(df: DataFrame, pre: Sequence[Span], post: Sequence[Span]) -> DataFrame
     return every_window(df.select("*", F.inline(pre_arr)), post)
 
 
-def matching(date: Column, spans: Sequence[Span], inclusive_end: bool = True, first: int = 1) -> Column:
-    """The windows holding ``date`` as an array, possibly empty."""
-
-    def holds(w: Column) -> Column:
-        end = w["end_post"]
-        return (date >= w["start_post"]) & ((date <= end) if inclusive_end else (date < end))
-
-    return F.filter(window_array(spans, first), holds)
-
-
-def assign(
-    df: DataFrame, date_col: str, spans: Sequence[Span], inclusive_end: bool = True, outer: bool = False
+def _layers(spans: Sequence[Span], first: int) -> list[list[tuple[int, Span]]]:
+    """The numbered windows in as few sets of disjoint windows as it takes."""
+    layers: list[list[tuple[int, Span]]] = []
+    for item in sorted(enumerate(spans, first), key=lambda t: t[1]):
+        for layer in layers:
+            if layer[-1][1][1] < item[1][0]:
+                layer.append(item)
+                break
+        else:
+            layers.append([item])
+    return layers
+
+
+def window_numbers(date_col: str, spans: Sequence[Span], inclusive_end: bool = True, first: int = 1) -> list[str]:
+    """Numbers of the windows holding a date: one expression per set of disjoint
+    windows, each a compiled chain of comparisons giving a number or null."""
+    le = "<=" if inclusive_end else "<"
+    return [
+        "CASE "
+        + " ".join(f"WHEN `{date_col}` >= DATE'{s}' AND `{date_col}` {le} DATE'{e}' THEN {i}" for i, (s, e) in layer)
+        + " END"
+        for layer in _layers(spans, first)
+    ]
+
+
+def tag(
+    df: DataFrame, date_col: str, spans: Sequence[Span], inclusive_end: bool = True, first: int = 1, none: int | None = None
 ) -> DataFrame:
-    """Range match of dates to windows: one row per (row, window holding it)."""
-    arr = matching(F.col(date_col), spans, inclusive_end)
-    gen = F.inline_outer(arr) if outer else F.inline(arr)
-    return df.select("*", gen)
+    """One row per (row, window number ``win`` holding its date).  Rows in no window
+    drop out, or stay once with the number ``none``."""
+    nums = window_numbers(date_col, spans, inclusive_end, first)
+    if none is not None:
+        rest = "".join(f" WHEN {n} IS NOT NULL THEN NULL" for n in nums[1:])
+        nums[0] = f"coalesce({nums[0]}, CASE WHEN false THEN NULL{rest} ELSE {none} END)"
+    win = F.expr(nums[0]) if len(nums) == 1 else F.expr(f"explode(array({', '.join(nums)}))")
+    return df.select("*", win.alias("win")).where("win IS NOT NULL")
+
+
+def assign(df: DataFrame, date_col: str, spans: Sequence[Span], inclusive_end: bool = True) -> DataFrame:
+    """Range match of dates to windows: one row per (row, window holding it), with
+    the window's number and dates."""
+    w = F.element_at(window_array(spans), F.col("win"))
+    return tag(df, date_col, spans, inclusive_end).select("*", w["start_post"].alias("start_post"), w["end_post"].alias("end_post"))
 
 
 def from_names(df: DataFrame, name: Column | str = "path") -> DataFrame:
