@@ -26,8 +26,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = P.HOT_GROUP_R
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """The hot groups' keys, or None when there are none.
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame | None, bool]:
+    """The hot groups' keys, None when there are none, and whether they are few.
 
     One counting pass over the key columns, combined before its shuffle.  The list
     is written once and broadcast only when it is short enough.
@@ -35,15 +35,24 @@ def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | N
     hot = hot_groups(df, keys, hot_rows)
     n = hot.limit(BROADCAST_KEYS + 1).count()
     if n == 0:
-        return None
-    hot = materialise(hot, "hot")
-    return F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+        return None, True
+    return materialise(hot, "hot"), n <= BROADCAST_KEYS
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    """Broadcast what is known to be short; otherwise leave the join to Spark."""
+    return F.broadcast(df) if few else df
 
 
 def range_split_median(
-    df: DataFrame, keys: Sequence[str], value: str, bins: int = 4096, rounds: int = 2
+    df: DataFrame, keys: Sequence[str], value: str, bins: int = 4096, rounds: int = 3, few: bool = False
 ) -> DataFrame:
-    """``keys + (value)`` where the value is the exact median of each group."""
+    """``keys + (value)`` where the value is the exact median of each group.
+
+    Each round cuts the slice to one of ``bins`` equal widths; what is left is
+    counted per distinct value.  ``few`` says that the groups are few enough for
+    their slice limits (two rows per group) to be broadcast.
+    """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     n = rows.groupBy(*keys).agg(
@@ -58,7 +67,7 @@ def range_split_median(
     state = state.withColumn("_t", F.col("_rank"))
 
     def within(s: DataFrame) -> DataFrame:
-        j = rows.join(F.broadcast(s), keys)
+        j = rows.join(_small(s, few), keys)
         return j.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
     def pick(counted: DataFrame, order: str) -> DataFrame:
@@ -125,12 +134,12 @@ def grouped_agg(
 
     if hot_rows is None:
         return ranked_agg(df)
-    hot_keys = find_hot(df, keys, hot_rows)
+    hot_keys, few = find_hot(df, keys, hot_rows)
     if hot_keys is None:
         return ranked_agg(df)
-    cold_out = ranked_agg(df.join(hot_keys, keys, "left_anti"))
-    hot = df.join(hot_keys, keys, "left_semi")
+    cold_out = ranked_agg(df.join(_small(hot_keys, few), keys, "left_anti"))
+    hot = df.join(_small(hot_keys, few), keys, "left_semi")
     parts = [hot.groupBy(*keys).agg(*aggs)] if aggs else [hot.select(*keys).distinct()]
-    parts += [range_split_median(hot, keys, c).withColumnRenamed(c, o) for o, c in medians.items()]
+    parts += [range_split_median(hot, keys, c, few=few).withColumnRenamed(c, o) for o, c in medians.items()]
     hot_out = reduce(lambda a, b: a.join(b, keys, "left"), parts)
     return cold_out.unionByName(hot_out.select(cold_out.columns))

@@ -120,12 +120,10 @@ def sweep(
     """Confusion counts and metrics for every threshold, from one pass."""
     hist = histogram(preds, sites, spans, change_date, on, pos_year)
     # a few hundred rows from here on: a threshold takes the bins at or above its cut
-    cuts = F.array(
-        *[F.struct(F.lit(float(t)).alias("threshold"), F.lit(float(t) * P.SCALE_MAX).alias("cut")) for t in thresholds]
-    )
-    at = F.col("pred") >= F.col("cut")
+    listed = ", ".join(f"{float(t)!r}D" for t in thresholds)
+    at = F.col("pred") >= F.col("threshold") * F.lit(float(P.SCALE_MAX))
     counts = (
-        hist.select("pred", "pos", "neg", F.inline(cuts))
+        hist.select("pred", "pos", "neg", F.expr(f"explode(array({listed}))").alias("threshold"))
         .groupBy("threshold")
         .agg(
             F.sum(F.when(at, F.col("pos")).otherwise(0)).alias("tp"),

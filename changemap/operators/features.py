@@ -73,6 +73,10 @@ def build(
     stats = window_stats(obs, pre, post, keys, bands, reducers, date_col, hot_rows)
     cols = [f"{b}_{r}" for b in bands for r in reducers]
     vec = F.struct(*[F.col(c) for c in cols], F.col("n"))
+    if sites is not None:
+        # at most orbits x windows rows per site; both the fold and the join below
+        # then work on this one partitioning
+        stats = stats.repartition(*site_keys)
     folded = stats.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("win"), vec.alias("s")))).alias("_by_win")
     )

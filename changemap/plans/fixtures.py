@@ -60,7 +60,7 @@ def sites(spark, sf) -> DataFrame:
 
 def assess(spark, sf) -> DataFrame:
     """Assessments, long: a supplier's shipments after the change fall into 14
-    epochs of four months; the first one of an epoch gives its date and class."""
+    epochs of four months, each with its first date and the class of its lowest order."""
     d = _day("l_shipdate")
     m = F.col("l_orderkey") % 7
     damage = F.when(m == 0, F.lit(11)).otherwise(m.cast("int"))
@@ -69,7 +69,7 @@ def assess(spark, sf) -> DataFrame:
         table(spark, sf, "lineitem")
         .where(d >= F.lit(CHANGE))
         .groupBy(F.col("l_suppkey").alias("site_id"), ep.alias("ep"))
-        .agg(F.min_by(damage, F.struct(d, F.col("l_orderkey"))).alias("damage"), F.min(d).alias("date"))
+        .agg(F.min_by(damage, "l_orderkey").alias("damage"), F.min(d).alias("date"))
     )
 
 
@@ -248,7 +248,7 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
     "assess": """
 SELECT l_suppkey AS site_id,
        CAST(least((year(l_shipdate) - 1997) * 3 + (month(l_shipdate) - 1) // 4 + 1, 14) AS INT) AS ep,
-       first(CASE WHEN l_orderkey % 7 = 0 THEN 11 ELSE CAST(l_orderkey % 7 AS INT) END ORDER BY l_shipdate, l_orderkey) AS damage,
+       arg_min(CASE WHEN l_orderkey % 7 = 0 THEN 11 ELSE CAST(l_orderkey % 7 AS INT) END, l_orderkey) AS damage,
        CAST(min(l_shipdate) AS DATE) AS date
 FROM lineitem WHERE CAST(l_shipdate AS DATE) >= DATE '1997-01-07' GROUP BY ALL""",
     "preds": """

@@ -12,12 +12,15 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join key even where that costs one more shuffle afterwards
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
 def get_session(app: str = "changemap", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the defaults below; ``spark__sql__x="1"`` sets ``spark.sql.x``."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
