@@ -26,17 +26,32 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = P.HOT_GROUP_R
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame | None, bool]:
-    """The hot groups' keys, None when there are none, and whether they are few.
+def _listed(hot: DataFrame) -> tuple[DataFrame | None, bool]:
+    """Hot keys written once (None for no key), and whether they are few."""
+    stored = materialise(hot, "hot")
+    n = stored.limit(BROADCAST_KEYS + 1).count()
+    return (stored if n else None), n <= BROADCAST_KEYS
 
-    One counting pass over the key columns, combined before its shuffle.  The list
-    is written once and broadcast only when it is short enough.
+
+def find_hot(
+    df: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int,
+    coarse: tuple[DataFrame, Sequence[str]] | None = None,
+) -> tuple[DataFrame | None, bool]:
+    """The hot groups' keys, None when there are none, and whether they are few
+    enough to broadcast.
+
+    A counting pass over the key columns, combined before its shuffle.  ``coarse``
+    names a table and keys whose groups contain those of ``df``: only when one of
+    them is hot are the finer groups counted at all.
     """
-    hot = hot_groups(df, keys, hot_rows)
-    n = hot.limit(BROADCAST_KEYS + 1).count()
-    if n == 0:
-        return None, True
-    return materialise(hot, "hot"), n <= BROADCAST_KEYS
+    if coarse is not None:
+        wide, few = _listed(hot_groups(*coarse, hot_rows))
+        if wide is None:
+            return None, True
+        df = df.join(_small(wide, few), list(coarse[1]), "left_semi")
+    return _listed(hot_groups(df, keys, hot_rows))
 
 
 def _small(df: DataFrame, few: bool) -> DataFrame:
@@ -114,6 +129,7 @@ def grouped_agg(
     aggs: Sequence[Column],
     medians: dict[str, str],
     hot_rows: int | None = P.HOT_GROUP_ROWS,
+    coarse: tuple[DataFrame, Sequence[str]] | None = None,
 ) -> DataFrame:
     """``groupBy(keys).agg(aggs + medians)`` with hot groups' medians range-split.
 
@@ -122,7 +138,7 @@ def grouped_agg(
     ranks mark the middle values, and everything else is a plain hash aggregate on
     the same partitioning: mixing ``median`` itself into the aggregate would push
     all of it onto the much slower object-based path.  ``hot_rows=None`` states that
-    every group is small.
+    every group is small; ``coarse`` is passed to ``find_hot``.
     """
     keys = list(keys)
     if not medians:
@@ -134,7 +150,7 @@ def grouped_agg(
 
     if hot_rows is None:
         return ranked_agg(df)
-    hot_keys, few = find_hot(df, keys, hot_rows)
+    hot_keys, few = find_hot(df, keys, hot_rows, coarse)
     if hot_keys is None:
         return ranked_agg(df)
     cold_out = ranked_agg(df.join(_small(hot_keys, few), keys, "left_anti"))

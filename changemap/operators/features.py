@@ -21,7 +21,7 @@ from changemap.functions.median import grouped_agg
 from changemap.functions.moments import reducer
 from changemap.functions.names import feature_name
 from changemap.functions.scalars import nan_to_null
-from changemap.operators.windows import Span, tag, window_array, window_label
+from changemap.operators.windows import Span, tag, window_array, window_label, window_numbers
 
 
 def window_stats(
@@ -35,14 +35,18 @@ def window_stats(
     hot_rows: int | None = P.HOT_GROUP_ROWS,
 ) -> DataFrame:
     """``keys, win, n, {band}_{reducer}...``; win 0 is the pre period and -1
-    marks keys that have observations outside every window."""
+    marks keys that have observations outside every window, without values."""
     keys = list(keys)
     values = [nan_to_null(F.col(b).cast("double")).alias(b) for b in bands]
-    rows = tag(obs.select(*keys, date_col, *values), date_col, [pre, *post], first=0, none=-1).drop(date_col)
+    spans = [pre, *post]
+    rows = tag(obs.select(*keys, date_col, *values), date_col, spans, first=0).drop(date_col)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [reducer(r, b).alias(f"{b}_{r}") for b in bands for r in reducers if r != "median"]
     medians = {f"{b}_median": b for b in bands} if "median" in reducers else {}
-    return grouped_agg(rows, keys + ["win"], aggs, medians, hot_rows)
+    stats = grouped_agg(rows, keys + ["win"], aggs, medians, hot_rows, coarse=(obs.select(*keys), keys))
+    outside = " AND ".join(f"({c}) IS NULL" for c in window_numbers(date_col, spans))
+    stray = obs.where(outside).select(*keys).distinct().withColumn("win", F.lit(-1))
+    return stats.unionByName(stray, allowMissingColumns=True)
 
 
 def build(

@@ -89,15 +89,9 @@ def window_numbers(date_col: str, spans: Sequence[Span], inclusive_end: bool = T
     ]
 
 
-def tag(
-    df: DataFrame, date_col: str, spans: Sequence[Span], inclusive_end: bool = True, first: int = 1, none: int | None = None
-) -> DataFrame:
-    """One row per (row, window number ``win`` holding its date).  Rows in no window
-    drop out, or stay once with the number ``none``."""
+def tag(df: DataFrame, date_col: str, spans: Sequence[Span], inclusive_end: bool = True, first: int = 1) -> DataFrame:
+    """One row per (row, window number ``win`` holding its date); rows in no window drop out."""
     nums = window_numbers(date_col, spans, inclusive_end, first)
-    if none is not None:
-        rest = "".join(f" WHEN {n} IS NOT NULL THEN NULL" for n in nums[1:])
-        nums[0] = f"coalesce({nums[0]}, CASE WHEN false THEN NULL{rest} ELSE {none} END)"
     win = F.expr(nums[0]) if len(nums) == 1 else F.expr(f"explode(array({', '.join(nums)}))")
     return df.select("*", win.alias("win")).where("win IS NOT NULL")
 

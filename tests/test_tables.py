@@ -24,11 +24,11 @@ def test_feature_names_nest_band_period_window_reducer():
     assert len(n) == 28 and n[0] == "VV_pre_1x1_mean" and n[7] == "VV_post_1x1_mean" and n[14] == "VH_pre_1x1_mean"
 
 
-def test_overlapping_windows_both_match_and_strays_stay(spark):
+def test_overlapping_windows_both_match_and_strays_drop(spark):
     df = spark.createDataFrame([(1, D(2020, 1, 5)), (2, D(2020, 2, 1)), (3, D(2021, 1, 1)), (4, None)], "id int, d date")
     spans = [(D(2020, 1, 1), D(2020, 12, 31)), (D(2020, 1, 1), D(2020, 1, 31)), (D(2020, 2, 1), D(2020, 2, 9))]
-    got = {(r.id, r.win) for r in windows.tag(df, "d", spans, none=-1).collect()}
-    assert got == {(1, 1), (1, 2), (2, 1), (2, 3), (3, -1), (4, -1)}
+    got = {(r.id, r.win) for r in windows.tag(df, "d", spans).collect()}
+    assert got == {(1, 1), (1, 2), (2, 1), (2, 3)}
 
 
 def wide(spark):
@@ -176,3 +176,16 @@ def test_admin_tables(spark):
     assert got == {"a": (1, 1, 100.0), "b": (1, 0, 0.0), "c": (0, 0, None)}
     cut = {r.adm2_name: (r.n_buildings, r.pct_over) for r in stats.by_admin_cutoff(b, cutoff=6).collect()}
     assert cut == {"a": (2, 50.0), "b": (0, 0.0)}
+
+
+def test_features_with_one_hot_site(spark):
+    """A site holding most rows goes the split way and gives the same table."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") % 7).alias("site_id"), F.lit(87).alias("orbit"),
+        F.date_add(F.lit(D(2020, 1, 1)), (F.col("id") * 7 % 200).cast("int")).alias("obs_date"),
+        (F.col("id") * 7919 % 1013).cast("double").alias("VV"), (F.col("id") % 11).cast("double").alias("VH"),
+    )
+    pre, post = (D(2020, 1, 1), D(2020, 2, 29)), [(D(2020, 3, 1), D(2020, 4, 30)), (D(2020, 5, 1), D(2020, 6, 30))]
+    build = lambda hot: features.build(rows, None, pre, post, severe_col=None, hot_rows=hot)
+    a, b = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in build(h).collect()) for h in (None, 100))
+    assert a == b and len(a) == 14
