@@ -15,8 +15,8 @@ def as_col(c: Column | str) -> Column:
 
 
 def millis_to_date(c: Column | str) -> Column:
-    """Epoch milliseconds to a UTC calendar date."""
-    return F.to_date(F.timestamp_millis(as_col(c)))
+    """Epoch milliseconds to a UTC calendar date, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(as_col(c) / F.lit(86_400_000)).cast("int"))
 
 
 def nan_to_null(c: Column | str) -> Column:

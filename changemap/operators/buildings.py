@@ -45,15 +45,16 @@ def within_boundary(
 
 def most_severe_point(
     pairs: DataFrame, labels: DataFrame, point_key: str = "point_id", building_key: str = "building_id",
-    tie: Sequence[str] = ("ep",),
+    tie: Sequence[str] = ("ep",), carry: Sequence[str] = ("date",),
 ) -> DataFrame:
-    """Per building the most severe label among its points, as one whole row."""
+    """Per building the most severe label among its points, as one whole row:
+    ``label_damage, label_id`` and ``label_{carry}``."""
     rows = pairs.join(labels, point_key)
     order = F.struct(F.col("damage"), F.col(point_key), *[F.col(c) for c in tie])
-    best = rows.groupBy(building_key).agg(F.min_by(F.struct("damage", point_key, "date"), order).alias("r"))
+    best = rows.groupBy(building_key).agg(F.min_by(F.struct("damage", point_key, *carry), order).alias("r"))
     return best.select(
         building_key, F.col("r.damage").alias("label_damage"), F.col(f"r.{point_key}").alias("label_id"),
-        F.col("r.date").alias("label_date"),
+        *[F.col(f"r.{c}").alias(f"label_{c}") for c in carry],
     )
 
 
@@ -65,10 +66,26 @@ def attach_labels(
     cell_size: float = 64.0,
     point_key: str = "point_id",
     building_key: str = "building_id",
+    carry: Sequence[str] = ("date",),
+    areas: DataFrame | None = None,
+    area_key: str = "aoi",
+    area_cell: float = 1000.0,
 ) -> DataFrame:
-    """All buildings, with the most severe label within ``radius`` metres or null."""
+    """All buildings, with the most severe label within ``radius`` metres or null.
+
+    With ``areas`` (edges keyed by ``area_key``, a column of the labels too) a label
+    only counts for buildings that touch its own area.
+    """
     pairs = geo.within_distance(labels, edges, point_key, building_key, radius, cell_size)
-    return buildings.join(most_severe_point(pairs, labels, point_key, building_key), building_key, "left")
+    if areas is not None:
+        touching = geo.intersects(edges, areas, building_key, area_key, area_cell)
+        pairs = (
+            pairs.join(labels.select(point_key, area_key), point_key)
+            .join(touching, [building_key, area_key], "left_semi")
+            .drop(area_key)
+        )
+    best = most_severe_point(pairs, labels, point_key, building_key, carry=carry)
+    return buildings.join(best, building_key, "left")
 
 
 def weighted_scores(

@@ -203,7 +203,7 @@ def points(spark, sf) -> DataFrame:
 
 
 def scenes(spark, sf) -> DataFrame:
-    """Scene metadata, one per order."""
+    """Scene metadata, one per order; order dates are midnights in UTC."""
     k = F.col("o_orderkey")
     pol = (
         F.when(k % 4 == 0, F.array(F.lit("VV")))
@@ -216,7 +216,7 @@ def scenes(spark, sf) -> DataFrame:
         F.when(k % 5 == 0, F.lit("EW")).otherwise(F.lit("IW")).alias("mode"),
         F.when(F.col("o_orderstatus") == "F", F.lit("A")).otherwise(F.lit("B")).alias("platform"),
         F.when(k % 3 == 0, F.lit(87)).when(k % 3 == 1, F.lit(94)).otherwise(F.lit(160)).alias("orbit"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("time_start"),
+        (F.unix_date(_day("o_orderdate")).cast("bigint") * 86_400_000).alias("time_start"),
         (F.col("o_custkey") % 5).cast("int").alias("aoi_no"),
     )
 

@@ -236,6 +236,16 @@ def building_attach_labels(spark, sf):
     return B.attach_labels(X.buildings(spark, sf).select("building_id", "adm2_name"), X.edges(spark, sf), X.points(spark, sf), cell_size=BUILDING_CELL)
 
 
+def building_attach_labels_by_area(spark, sf):
+    """Labels count only for buildings touching the label's own district."""
+    p = X.points(spark, sf).withColumn("aoi", (F.col("point_id") % 25).cast("int"))
+    areas = X.polygons(spark, sf).withColumnRenamed("poly_id", "aoi")
+    return B.attach_labels(
+        X.buildings(spark, sf).select("building_id"), X.edges(spark, sf), p, radius=30.0, cell_size=BUILDING_CELL,
+        carry=("date", "aoi"), areas=areas, area_cell=ADMIN_CELL,
+    )
+
+
 def building_area_filter(spark, sf):
     a = X.buildings(spark, sf)
     return a.groupBy("adm2_name").agg(
@@ -360,7 +370,7 @@ QUERIES = {
         geo_tile_coverage, geo_tile_grid, geo_pixel_overlap, geo_polygon_overlap, geo_disk_overlap,
         geo_within_distance, building_scores, building_scores_from_points, building_wide, building_long_again,
         building_max_pre_post, building_classify, building_classify_strict, building_with_preds_left,
-        building_with_preds_right, building_attach_labels, building_area_filter, stats_by_admin,
+        building_with_preds_right, building_attach_labels, building_attach_labels_by_area, building_area_filter, stats_by_admin,
         stats_by_admin_cutoff, stats_admin_damage, stats_temporal_curve, stats_totals, pixel_boxes, pixel_focal_mean,
         pixel_mosaic, pixel_sample, pixel_sample_window_max, pixel_sample_window_mean, pixel_in_box, obs_at_points,
         obs_at_points_coarse, obs_fill_mean,
@@ -601,6 +611,13 @@ ORACLES = {
         _BB, _DIST,
         "best AS (SELECT building_id, damage, p.point_id, date, row_number() OVER (PARTITION BY building_id ORDER BY damage, p.point_id, ep) AS rn FROM wd JOIN points p ON p.point_id = wd.point_id)",
     )) + "SELECT b.building_id, adm2_name, damage AS label_damage, point_id AS label_id, date AS label_date FROM buildings b LEFT JOIN best ON best.building_id = b.building_id AND rn = 1",
+    "building_attach_labels_by_area": X.with_views("buildings", "edges", "points", "polygons", extra=(
+        _BB, _DIST.replace("- 5", "- 30").replace("+ 5", "+ 30").replace("<= 25", "<= 900"), _SEG, *_CORNER,
+        "tc AS (SELECT * FROM seg UNION SELECT * FROM ca UNION SELECT * FROM cb)",
+        "best AS (SELECT wd.building_id, damage, p.point_id, date, CAST(p.point_id % 25 AS INT) AS aoi,"
+        " row_number() OVER (PARTITION BY wd.building_id ORDER BY damage, p.point_id, ep) AS rn FROM wd JOIN points p ON p.point_id = wd.point_id"
+        " JOIN tc ON tc.building_id = wd.building_id AND tc.poly_id = p.point_id % 25)",
+    )) + "SELECT b.building_id, damage AS label_damage, point_id AS label_id, date AS label_date, aoi AS label_aoi FROM buildings b LEFT JOIN best ON best.building_id = b.building_id AND rn = 1",
     "building_area_filter": X.with_views("buildings") + "SELECT adm2_name, count(*) FILTER (area_m2 >= 56) AS at_least, count(*) FILTER (area_m2 > 56) AS above FROM buildings GROUP BY ALL",
     "stats_by_admin": _b(_REPORT) + "SELECT adm2_name, count(damaged) AS n_buildings, CAST(sum(damaged) AS BIGINT) AS n_damaged, round(avg(damaged) * 100, 6) AS pct_damaged, round(avg(max_post), 6) AS mean_max_post FROM rt GROUP BY ALL",
     "stats_by_admin_cutoff": _b(_REPORT) + "SELECT adm2_name, count(max_post) AS n_buildings, round(avg(max_post), 6) AS mean_damage, round(avg(CASE WHEN max_post > 127 THEN 1e0 ELSE 0e0 END) * 100, 6) AS pct_over FROM rt GROUP BY ALL",

@@ -156,6 +156,22 @@ def io_read_features(spark, sf):
     return out.select("site_id", "orbit", "win", *[F.round(F.col(c) + 1e-8, 6).alias(c) for c in ("vv_pre_1x1_mean", "vv_post_1x1_mean")])
 
 
+def io_pixel_features(spark, sf):
+    """Pixel features stored by window, orbit and tile; bands picked by name."""
+    from changemap.functions.names import select_bands
+    from changemap.operators.features import from_pixels
+
+    path = work_path(spark, "pixel_features")
+    px = X.obs(spark, sf).select(
+        (F.col("site_id") % 4).cast("int").alias("tile"), F.floor(F.col("site_id") / 4).cast("int").alias("row"), F.lit(0).alias("col"),
+        "orbit", "obs_date", "vv", "vh",
+    )
+    io.write_pixel_features(from_pixels(px, X.PRE, X.POST, bands=("vv", "vh"), reducers=("mean", "max"), change_date=X.CHANGE), path)
+    out = select_bands(io.read_pixels(spark, path), ("vv",), ("win", "orbit", "tile", "row"), reducers=("mean", "max"))
+    names = [c for c in out.columns if c.startswith("vv_")]
+    return out.withColumns(X.round6(*names))
+
+
 def io_orbits(spark, sf):
     """Orbit list written as text and parsed again."""
     path = work_path(spark, "orbits")
@@ -268,7 +284,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         io_csv_to_parquet, io_read_labels, io_read_point_labels, io_read_polygons, io_one_polygon, io_read_assessments,
-        io_read_buildings, io_scan_bbox, io_read_admin, io_boundary, io_read_obs, io_read_features, io_orbits,
+        io_read_buildings, io_scan_bbox, io_read_admin, io_boundary, io_read_obs, io_read_features, io_pixel_features, io_orbits,
         io_pixels_in_box, io_pixel_preds, io_preds_or_compute, io_labels_by_aoi, io_runs, buildings_project_source,
         stream_score, stream_resume_skip_done,
     )
@@ -304,6 +320,13 @@ FROM assess a JOIN sites s ON s.site_id = a.site_id, (VALUES ('csv'), ('parquet'
         + "SELECT o.site_id, obs_date, vv, vh, aoi, orbit FROM obs o JOIN sites s ON s.site_id = o.site_id WHERE aoi = 'ASIA' AND orbit = 94",
         "io_read_features": f"WITH f AS ({_features_sql(('mean',))}), s AS (SELECT site_id, {q_labels._SPLIT.format(p='', seed=42, k='site_id')} FROM (SELECT DISTINCT site_id FROM f))"
         + " SELECT f.site_id, orbit, win, vv_pre_1x1_mean, vv_post_1x1_mean FROM f JOIN s ON s.site_id = f.site_id WHERE split = 'test'",
+        "io_pixel_features": X.with_views("obs", windows=X.POST, extra=(
+            f"ps AS (SELECT site_id, orbit, avg(vv) AS a, max(vv) AS b FROM obs WHERE obs_date BETWEEN DATE '{X.PRE[0]}' AND DATE '{X.PRE[1]}' GROUP BY ALL)",
+            "qs AS (SELECT site_id, orbit, win, avg(vv) AS a, max(vv) AS b FROM obs JOIN windows ON obs_date BETWEEN start_post AND end_post GROUP BY site_id, orbit, win)",
+        )) + f"""SELECT w.win, k.orbit, CAST(k.site_id % 4 AS INT) AS tile, CAST(k.site_id // 4 AS INT) AS row, {X.r6('ps.a')} AS vv_pre_1x1_mean,
+ {X.r6('ps.b')} AS vv_pre_1x1_max, {X.r6('qs.a')} AS vv_post_1x1_mean, {X.r6('qs.b')} AS vv_post_1x1_max
+ FROM (SELECT DISTINCT site_id, orbit FROM obs) k CROSS JOIN windows w LEFT JOIN ps ON ps.site_id = k.site_id AND ps.orbit = k.orbit
+ LEFT JOIN qs ON qs.site_id = k.site_id AND qs.orbit = k.orbit AND qs.win = w.win""",
         "io_orbits": q_labels._VALID + "SELECT 'A' || aoi AS aoi, orbit FROM v",
         "io_pixels_in_box": q_geo.ORACLES["pixel_in_box"],
         "io_pixel_preds": X.with_views("pixels")

@@ -172,8 +172,15 @@ def scan_bbox(spark: SparkSession, path: str, box: Sequence[float], names=("minX
 # --- observations, features, pixels, predictions ----------------------------------------
 
 
+def _clustered(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows of one folder brought together before a partitioned write, so that tasks do
+    not each open every folder; adaptive execution splits folders that are too large
+    for one task and merges small ones."""
+    return df.hint("rebalance", *cols)
+
+
 def write_obs(obs: DataFrame, path: str) -> None:
-    obs.write.mode("overwrite").partitionBy("aoi", "orbit").parquet(path)
+    _clustered(obs, "aoi", "orbit").write.mode("overwrite").partitionBy("aoi", "orbit").parquet(path)
 
 
 def read_obs(spark: SparkSession, path: str, aoi=None, orbit=None) -> DataFrame:
@@ -191,7 +198,7 @@ def csv_to_parquet(spark: SparkSession, src: str, dst: str, schema) -> None:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    features.write.mode("overwrite").partitionBy("strategy", "split").parquet(path)
+    _clustered(features, "strategy", "split").write.mode("overwrite").partitionBy("strategy", "split").parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, split: str, strategy: str = "aoi", extract_window: str | None = None) -> DataFrame:
@@ -226,13 +233,13 @@ def read_pixels(spark: SparkSession, path: str, box: Sequence[float] | None = No
 
 def write_pixel_features(pixels: DataFrame, path: str) -> None:
     """Pixel features by window, orbit and tile."""
-    pixels.write.mode("overwrite").partitionBy("win", "orbit", "tile").parquet(path)
+    _clustered(pixels, "win", "orbit", "tile").write.mode("overwrite").partitionBy("win", "orbit", "tile").parquet(path)
 
 
 def write_pixel_preds(preds: DataFrame, path: str) -> None:
     """Byte predictions; only the (window, tile) folders present in ``preds`` are replaced."""
     (
-        preds.repartition("win", "tile")
+        _clustered(preds, "win", "tile")
         .sortWithinPartitions("win", "tile", "row", "col")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("win", "tile").parquet(path)
     )
@@ -255,7 +262,7 @@ def write_labels_by_aoi(labels: DataFrame, path: str) -> None:
     """Two folders per area: first severe epoch per location, and first epoch of all
     classes."""
     for name, how in (("severe", "first_severe"), ("full", "first")):
-        combine(labels, how).write.mode("overwrite").partitionBy("aoi").parquet(f"{path}/{name}")
+        _clustered(combine(labels, how), "aoi").write.mode("overwrite").partitionBy("aoi").parquet(f"{path}/{name}")
 
 
 def write_json(df: DataFrame, path: str) -> None:
