@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from changemap import params as P
@@ -90,8 +90,6 @@ def model_embeddings(spark, sf):
     )
     clf = model.classifier("random_forest", 0, **FOREST)
     m = clf.fit(e)
-    from pyspark.ml.functions import vector_to_array
-
     return m.transform(e).select("vec_id", "label", vector_to_array("probability")[1].alias("prob"))
 
 

@@ -13,6 +13,7 @@ from changemap import params as P
 from changemap.functions.names import feature_names
 from changemap.operators import evaluate, model, predict, splits
 from changemap.operators.windows import Span
+from changemap.session import materialise
 
 
 def columns(cfg: P.RunConfig) -> list[str]:
@@ -59,7 +60,7 @@ def run(
 ) -> DataFrame:
     """From feature tables to one row of metrics.  ``sites``: ``site_id, date``."""
     fitted = train(train_df, cfg, test_df, model_path, force)
-    preds = predictions(fitted, test_df, cfg)
+    preds = materialise(predictions(fitted, test_df, cfg), "preds")  # read twice below
     scored_sites = preds.select("site_id").distinct()
     dated = sites.join(scored_sites, "site_id", "left_semi")
     return evaluate.metrics(preds, dated, spans, cfg.threshold, change_date=change_date)
@@ -77,7 +78,7 @@ def ablate(
     a configuration come from one pass over its predictions."""
     out = None
     for name, cfg in settings.items():
-        preds = predictions(train(train_df, cfg), test_df, cfg)
+        preds = materialise(predictions(train(train_df, cfg), test_df, cfg), "preds")
         dated = sites.join(preds.select("site_id").distinct(), "site_id", "left_semi")
         one = evaluate.sweep(preds, dated, spans, cfg.thresholds, change_date).select(F.lit(name).alias("setting"), "*")
         out = one if out is None else out.unionByName(one)
