@@ -27,10 +27,10 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = P.HOT_GROUP_R
 
 
 def _listed(hot: DataFrame) -> tuple[DataFrame | None, bool]:
-    """Hot keys written once (None for no key), and whether they are few."""
-    stored = materialise(hot, "hot")
-    n = stored.limit(BROADCAST_KEYS + 1).count()
-    return (stored if n else None), n <= BROADCAST_KEYS
+    """Hot keys (None for no key), and whether they are few.  They are counted first
+    and written only when there are any."""
+    n = hot.limit(BROADCAST_KEYS + 1).count()
+    return (materialise(hot, "hot") if n else None), n <= BROADCAST_KEYS
 
 
 def find_hot(
