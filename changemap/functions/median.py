@@ -2,9 +2,9 @@
 
 Ranking a group sorts it in one task.  That is right for a time series of some
 dozens of images and wrong for a group that holds a large share of all rows, so
-groups above ``hot_rows`` are split off: their
-values are narrowed to the slice holding the middle rank by counting equal-width
-bins (at most ``bins`` rows per group travel), and only that slice is ranked.
+groups above ``hot_rows`` are split off: their values are narrowed to the slice
+holding the middle rank by counting equal-width bins (at most ``bins`` rows per
+group travel), and only that slice is ranked.
 """
 
 from __future__ import annotations

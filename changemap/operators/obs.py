@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changemap.functions.scalars import require_all
 from changemap.operators.pixels import focal_mean
 
 
@@ -30,7 +31,7 @@ def extract_at_points(
     px = scene_pixels if k == 1 else focal_mean(scene_pixels, bands, k, keys=[scene_key])
     px = px.select(scene_key, *cell, *bands)
     if required:
-        px = px.na.drop(subset=list(required))
+        px = px.where(require_all(required))
     wanted = scenes.select(scene_key, *keep_scene)
     return px.join(wanted, scene_key).join(points, list(cell)).drop(*cell)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changemap import params as P
 from changemap.operators import evaluate, scenes
 from changemap.plans import fixtures as X
 from changemap.plans.q_labels import _long
