@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from changemap.llm.queries import ORACLES, QUERIES
 
 
 def queries():
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    if corpus_pipeline.ORACLE_SQL is None:
+        return dict(ORACLES)
+    return ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemap.llm import decontaminate, lines, packing, simhash
+from changemap.llm import decontaminate, lines, packing, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,10 +39,18 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).select("doc_id", "severity")
+    return scored.withColumn("toxic", F.col("severity") >= toxicity.THRESHOLD)
+
+
 QUERIES = {
     "op3_simhash_near_dup": simhash_near_dup,
     "op4_line_dedup": line_dedup,
     "op5_decontamination": decontamination,
     "op9_best_fit_packing": best_fit_packing,
+    "op10_ordinal_toxicity": ordinal_toxicity,
 }
 ORACLES: dict[str, str] = {}
