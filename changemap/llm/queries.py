@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemap.llm import decontaminate, lines, packing, simhash, toxicity
+from changemap.llm import decontaminate, lines, ngram_lm, packing, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,10 +46,21 @@ def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("severity") >= toxicity.THRESHOLD)
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False)))
+    totals, parts = ngram_lm.fit(docs.where(~F.col("held_out")))
+    return ngram_lm.score(docs, totals, parts).select(
+        "doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"),
+        F.col("lm.base").alias("base_score"), "lm.score",
+    )
+
+
 QUERIES = {
     "op3_simhash_near_dup": simhash_near_dup,
     "op4_line_dedup": line_dedup,
     "op5_decontamination": decontamination,
+    "op6_language_model": language_model,
     "op9_best_fit_packing": best_fit_packing,
     "op10_ordinal_toxicity": ordinal_toxicity,
 }
