@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemap.llm import decontaminate, lines, ngram_lm, packing, simhash, toxicity
+from changemap.llm import decontaminate, html_text, langid, licences, lines, ngram_lm, packing, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs, licences.known(spark))
+    return found.select("doc_id", "text_licence", F.array_join("line_licences", ",").alias("line_licences"))
+
+
 def simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -32,6 +38,20 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.extract(pages, html_text.train(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+    model = langid.train(docs.where(~F.col("held_out")))
+    found = langid.predict(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
@@ -57,10 +77,13 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_licence_scan": licence_scan,
     "op3_simhash_near_dup": simhash_near_dup,
     "op4_line_dedup": line_dedup,
     "op5_decontamination": decontamination,
     "op6_language_model": language_model,
+    "op7_html_main_text": html_main_text,
+    "op8_language_id": language_id,
     "op9_best_fit_packing": best_fit_packing,
     "op10_ordinal_toxicity": ordinal_toxicity,
 }
