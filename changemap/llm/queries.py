@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemap.llm import decontaminate, html_text, langid, licences, lines, ngram_lm, packing, simhash, toxicity
+from changemap.llm import decontaminate, embeddings, html_text, langid, licences, lines, ngram_lm, packing, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = licences.scan(docs, licences.known(spark))
@@ -77,6 +83,7 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dup": embedding_near_dup,
     "op2_licence_scan": licence_scan,
     "op3_simhash_near_dup": simhash_near_dup,
     "op4_line_dedup": line_dedup,
