@@ -49,7 +49,8 @@ KNOWN = (
 MAX_KNOWN = 10_000
 
 # (pattern, replacement), applied in order; patterns mean the same to Java and to RE2
-COPYRIGHT_LINE = r"\n[ \t]*(copyright|\(c\)|©)[^\n]*"
+# a notice names a year or the sign; a wrapped line of the licence may begin with the word too
+COPYRIGHT_LINE = r"\n[ \t]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]|©)[^\n]*"
 STEPS = (
     (COPYRIGHT_LINE, ""),
     (r"https?://(www\.)?", ""),

@@ -94,4 +94,62 @@ QUERIES = {
     "op9_best_fit_packing": best_fit_packing,
     "op10_ordinal_toxicity": ordinal_toxicity,
 }
-ORACLES: dict[str, str] = {}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    def lines_form(x: str) -> str:
+        x = f"translate(chr(10) || {x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        for pattern, new in licences.STEPS:
+            x = f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
+        for old, new in licences.SPELLINGS:
+            x = f"replace({x}, {_quoted(old)}, {_quoted(new)})"
+        return x
+
+    whole = r"sha256(trim(regexp_replace({0}, '[ \n]+', ' ', 'g')))"
+    rows = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licences.KNOWN)
+    return f"""
+WITH raw AS (SELECT licence, {lines_form("text")} AS form FROM (VALUES {rows}) v(licence, text)),
+known AS (SELECT {whole.format("form")} AS digest, min(licence) AS licence FROM raw GROUP BY 1),
+docs AS (SELECT doc_id, {lines_form("text")} AS form FROM documents),
+each AS (SELECT doc_id, unnest(string_split(form, chr(10))) AS x FROM docs),
+found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names
+          FROM each JOIN known ON digest = sha256(trim(x)) WHERE contains(x, 'licens') OR contains(x, 'permission') GROUP BY doc_id)
+SELECT docs.doc_id, known.licence AS text_licence, coalesce(names, '') AS line_licences
+FROM docs LEFT JOIN known ON digest = {whole.format("form")} LEFT JOIN found ON found.doc_id = docs.doc_id"""
+
+
+def _words_sql(table: str) -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT *, coalesce(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM {table}"
+
+
+DECONTAMINATION_SQL = f"""
+WITH b AS ({_words_sql("benchmark")}),
+win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + 9], ' ') AS win
+        FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(i) WHERE len(ws) > 0),
+d AS ({_words_sql("documents")}),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM d, sizes, unnest(range(1, len(ws) - n + 2)) t(i)),
+hits AS (SELECT doc_id, i, dw.n AS n, CAST(item_id AS VARCHAR) AS item FROM dw JOIN win ON dw.win = win.win AND dw.n = win.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) u(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_near_dup": EMBEDDING_SQL,
+    "op2_licence_scan": _licence_sql(),
+    "op5_decontamination": DECONTAMINATION_SQL,
+}
