@@ -7,56 +7,52 @@ from pyspark.sql import functions as F
 
 from changemap.session import materialise
 
-# A line ends at a newline, or within running text behind a mark and its white space.
-LINE_END = r"(?<=[.,;:!?]\s)|(?<=\n)"
-# One place in DIVISOR ends a chunk, by the hash of the two lines before it.
+# A line ends behind a newline, or within running text behind a mark.
+LINE = r"([^.,;:!?\n]*+[.,;:!?\n]|[^.,;:!?\n]++)"
+# One place in DIVISOR ends a chunk, by the hashes of the two lines before it.
 DIVISOR = 2
 MIN_LINES = 2
 MIN_CHARS = 60
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text with their ends, so that joining them gives the text again."""
-    return F.split(text, LINE_END, -1)
+def _kept(expr: Column, name: str) -> Column:
+    """An array computed once: a generator keeps the optimizer from copying it into
+    every lambda that reads it."""
+    return F.explode(F.array(expr)).alias(name)
+
 
+def _named(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
 
-def chunks_of(lines: Column, hashes: Column) -> Column:
-    """Array of chunks ``(text, lines)``.
 
-    A chunk ends behind line i if a hash rolling over the hashes of lines i-1 and i is
-    divisible. That looks at the text alone, not at the place in it, so the ends
-    shift with a passage.
+def _slice(first: Column, last: Column) -> Column:
+    """The text of lines ``first`` to ``last``."""
+    return F.array_join(F.slice("_lines", first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+
+
+def with_ends(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with ``_lines``, which join to the text again, and ``_ends``, the last line of
+    each chunk. A null text has null for both.
+
+    A chunk ends behind line i if the hash rolling over lines i-1 and i is divisible.
+    That looks at the text alone, not at the place in it, so the ends shift with a
+    passage.
     """
-    last = F.size(lines) - 1
+    a = docs.select(*_named(docs), _kept(F.regexp_extract_all(text, F.lit(LINE), 1), "_lines"))
+    a = a.select(*_named(a), _kept(F.transform("_lines", lambda x: F.shiftrightunsigned(F.xxhash64(x), 8)), "_hashes"))
+    h, last = F.col("_hashes"), F.size("_hashes") - 1
     ends = F.filter(
-        F.sequence(F.lit(0), last),
-        lambda i: (i == last) | (F.when(i > 0, F.pmod(hashes[i] + 31 * hashes[i - 1], F.lit(DIVISOR)) == 0)
-                                 .otherwise(False)),
-    )
-    return F.transform(
-        F.arrays_zip(ends.alias("e"), F.concat(F.array(F.lit(-1)), ends).alias("s")),
-        lambda x: F.struct(
-            F.array_join(F.slice(lines, x["s"] + 2, F.greatest(x["e"] - x["s"], F.lit(0))), "").alias("text"),
-            (x["e"] - x["s"]).alias("lines"),
-        ),
+        F.transform("_hashes", lambda x, i: F.when((i == last) | (i > 0) & (F.pmod(x + 31 * h[F.greatest(i - 1, F.lit(0))], F.lit(DIVISOR)) == 0), i)),
+        lambda i: i.isNotNull(),
     )
+    return a.select(*_named(docs), "_lines", _kept(ends, "_ends"))
 
 
-def _kept(expr: Column, name: str):
-    """An array computed once: a generator keeps the optimizer from copying it into
-    every lambda that reads it."""
-    return F.explode(F.array(expr)).alias(name)
-
-
-def chunked(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``chunks``; a null text has no chunks (null)."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    text = F.col(text_col)
-    a = docs.select(*cols, _kept(lines_of(text), "_lines"))
-    b = a.select(*cols, "_lines", _kept(F.transform("_lines", lambda x: F.shiftrightunsigned(F.xxhash64(x), 8)), "_hashes"))
-    ends = b.select(*cols, _kept(F.when(text.isNotNull(), chunks_of(F.col("_lines"), F.col("_hashes"))), "chunks"))
-    # arrays_zip pads the longer array; drop the entry without an end
-    return ends.select(*cols, _kept(F.filter("chunks", lambda c: c["lines"].isNotNull()), "chunks"))
+def _chunks(docs: DataFrame) -> DataFrame:
+    """``(id, k, text)``: every chunk of ``docs`` (id, text) in its place."""
+    e = F.col("_ends")
+    made = F.transform("_ends", lambda x, k: _slice(F.when(k > 0, e[F.greatest(k - 1, F.lit(0))] + 1).otherwise(0), x))
+    return with_ends(docs, F.col("text")).select("id", F.posexplode(made).alias("k", "text"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,54 +67,50 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     becomes empty; its row stays, as do rows with null text. Rows repeated with the
     same id are one occurrence and stay; rows without an id count as originals only.
     Other columns pass through; ``n_removed`` replaces a column of that name.
+
+    Bytes are compared by grouping on the texts themselves. A hash stands for its chunks
+    from there on, if it has one text in all of ``docs``; a hash that different texts
+    share proves nothing, and its chunks stay.
     """
     i, t = F.col(id_col), F.col(text_col)
-    named = docs.where(t.isNotNull()).select(i.alias("id"), t.alias("text"))
-    pieces = chunked(named, "text").select("id", F.posexplode("chunks").alias("k", "c"))
-    # grouping by the text itself compares bytes; the count combines before the shuffle
+    pieces = _chunks(docs.where(t.isNotNull()).select(i.alias("id"), t.alias("text"))).withColumn("h", F.xxhash64("text"))
     repeated = materialise(
-        pieces.groupBy(F.col("c.text").alias("text")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        .where("n > 1").select(F.xxhash64("text").alias("h"), "text", "first"), "repeated",
-    )
-    places = pieces.where("id IS NOT NULL").select("id", "k", F.xxhash64("c.text").alias("h"))
-    places = materialise(places.join(repeated.select("h", "first").distinct(), "h"), "places")
-    origin = places.where("id = first").groupBy("h", "first").agg(F.min("k").alias("place"))
-    originals = repeated.join(origin, ["h", "first"], "left").select("h", "first", "place", F.col("text").alias("same"))
-    marks = (
-        places.select("id", "k", "h").join(originals, "h")
-        .where((F.col("first") != F.col("id")) | F.col("first").isNull() | (F.col("place") != F.col("k")))
-        .groupBy("id").agg(F.collect_set(F.struct("k", "same")).alias("marks"))
+        pieces.groupBy("h", "text").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        .groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
+        .where("texts = 1 AND n > 1").select("h", "first"), "repeated",
     )
-    marks = marks.withColumnRenamed("id", "_mark_id")
+    places = materialise(pieces.where("id IS NOT NULL").select("id", "k", "h").join(repeated, "h"), "places")
+    origin = places.where("id = first").groupBy("h").agg(F.min("k").alias("place"))
+    copies = places.where("id <> first OR first IS NULL").select("id", "k").unionByName(
+        places.where("id = first").join(origin, "h").where("k <> place").select("id", "k"))
+    marks = copies.groupBy(F.col("id").alias("_mark_id")).agg(F.array_sort(F.collect_set("k")).alias("_marks"))
     cols = [F.col(f"`{c}`") for c in docs.columns if c != "n_removed"]
-    found = docs.select(*cols).join(marks, i == F.col("_mark_id"), "left").drop("_mark_id")
-    clean = found.where("marks IS NULL").select(*cols, F.lit(0).cast("long").alias("n_removed"))
-    return clean.unionByName(_without(found.where("marks IS NOT NULL"), cols, text_col))
-
-
-def _without(found: DataFrame, cols: list[Column], text_col: str) -> DataFrame:
-    """The rows that have marks, cut."""
-    keep = [*cols, F.col("marks")]
-    a = chunked(found.where(F.col(text_col).isNotNull()), text_col)
-    # a mark counts where the chunk has the very bytes of the original
-    a = a.select(*keep, "chunks", _kept(F.map_from_entries(F.transform(F.array_distinct(F.transform("marks", lambda m: m["k"])),
-                 lambda k: F.struct(k, F.transform(F.filter("marks", lambda m: m["k"] == k), lambda m: m["same"])))), "_same"))
-    a = a.select(*cols, "chunks", _kept(F.transform("chunks", lambda c, k: F.coalesce(F.array_contains(F.col("_same")[k], c["text"]), F.lit(False))), "_hit"))
-    # where a passage starts, and its lines and characters
-    n = F.size("chunks")
-    a = a.select(*cols, "chunks", "_hit", _kept(F.filter(F.sequence(F.lit(0), n), lambda k: (k == 0) | (k == n) | (F.col("_hit")[k] != F.col("_hit")[k - 1])), "_turns"))
-    runs = F.transform(F.slice("_turns", F.lit(1), F.size("_turns") - 1), lambda s, j: F.struct(s.alias("s"), (F.col("_turns")[j + 1] - s).alias("n")))
-    a = a.select(*cols, "chunks", "_hit", _kept(runs, "_runs"))
-    a = a.select(*cols, _kept(F.transform("_runs", lambda r: F.struct(
-        F.array_join(F.transform(F.slice("chunks", r["s"] + 1, r["n"]), lambda c: c["text"]), "").alias("text"),
-        F.aggregate(F.slice("chunks", r["s"] + 1, r["n"]), F.lit(0), lambda acc, c: acc + c["lines"]).alias("lines"),
-        F.col("_hit")[r["s"]].alias("hit"),
-    )), "_parts"))
-    stays = F.filter("_parts", lambda p: ~(p["hit"] & (p["lines"] >= MIN_LINES) & (F.length(p["text"]) >= MIN_CHARS)))
-    rest = F.array_join(F.transform(stays, lambda p: p["text"]), "")
-    names = [c for c in found.columns if c != "marks"]
-    done = a.select(*cols, _kept(rest, "_rest"))
-    size = (F.length(text_col) - F.length("_rest")).cast("long")
-    cut = done.select(*[F.col("_rest").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], size.alias("n_removed"))
-    blank = found.where(F.col(text_col).isNull()).select(*cols, F.lit(0).cast("long").alias("n_removed"))
-    return cut.unionByName(blank)
+    found = docs.select(*cols).join(marks.hint("shuffle_hash"), i == F.col("_mark_id"), "left").drop("_mark_id")
+    return _cut(found, text_col)
+
+
+def _cut(found: DataFrame, text_col: str) -> DataFrame:
+    """``found`` without the passages that its ``_marks``, ascending chunk numbers, make up."""
+    t = F.col(text_col)
+    cols = [F.col(f"`{c}`") for c in found.columns if c != "_marks"]
+    names = [c for c in found.columns if c != "_marks"]
+    # rows without marks have nothing to cut: no lines are made of them
+    a = with_ends(found, F.when(F.col("_marks").isNotNull(), t))
+    m, e = F.col("_marks"), F.col("_ends")
+    at = lambda array, k: array[F.greatest(k, F.lit(0))]
+    starts = F.filter(F.transform(m, lambda x, j: F.when((j == 0) | (at(m, j - 1) != x - 1), j)), lambda j: j.isNotNull())
+    a = a.select(*cols, "_lines", "_ends", "_marks", _kept(starts, "_starts"))
+    s = F.col("_starts")
+    runs = F.transform(s, lambda j, r: F.struct(
+        F.when(m[j] > 0, at(e, m[j] - 1) + 1).otherwise(0).alias("a"),
+        e[m[F.when(r + 1 < F.size(s), s[F.least(r + 1, F.size(s) - 1)] - 1).otherwise(F.size(m) - 1)]].alias("b"),
+    ))
+    gone = F.filter(runs, lambda r: (r["b"] - r["a"] + 1 >= MIN_LINES) & (F.length(_slice(r["a"], r["b"])) >= MIN_CHARS))
+    a = a.select(*cols, "_lines", _kept(gone, "_gone"))
+    g, n = F.col("_gone"), F.size("_gone")
+    kept = F.transform(F.sequence(F.lit(0), n), lambda j: _slice(
+        F.when(j > 0, at(g, j - 1)["b"] + 1).otherwise(0),
+        F.when(j < n, at(g, F.least(j, n - 1))["a"] - 1).otherwise(F.size("_lines") - 1)))
+    a = a.select(*cols, _kept(F.when(n > 0, F.array_join(kept, "")).otherwise(t), "_rest"))
+    size = F.coalesce(F.length(t) - F.length("_rest"), F.lit(0)).cast("long")
+    return a.select(*[F.col("_rest").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], size.alias("n_removed"))
