@@ -17,10 +17,18 @@ D = dt.date
 CHANGE = D(1997, 1, 7)
 PRE = (D(1995, 1, 7), D(1996, 1, 6))
 POST = P.month_windows(D(1996, 1, 7), 19)
+# The plane of the spatial views is a column of 1 km squares. Each takes its share of
+# the keys, so the plane grows with the tables and its density does not.
+BUILDINGS_A_SQUARE, POINTS_A_SQUARE, POLYGONS_A_SQUARE = 500, 375, 25
 TRAIN_AOIS = ("AFRICA", "AMERICA")
 TEST_AOIS = ("ASIA", "EUROPE", "MIDDLE EAST")
 
 
+def _square(k, n: int, metres: float = 1000.0):
+    """How far up the square of key ``k`` lies."""
+    return F.floor(k / n) * F.lit(metres)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -109,7 +117,7 @@ def edges(spark, sf) -> DataFrame:
     b = table(spark, sf, "part").select(
         k.alias("building_id"),
         (k * 97 % 9700 / F.lit(1e1)).alias("x0"),
-        (k * 193 % 9700 / F.lit(1e1)).alias("y0"),
+        (k * 193 % 9700 / F.lit(1e1) + _square(k, BUILDINGS_A_SQUARE)).alias("y0"),
         (F.lit(4.0) + F.col("p_size") % 20).alias("w"),
         (F.lit(4.0) + k % 17).alias("h"),
     )
@@ -135,7 +143,7 @@ def buildings(spark, sf) -> DataFrame:
             k.alias("building_id"),
             (w * h).alias("area_m2"),
             (k * 97 % 9700 / F.lit(1e1)).alias("x0"),
-            (k * 193 % 9700 / F.lit(1e1)).alias("y0"),
+            (k * 193 % 9700 / F.lit(1e1) + _square(k, BUILDINGS_A_SQUARE)).alias("y0"),
             (k % 25).cast("int").alias("n_nationkey"),
         )
         .join(table(spark, sf, "nation"), "n_nationkey")
@@ -144,13 +152,13 @@ def buildings(spark, sf) -> DataFrame:
 
 
 def pixels(spark, sf) -> DataFrame:
-    """Dense probability pixels on a 10 m grid: every cell that a shipment falls
-    in, one value per window, 0 = no data."""
+    """Dense probability pixels on a 10 m grid: every cell that a shipment falls in, in
+    the square of its part, one value per window, 0 = no data."""
     r, c = F.col("row"), F.col("col")
     return (
         table(spark, sf, "lineitem")
         .select(
-            ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % 100).cast("int").alias("row"),
+            ((F.col("l_orderkey") * 7 + F.col("l_suppkey")) % 100 + F.floor(F.col("l_partkey") / BUILDINGS_A_SQUARE) * 100).cast("int").alias("row"),
             ((F.col("l_partkey") * 13 + F.col("l_linenumber")) % 100).cast("int").alias("col"),
         )
         .distinct()
@@ -160,9 +168,9 @@ def pixels(spark, sf) -> DataFrame:
 
 
 def polygons(spark, sf) -> DataFrame:
-    """District edges: one notched pentagon per nation in a 200 m cell, every
+    """District edges: one notched pentagon per supplier in a 200 m cell, every
     second one with a square hole; outer rings run counter-clockwise."""
-    k = F.col("n_nationkey")
+    k = F.col("s_suppkey")
     ox, oy = (k % 5) * F.lit(200.0), F.floor(k / 5) * F.lit(200.0)
 
     def e(i, x1, y1, x2, y2):
@@ -176,7 +184,7 @@ def polygons(spark, sf) -> DataFrame:
 
     outer = [e(*t) for t in POLY_OUTER]
     hole = [e(*t) for t in POLY_HOLE]
-    return table(spark, sf, "nation").select(
+    return table(spark, sf, "supplier").select(
         k.alias("poly_id"),
         F.inline(F.when(k % 2 == 0, F.array(*outer, *hole)).otherwise(F.array(*outer))),
     )
@@ -194,7 +202,7 @@ def points(spark, sf) -> DataFrame:
     return table(spark, sf, "customer").select(
         k.alias("point_id"),
         (k * 7919 % 10000 / F.lit(1e1) + F.lit(0.03)).alias("x"),
-        (k * 104729 % 10000 / F.lit(1e1) + F.lit(0.07)).alias("y"),
+        (k * 104729 % 10000 / F.lit(1e1) + F.lit(0.07) + _square(k, POINTS_A_SQUARE)).alias("y"),
         (k % 6 + 1).cast("int").alias("damage"),
         (k % 14 + 1).cast("int").alias("ep"),
         F.date_add(F.lit(CHANGE), (k % 700).cast("int")).alias("date"),
@@ -261,25 +269,25 @@ SELECT building_id, e,
   CASE e WHEN 1 THEN y0 WHEN 2 THEN y0 WHEN 3 THEN y0 + h ELSE y0 + h END AS y1,
   CASE e WHEN 1 THEN x0 + w WHEN 2 THEN x0 + w WHEN 3 THEN x0 ELSE x0 END AS x2,
   CASE e WHEN 1 THEN y0 WHEN 2 THEN y0 + h WHEN 3 THEN y0 + h ELSE y0 END AS y2
-FROM (SELECT p_partkey AS building_id, (p_partkey * 97 % 9700) / 1e1 AS x0, (p_partkey * 193 % 9700) / 1e1 AS y0,
+FROM (SELECT p_partkey AS building_id, (p_partkey * 97 % 9700) / 1e1 AS x0, (p_partkey * 193 % 9700) / 1e1 + p_partkey // 500 * 1e3 AS y0,
              4e0 + p_size % 20 AS w, 4e0 + p_partkey % 17 AS h FROM part) b,
      (VALUES (1), (2), (3), (4)) k(e)""",
     "buildings": """
 SELECT p_partkey AS building_id, (4e0 + p_size % 20) * (4e0 + p_partkey % 17) AS area_m2,
-       (p_partkey * 97 % 9700) / 1e1 AS x0, (p_partkey * 193 % 9700) / 1e1 AS y0, n_name AS adm2_name
+       (p_partkey * 97 % 9700) / 1e1 AS x0, (p_partkey * 193 % 9700) / 1e1 + p_partkey // 500 * 1e3 AS y0, n_name AS adm2_name
 FROM part JOIN nation ON p_partkey % 25 = n_nationkey""",
     "pixels": """
 SELECT win, row, col, CAST((row * 7 + col * 13 + win * 29) % 256 AS INT) AS pred
-FROM (SELECT DISTINCT CAST((l_orderkey * 7 + l_suppkey) % 100 AS INT) AS row,
+FROM (SELECT DISTINCT CAST((l_orderkey * 7 + l_suppkey) % 100 + l_partkey // 500 * 100 AS INT) AS row,
              CAST((l_partkey * 13 + l_linenumber) % 100 AS INT) AS col FROM lineitem) c,
      (SELECT CAST(range AS INT) AS win FROM range(1, 20)) w""",
-    "polygons": "SELECT n_nationkey AS poly_id, e, (n_nationkey % 5) * 2e2 + a AS x1, (n_nationkey // 5) * 2e2 + b AS y1,"
-    " (n_nationkey % 5) * 2e2 + c AS x2, (n_nationkey // 5) * 2e2 + d AS y2 FROM nation, (VALUES "
+    "polygons": "SELECT s_suppkey AS poly_id, e, (s_suppkey % 5) * 2e2 + a AS x1, (s_suppkey // 5) * 2e2 + b AS y1,"
+    " (s_suppkey % 5) * 2e2 + c AS x2, (s_suppkey // 5) * 2e2 + d AS y2 FROM supplier, (VALUES "
     + ", ".join(str(t) for t in POLY_OUTER + POLY_HOLE)
-    + ") v(e, a, b, c, d) WHERE e <= 5 OR n_nationkey % 2 = 0",
+    + ") v(e, a, b, c, d) WHERE e <= 5 OR s_suppkey % 2 = 0",
     "points": """
 SELECT c_custkey AS point_id, c_custkey * 7919 % 10000 / 1e1 + 0.03e0 AS x,
-       c_custkey * 104729 % 10000 / 1e1 + 0.07e0 AS y, CAST(c_custkey % 6 + 1 AS INT) AS damage,
+       c_custkey * 104729 % 10000 / 1e1 + 0.07e0 + c_custkey // 375 * 1e3 AS y, CAST(c_custkey % 6 + 1 AS INT) AS damage,
        CAST(c_custkey % 14 + 1 AS INT) AS ep, DATE '1997-01-07' + CAST(c_custkey % 700 AS INT) AS date,
        CAST(c_custkey * 37 % 256 AS INT) AS pred
 FROM customer""",

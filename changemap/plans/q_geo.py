@@ -36,9 +36,10 @@ def geo_within_boundary(spark, sf):
 
 def geo_assign_admin(spark, sf):
     """All admin levels on every point in one spatial join."""
-    nation, region = X.table(spark, sf, "nation"), X.table(spark, sf, "region")
+    region = X.table(spark, sf, "region")
+    nation = X.table(spark, sf, "supplier").join(X.table(spark, sf, "nation"), F.col("s_suppkey") % 25 == F.col("n_nationkey"))
     adm = geo.admin_hierarchy(
-        nation.select(F.col("n_nationkey").alias("poly_id"), F.col("n_name").alias("adm3"), F.col("n_regionkey").alias("rk"),
+        nation.select(F.col("s_suppkey").alias("poly_id"), F.col("n_name").alias("adm3"), F.col("n_regionkey").alias("rk"),
                       F.concat(F.lit("g"), F.col("n_regionkey")).alias("adm2")),
         region.select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("adm1")),
         region.select(F.concat(F.lit("g"), F.col("r_regionkey")).alias("adm2"), F.concat(F.lit("2_"), F.col("r_regionkey")).alias("adm2_id")),
@@ -178,7 +179,7 @@ def building_scores(spark, sf):
 def building_scores_from_points(spark, sf):
     """The same from disks around points that carry a prediction per window."""
     p = X.points(spark, sf)
-    values = p.select("point_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("win"), "pred").withColumn(
+    values = p.select("point_id", F.explode(F.sequence(F.lit(1), F.lit(19))).alias("win"), "pred").withColumn(
         "pred", F.when((F.col("point_id") + F.col("win")) % 7 != 0, (F.col("pred") + F.col("win") * 11) % 256)
     )
     out = B.from_points(p, values, X.edges(spark, sf), cell_size=BUILDING_CELL, win="win")
@@ -238,7 +239,8 @@ def building_attach_labels(spark, sf):
 
 def building_attach_labels_by_area(spark, sf):
     """Labels count only for buildings touching the label's own district."""
-    p = X.points(spark, sf).withColumn("aoi", (F.col("point_id") % 25).cast("int"))
+    k = F.col("point_id")
+    p = X.points(spark, sf).withColumn("aoi", (F.floor(k / X.POINTS_A_SQUARE) * X.POLYGONS_A_SQUARE + k % X.POLYGONS_A_SQUARE).cast("int"))
     areas = X.polygons(spark, sf).withColumnRenamed("poly_id", "aoi")
     return B.attach_labels(
         X.buildings(spark, sf).select("building_id"), X.edges(spark, sf), p, radius=30.0, cell_size=BUILDING_CELL,
@@ -393,7 +395,8 @@ _AC = (
 _OV = (
     "ov AS (SELECT building_id, row, col, area FROM (SELECT building_id, CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col,"
     " (least(maxx, c.range * 10 + 10) - greatest(minx, c.range * 10)) * (least(maxy, r.range * 10 + 10) - greatest(miny, r.range * 10)) AS area"
-    " FROM bb JOIN range(0, 130) c ON c.range * 10 < maxx AND c.range * 10 + 10 > minx JOIN range(0, 130) r ON r.range * 10 < maxy AND r.range * 10 + 10 > miny) WHERE area > 1e-9)"
+    " FROM bb, unnest(range(CAST(floor(minx / 10) AS BIGINT), CAST(floor(maxx / 10) AS BIGINT) + 1)) c(range),"
+    " unnest(range(CAST(floor(miny / 10) AS BIGINT), CAST(floor(maxy / 10) AS BIGINT) + 1)) r(range)) WHERE area > 1e-9)"
 )
 _SC = (
     "sc AS (SELECT building_id, win, coalesce(sum(pred * area), 0) / sum(area) AS weighted_mean, CAST(max(pred) AS DOUBLE) AS max"
@@ -537,7 +540,7 @@ _DIST = (
     " pow(greatest(minx - x, 0, x - maxx), 2) + pow(greatest(miny - y, 0, y - maxy), 2) <= 25)"
 )
 _PTS = (
-    "pv AS (SELECT point_id, CAST(range AS INT) AS win, CASE WHEN (point_id + range) % 7 <> 0 THEN (pred + range * 11) % 256 END AS v FROM points, range(1, 6))"
+    "pv AS (SELECT point_id, CAST(range AS INT) AS win, CASE WHEN (point_id + range) % 7 <> 0 THEN (pred + range * 11) % 256 END AS v FROM points, range(1, 20))"
 )
 _REPORT = "rt AS (SELECT b.building_id, area_m2, adm2_name, max_pre, max_post, damaged FROM buildings b LEFT JOIN cl ON cl.building_id = b.building_id)"
 
@@ -565,7 +568,7 @@ ORACLES = {
     "geo_assign_admin": X.with_views("points", "polygons", extra=(_PIP,))
     + """SELECT p.point_id, x, y, pip.poly_id, 'g' || n_regionkey AS adm2, n_regionkey AS rk, n_name AS adm3, r_name AS adm1,
  '2_' || r_regionkey AS adm2_id FROM points p LEFT JOIN pip ON pip.point_id = p.point_id
- LEFT JOIN nation ON n_nationkey = poly_id LEFT JOIN region ON r_regionkey = n_regionkey""",
+ LEFT JOIN nation ON n_nationkey = poly_id % 25 LEFT JOIN region ON r_regionkey = n_regionkey""",
     "geo_intersects": X.with_views("edges", "polygons", extra=(_SEG, *_CORNER))
     + "SELECT * FROM seg UNION SELECT * FROM ca UNION SELECT * FROM cb",
     "geo_area_centroid": X.with_views("edges", extra=(_BB, _AC))
@@ -614,9 +617,9 @@ ORACLES = {
     "building_attach_labels_by_area": X.with_views("buildings", "edges", "points", "polygons", extra=(
         _BB, _DIST.replace("- 5", "- 30").replace("+ 5", "+ 30").replace("<= 25", "<= 900"), _SEG, *_CORNER,
         "tc AS (SELECT * FROM seg UNION SELECT * FROM ca UNION SELECT * FROM cb)",
-        "best AS (SELECT wd.building_id, damage, p.point_id, date, CAST(p.point_id % 25 AS INT) AS aoi,"
+        "best AS (SELECT wd.building_id, damage, p.point_id, date, CAST(p.point_id // 375 * 25 + p.point_id % 25 AS INT) AS aoi,"
         " row_number() OVER (PARTITION BY wd.building_id ORDER BY damage, p.point_id, ep) AS rn FROM wd JOIN points p ON p.point_id = wd.point_id"
-        " JOIN tc ON tc.building_id = wd.building_id AND tc.poly_id = p.point_id % 25)",
+        " JOIN tc ON tc.building_id = wd.building_id AND tc.poly_id = p.point_id // 375 * 25 + p.point_id % 25)",
     )) + "SELECT b.building_id, damage AS label_damage, point_id AS label_id, date AS label_date, aoi AS label_aoi FROM buildings b LEFT JOIN best ON best.building_id = b.building_id AND rn = 1",
     "building_area_filter": X.with_views("buildings") + "SELECT adm2_name, count(*) FILTER (area_m2 >= 56) AS at_least, count(*) FILTER (area_m2 > 56) AS above FROM buildings GROUP BY ALL",
     "stats_by_admin": _b(_REPORT) + "SELECT adm2_name, count(damaged) AS n_buildings, CAST(sum(damaged) AS BIGINT) AS n_damaged, round(avg(damaged) * 100, 6) AS pct_damaged, round(avg(max_post), 6) AS mean_max_post FROM rt GROUP BY ALL",

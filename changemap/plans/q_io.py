@@ -66,7 +66,7 @@ def io_read_polygons(spark, sf):
     )
     polys.select(feature.alias("value")).write.text(path)
     out = io.read_polygons(spark, path, ["poly_id"])
-    return out.select(F.col("poly_id").cast("int").alias("poly_id"), "x1", "y1", "x2", "y2")
+    return out.select(F.col("poly_id").cast("long").alias("poly_id"), "x1", "y1", "x2", "y2")
 
 
 def io_one_polygon(spark, sf):

@@ -20,12 +20,12 @@ def _long(spark, sf):
 
 
 def _place():
-    k = F.col("site_id")
-    return [(k % 25 / F.lit(1e3)).alias("lon"), (k % 2 / F.lit(1e3)).alias("lat")]
+    k = F.floor(F.col("site_id") / 4)
+    return [(k % 100 / F.lit(1e3)).alias("lon"), (F.floor(k / 100) / F.lit(1e3)).alias("lat")]
 
 
 _LONG = (
-    "long AS (SELECT a.*, s.aoi, a.site_id % 25 / 1e3 AS lon, a.site_id % 2 / 1e3 AS lat"
+    "long AS (SELECT a.*, s.aoi, a.site_id // 4 % 100 / 1e3 AS lon, a.site_id // 400 / 1e3 AS lat"
     " FROM assess a JOIN sites s ON s.site_id = a.site_id)"
 )
 

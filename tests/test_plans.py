@@ -46,3 +46,20 @@ def test_partition_and_area_filters_are_pushed(spark, sf):
 def test_feature_scan_reads_only_its_columns(spark, sf):
     text = plan(catalog.queries()["features_build"](spark, sf))
     assert "l_tax" not in text and "l_returnflag" not in text
+
+
+def test_views_grow_at_constant_density(spark):
+    """Ten times the rows: about ten times the cells, places and overlapping pairs."""
+    from changemap.plans import fixtures as X
+    from changemap.plans import q_geo, q_labels
+
+    sizes = {}
+    for sf in ("sf0.01", "sf0.1"):
+        path = f"/root/testdata/{sf}"
+        sizes[sf] = (
+            X.pixels(spark, path).select("row", "col").distinct().count(),
+            q_labels.labels_last(spark, path).count(),
+            q_geo.geo_disk_overlap(spark, path).count(),
+            q_geo.geo_within_distance(spark, path).count(),
+        )
+    assert all(6 < b / a < 15 for a, b in zip(sizes["sf0.01"], sizes["sf0.1"])), sizes
