@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changemap.llm.graph import components
@@ -87,11 +87,12 @@ def links(fps: DataFrame, blocks: int = 3) -> DataFrame:
         left = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in rest))))
         one = rooted.select(F.lit(k).alias("block"), _variants(left, rest).alias("variant"), "fp", "root")
         keyed = one if keyed is None else keyed.union(one)
-    open_keys = materialise(
-        keyed.groupBy("block", "variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .where("lo <> hi").select("block", "variant"), "keys",
+    # one shuffle: a variant's rows stay together only where they are of several components
+    meet = Window.partitionBy("block", "variant")
+    few = materialise(
+        keyed.withColumn("lo", F.min("root").over(meet)).withColumn("hi", F.max("root").over(meet))
+        .where("lo <> hi").select("block", "variant", "fp", "root"), "candidates",
     )
-    few = materialise(keyed.join(open_keys, ["block", "variant"]), "candidates")
     x, y = few.alias("x"), few.alias("y")
     far = (
         x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.variant") == F.col("y.variant")) & (F.col("x.root") < F.col("y.root"))
