@@ -92,20 +92,12 @@ def histogram(
         .agg(F.sum(side).cast("bigint").alias("pos"), F.sum(1 - side).cast("bigint").alias("neg"))
     )
     expected = _expected_totals(sites, spans, change_date, pos_year)
-    # missing votes = expected minus seen, placed below every threshold
-    seen_or_due = seen.select("pred", "pos", "neg", F.lit(0).alias("due")).unionByName(
-        expected.select(
-            F.lit(-1.0).alias("pred"), F.col("n_pos").alias("pos"), F.col("n_neg").alias("neg"), F.lit(1).alias("due")
-        )
-    )
-    all_rows = Window.partitionBy()  # one row per prediction value
-    short = {
-        c: F.when(F.col("due") == 1, F.col(c) - F.sum(F.when(F.col("due") == 0, F.col(c)).otherwise(0)).over(all_rows))
-        .otherwise(F.col(c))
-        .alias(c)
-        for c in ("pos", "neg")
-    }
-    return seen_or_due.select("pred", *short.values())
+    # missing votes = expected minus seen, placed below every threshold; an aggregate, as a
+    # real-valued prediction may have as many values as there are rows
+    due = expected.select(F.col("n_pos").alias("pos"), F.col("n_neg").alias("neg")).unionByName(
+        seen.select((-F.col("pos")).alias("pos"), (-F.col("neg")).alias("neg"))
+    ).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("pos", "neg")])
+    return seen.unionByName(due.select(F.lit(-1.0).alias("pred"), "pos", "neg"))
 
 
 def sweep(
@@ -119,11 +111,14 @@ def sweep(
 ) -> DataFrame:
     """Confusion counts and metrics for every threshold, from one pass."""
     hist = histogram(preds, sites, spans, change_date, on, pos_year)
-    # a few hundred rows from here on: a threshold takes the bins at or above its cut
     listed = ", ".join(f"{float(t)!r}D" for t in thresholds)
-    at = F.col("pred") >= F.col("threshold") * F.lit(float(P.SCALE_MAX))
+    # rows are summed by how many thresholds they pass; no more rows than thresholds from here on
+    passed = F.size(F.filter(F.expr(f"array({listed})"), lambda t: F.col("pred") >= t * F.lit(float(P.SCALE_MAX))))
+    hist = hist.groupBy(passed.alias("passed")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ordered = ", ".join(f"struct({sorted(map(float, thresholds)).index(float(t))} AS rank, {float(t)!r}D AS threshold)" for t in thresholds)
+    at = F.col("passed") > F.col("rank")
     counts = (
-        hist.select("pred", "pos", "neg", F.expr(f"explode(array({listed}))").alias("threshold"))
+        hist.select("passed", "pos", "neg", F.expr(f"inline(array({ordered}))"))
         .groupBy("threshold")
         .agg(
             F.sum(F.when(at, F.col("pos")).otherwise(0)).alias("tp"),
@@ -182,8 +177,12 @@ def votes(
     cut = F.lit(threshold * P.SCALE_MAX)
     by_window = preds.where(F.col("pred").isNotNull()).groupBy(*on).agg(
         # one entry per window of the run
-        F.map_from_entries(F.collect_list(F.struct("start_post", "pred"))).alias("_p")
+        F.collect_list(F.struct("start_post", "pred")).alias("_e")
     )
+    starts = F.transform("_e", lambda e: e["start_post"])
+    by_window = by_window.select(*on, F.when(F.size(F.array_distinct(starts)) == F.size(starts), F.map_from_entries("_e")).otherwise(
+        F.raise_error(F.lit(f"more than one prediction for a window of one {'/'.join(on)}; name all key columns in `on`"))
+    ).alias("_p"))
     base = dated.join(by_window, on, "left")
     side_windows = {
         1: F.filter(

@@ -21,6 +21,7 @@ from changemap.functions.median import grouped_agg
 from changemap.functions.moments import reducer
 from changemap.functions.names import feature_name
 from changemap.functions.scalars import nan_to_null
+from changemap.operators.pixels import focal_mean
 from changemap.operators.windows import Span, tag, window_array, window_label, window_numbers
 
 
@@ -33,18 +34,19 @@ def window_stats(
     reducers: Sequence[str] = P.REDUCERS,
     date_col: str = "obs_date",
     hot_rows: int | None = P.HOT_GROUP_ROWS,
+    inclusive_end: bool = True,
 ) -> DataFrame:
     """``keys, win, n, {band}_{reducer}...``; win 0 is the pre period and -1
     marks keys that have observations outside every window, without values."""
     keys = list(keys)
     values = [nan_to_null(F.col(b).cast("double")).alias(b) for b in bands]
     spans = [pre, *post]
-    rows = tag(obs.select(*keys, date_col, *values), date_col, spans, first=0).drop(date_col)
+    rows = tag(obs.select(*keys, date_col, *values), date_col, spans, inclusive_end, first=0).drop(date_col)
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [reducer(r, b).alias(f"{b}_{r}") for b in bands for r in reducers if r != "median"]
     medians = {f"{b}_median": b for b in bands} if "median" in reducers else {}
     stats = grouped_agg(rows, keys + ["win"], aggs, medians, hot_rows, coarse=(obs.select(*keys), keys))
-    outside = " AND ".join(f"({c}) IS NULL" for c in window_numbers(date_col, spans))
+    outside = " AND ".join(f"({c}) IS NULL" for c in window_numbers(date_col, spans, inclusive_end))
     stray = obs.where(outside).select(*keys).distinct().withColumn("win", F.lit(-1))
     return stats.unionByName(stray, allowMissingColumns=True)
 
@@ -64,17 +66,24 @@ def build(
     severe_col: str | None = "date_first_severe",
     with_counts: bool = False,
     hot_rows: int | None = P.HOT_GROUP_ROWS,
+    inclusive_end: bool = True,
+    grid_from: str = "obs",
 ) -> DataFrame:
     """Feature rows for every key and window that passes the label rule.
 
     ``sites`` holds one metadata row per ``site_keys``; ``severe_col`` in it is
     the date the change was first confirmed.  A window ending after
     ``change_date`` keeps only sites confirmed by its end; ``severe_col=None``
-    keeps every window (dense scoring).
+    keeps every window (dense scoring). ``inclusive_end=False`` leaves the last day of a
+    window out. ``grid_from="sites"`` also keeps sites without observations, with
+    nulls for the keys that only observations have. ``extract_window`` names the
+    features; the values must have been taken over it (``from_pixels`` does so).
     """
+    if grid_from not in ("obs", "sites") or grid_from == "sites" and sites is None:
+        raise ValueError("grid_from is 'obs', or 'sites' where there are sites")
     keys = list(keys)
     post = list(post) or P.month_windows()
-    stats = window_stats(obs, pre, post, keys, bands, reducers, date_col, hot_rows)
+    stats = window_stats(obs, pre, post, keys, bands, reducers, date_col, hot_rows, inclusive_end)
     cols = [f"{b}_{r}" for b in bands for r in reducers]
     vec = F.struct(*[F.col(c) for c in cols], F.col("n"))
     if sites is not None:
@@ -84,7 +93,7 @@ def build(
     folded = stats.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("win"), vec.alias("s")))).alias("_by_win")
     )
-    described = folded if sites is None else folded.join(sites, list(site_keys), "left")
+    described = folded if sites is None else folded.join(sites, list(site_keys), "left" if grid_from == "obs" else "full")
     grid = described.select("*", F.inline(window_array(post)))
     grid = grid.withColumn("label", window_label(F.col("end_post"), change_date))
     if severe_col:
@@ -114,10 +123,19 @@ def build_with_pre_window(obs: DataFrame, sites: DataFrame, pre: Span, post: Seq
 
 
 def from_pixels(
-    pixels: DataFrame, pre: Span, post: Sequence[Span], keys: Sequence[str] = ("tile", "row", "col", "orbit"), **kw
+    pixels: DataFrame, pre: Span, post: Sequence[Span], keys: Sequence[str] = ("tile", "row", "col", "orbit"),
+    bands: Sequence[str] = P.RADAR_BANDS, extract_window: str = P.EXTRACT_WINDOW, date_col: str = "obs_date", **kw
 ) -> DataFrame:
-    """Feature rows per pixel: the same plan keyed by cell, every window kept."""
-    return build(pixels, None, pre, post, keys=keys, severe_col=None, **kw)
+    """Feature rows per pixel: the same plan keyed by cell, every window kept.
+
+    With an ``extract_window`` over 1x1 each scene is smoothed first: the mean over the
+    window around each of its pixels, those of its own tile.
+    """
+    k = int(extract_window.split("x")[0])
+    if k > 1:
+        scene = [c for c in keys if c not in ("row", "col")]
+        pixels = focal_mean(pixels, list(bands), k, [*scene, date_col])
+    return build(pixels, None, pre, post, keys=keys, severe_col=None, bands=bands, extract_window=extract_window, date_col=date_col, **kw)
 
 
 def drop_incomplete(features: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,8 +17,12 @@ from changemap import params as P
 from changemap.functions.names import split_name
 
 # Defaults where the ML library's own differ from the study's set-up.  There is
-# no leaf-count limit here; depth bounds the trees instead.
-_FOREST = {"numTrees": 50, "minInstancesPerNode": 3, "maxDepth": 12, "maxBins": 64}
+# no leaf-count limit here; the depth is the library's largest.
+_FOREST = {"numTrees": 50, "minInstancesPerNode": 3, "maxDepth": 30, "maxBins": 64}
+
+
+# single trees that are grown side by side
+FITS_AT_ONCE = 4
 
 
 def classifier(name: str = "random_forest", seed: int = 0, label: str = "label", **args):
@@ -36,7 +42,8 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy()  # one row per class
     w = F.sum("_n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_n"))
-    return df.join(per.select(label, w.alias(out)), label)
+    # one row a class, so a row never travels to the task of its class
+    return df.join(F.broadcast(per.select(label, w.alias(out))), label)
 
 
 def fit(
@@ -68,7 +75,7 @@ def load_or_fit(path: str, train: DataFrame, features: Sequence[str], force: boo
         try:
             return PipelineModel.load(path)
         except Exception as e:  # nothing saved yet
-            if "does not exist" not in str(e) and "empty" not in str(e).lower():
+            if "Input path does not exist" not in str(e) and "PATH_NOT_FOUND" not in str(e):
                 raise
     model = fit(train, features, **kw)
     model.write().overwrite().save(path)
@@ -154,31 +161,33 @@ def oob_curve(
     pass, each row keeping only the trees that never saw it.
     """
     data = train.na.drop(subset=list(features))
-    models = []
-    for t in range(n_trees):
+
+    def grown(t: int) -> PipelineModel:
         drawn = data.withColumn("_w", bootstrap_weight(row_key, t, seed))
-        models.append(
-            fit(drawn.where(F.col("_w") > 0), features, seed=seed + t, label=label, weight="_w",
-                **{**args, "numTrees": 1, "bootstrap": False, "featureSubsetStrategy": subset})
-        )
+        return fit(drawn.where(F.col("_w") > 0), features, seed=seed + t, label=label, weight="_w",
+                   **{**args, "numTrees": 1, "bootstrap": False, "featureSubsetStrategy": subset})
+
+    # trees do not wait for each other
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = list(pool.map(inheritable_thread_target(data.sparkSession)(grown), range(n_trees)))
     scored = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
     base = [*row_key, label, "features"]
-    scored = scored.select(*base)
+    scored = scored.select(*base, F.array().cast("array<double>").alias("_p"))
     for t, m in enumerate(models):
         scored = m.stages[-1].transform(scored)
         p = F.when(bootstrap_weight(row_key, t, seed) == 0, vector_to_array("probability")[1])
-        scored = scored.select(*base, *[f"_p{i}" for i in range(t)], p.alias(f"_p{t}"))
-    curve = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("n_trees"),
-                sum((F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) for i in range(k)), F.lit(0.0)).alias("p"),
-                sum((F.col(f"_p{i}").isNotNull().cast("int") for i in range(k)), F.lit(0)).alias("n"),
-            )
-            for k in range(1, n_trees + 1)
-        ]
+        scored = scored.select(*base, F.array_append("_p", p).alias("_p"))
+    # one fold over a row's votes: the running sum and number after every tree
+    empty = "array<struct<p:double,n:int>>"
+    curve = F.aggregate(
+        "_p", F.array().cast(empty),
+        lambda acc, p: F.array_append(acc, F.struct(
+            (F.coalesce(F.try_element_at(acc, F.lit(-1))["p"], F.lit(0.0)) + F.coalesce(p, F.lit(0.0))).alias("p"),
+            (F.coalesce(F.try_element_at(acc, F.lit(-1))["n"], F.lit(0)) + p.isNotNull().cast("int")).alias("n"),
+        ).cast("struct<p:double,n:int>")),
     )
-    votes = scored.select(F.col(label).cast("double").alias("_y"), F.inline(curve)).where(F.col("n") > 0)
+    votes = scored.select(F.col(label).cast("double").alias("_y"), F.posexplode(curve).alias("k", "v"))
+    votes = votes.select("_y", (F.col("k") + 1).alias("n_trees"), "v.p", "v.n").where(F.col("n") > 0)
     wrong = (F.col("p") / F.col("n") > 0.5).cast("double") != F.col("_y")
     return votes.groupBy("n_trees").agg(F.avg(wrong.cast("double")).alias("oob_error")).orderBy("n_trees")
 

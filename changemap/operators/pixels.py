@@ -37,19 +37,23 @@ def _offsets(k: int):
 def focal_mean(pixels: DataFrame, values: Sequence[str], k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """Mean over the k x k square around each pixel, over the pixels present.
 
-    Every pixel is sent to the cells it touches and averaged there: one shuffle.
+    Sums and counts go along the rows, then along the columns: every pixel becomes
+    2k rows instead of k*k, and the means stay exact at edges and gaps. Other columns
+    than keys and values are not kept.
     """
     keys = list(keys)
-    out = (
-        pixels.select(*keys, "row", "col", *values)
-        .withColumn("_dr", F.explode(_offsets(k)))
-        .withColumn("_dc", F.explode(_offsets(k)))
-        .withColumn("_c", (F.col("_dr") == 0) & (F.col("_dc") == 0))
-        .withColumns({"row": F.col("row") + F.col("_dr"), "col": F.col("col") + F.col("_dc")})
-        .groupBy(*keys, "row", "col")
-        .agg(*[F.avg(v).alias(v) for v in values], F.max("_c").alias("_c"))
+    out = pixels.select(
+        *keys, "row", "col", F.lit(True).alias("_c"),
+        *[F.col(v).cast("double").alias(f"_s_{v}") for v in values],
+        *[F.col(v).isNotNull().cast("long").alias(f"_n_{v}") for v in values],
     )
-    return out.where("_c").drop("_c")
+    for axis in ("col", "row"):
+        out = out.withColumn("_d", F.explode(_offsets(k))).withColumns(
+            {axis: F.col(axis) + F.col("_d"), "_c": F.col("_c") & (F.col("_d") == 0)}
+        )
+        out = out.groupBy(*keys, "row", "col").agg(F.max("_c").alias("_c"), *[F.sum(f"_{p}_{v}").alias(f"_{p}_{v}") for v in values for p in "sn"])
+    means = [F.when(F.col(f"_n_{v}") > 0, F.col(f"_s_{v}") / F.col(f"_n_{v}")).alias(v) for v in values]
+    return out.where("_c").select(*keys, "row", "col", *means)
 
 
 def mosaic(

@@ -41,7 +41,7 @@ def to_wide(
     starts = [str(s) for s, _ in windows]
     wide = preds.groupBy(*keys).pivot("start_post", [s for s, _ in windows]).agg(F.max(value))
     renamed = [F.col(f"`{s}`").alias(f"{prefix}{s}") for s in starts]
-    return wide.select(*keys, *renamed).orderBy(*reversed(list(keys)))
+    return wide.select(*keys, *renamed)
 
 
 def to_long(

@@ -154,6 +154,42 @@ def features_from_pixels(spark, sf):
     return _rounded(out, feature_names(BANDS, ("mean", "median")))
 
 
+def _cells(spark, sf):
+    """One observation a day for each cell, so that a neighbourhood has one scene."""
+    o = X.obs(spark, sf).groupBy("site_id", "orbit", "obs_date").agg(F.max("vv").alias("vv"), F.max("vh").alias("vh"))
+    k = F.col("site_id")
+    return o.select(
+        F.floor(k / 16).cast("int").alias("tile"), F.floor(k % 16 / 4).cast("int").alias("row"), (k % 4).cast("int").alias("col"),
+        "orbit", "obs_date", "vv", "vh",
+    )
+
+
+def features_from_pixels_3x3(spark, sf):
+    """The same after each scene was smoothed over 3 x 3 cells, with all statistics."""
+    px = _cells(spark, sf).withColumn("obs_date", F.date_trunc("month", "obs_date").cast("date"))
+    px = px.groupBy("tile", "row", "col", "orbit", "obs_date").agg(F.max("vv").alias("vv"), F.max("vh").alias("vh"))
+    out = features.from_pixels(px, X.PRE, X.POST, bands=BANDS, extract_window="3x3", change_date=X.CHANGE)
+    return _rounded(out, feature_names(BANDS, P.REDUCERS, ("3x3",)))
+
+
+def features_half_open(spark, sf):
+    """Windows without their last day."""
+    out = features.build(
+        X.obs(spark, sf), site_table(spark, sf), X.PRE, X.POST, bands=BANDS, reducers=("mean", "max"),
+        change_date=X.CHANGE, with_counts=True, inclusive_end=False,
+    )
+    return _rounded(out, feature_names(BANDS, ("mean", "max")))
+
+
+def features_all_sites(spark, sf):
+    """Sites whose observations are missing keep their windows, without values."""
+    o = X.obs(spark, sf).where(F.col("site_id") % 3 != 0)
+    out = features.build(
+        o, site_table(spark, sf), X.PRE, X.POST, bands=BANDS, reducers=("mean",), change_date=X.CHANGE, grid_from="sites",
+    )
+    return _rounded(out, feature_names(BANDS, ("mean",))).select("site_id", "orbit", "win", "label", *feature_names(BANDS, ("mean",)))
+
+
 def features_optical(spark, sf):
     """Several optical bands with image counts per period."""
     o = X.obs(spark, sf).select(
@@ -167,7 +203,7 @@ def features_optical(spark, sf):
     return _rounded(out, feature_names(OPTICAL, ("mean", "stdDev")))
 
 
-OPTICAL = ("B2", "B3", "B4", "B8", "B11", "B12")
+OPTICAL = ("B1", "B2", "B3", "B4", "B5", "B6", "B7", "B8", "B8A", "B9", "B11", "B12")
 
 
 def _optical_sql() -> str:
@@ -214,6 +250,45 @@ LEFT JOIN ps p ON p.tile = k.tile AND p.row = k.row AND p.col = k.col AND p.orbi
 LEFT JOIN qs q ON q.tile = k.tile AND q.row = k.row AND q.col = k.col AND q.orbit = k.orbit AND q.win = w.win"""
 
 
+def _smoothed_sql() -> str:
+    stats = ", ".join(_sql_stats(b, b) for b in BANDS)
+    cols = [
+        f"{X.r6(f'{side}.{b}_{r}')} AS {feature_name(b, p, '3x3', r)}"
+        for b in BANDS for p, side in (("pre", "p"), ("post", "q")) for r in P.REDUCERS
+    ]
+    k = "tile, row, col, orbit"
+    same = " AND ".join(f"{{0}}.{c} = k.{c}" for c in ("tile", "row", "col", "orbit"))
+    return X.with_views(
+        "obs", windows=X.POST,
+        extra=(
+            "c AS (SELECT CAST(site_id // 16 AS INT) AS tile, CAST(site_id % 16 // 4 AS INT) AS row, CAST(site_id % 4 AS INT) AS col, orbit,"
+            " CAST(date_trunc('month', obs_date) AS DATE) AS obs_date, max(vv) AS vv, max(vh) AS vh FROM obs GROUP BY ALL)",
+            "px AS (SELECT a.tile, a.row, a.col, a.orbit, a.obs_date, avg(b.vv) AS vv, avg(b.vh) AS vh FROM c a JOIN c b ON b.tile = a.tile AND b.orbit = a.orbit"
+            " AND b.obs_date = a.obs_date AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL)",
+            f"ps AS (SELECT {k}, {stats} FROM px WHERE obs_date BETWEEN DATE '{X.PRE[0]}' AND DATE '{X.PRE[1]}' GROUP BY ALL)",
+            f"qs AS (SELECT {k}, win, {stats} FROM px JOIN windows ON obs_date BETWEEN start_post AND end_post GROUP BY {k}, win)",
+            f"keys AS (SELECT DISTINCT {k} FROM px)",
+        ),
+    ) + f"""SELECT k.tile, k.row, k.col, k.orbit, w.win, DATE '{X.PRE[0]}' AS start_pre, DATE '{X.PRE[1]}' AS end_pre,
+ w.start_post, w.end_post, w.label, {", ".join(cols)}
+FROM keys k CROSS JOIN windows w LEFT JOIN ps p ON {same.format("p")} LEFT JOIN qs q ON {same.format("q")} AND q.win = w.win"""
+
+
+def _half_open_sql() -> str:
+    sql = _features_sql(("mean", "max"), counts=True).replace("obs_date BETWEEN start_post AND end_post", "obs_date >= start_post AND obs_date < end_post")
+    sql = sql.replace(f"obs_date BETWEEN DATE '{X.PRE[0]}' AND DATE '{X.PRE[1]}'", f"obs_date >= DATE '{X.PRE[0]}' AND obs_date < DATE '{X.PRE[1]}'")
+    return f"WITH f AS ({sql}) SELECT * REPLACE (CAST(win - 1 AS INT) AS win) FROM f WHERE start_post <> start_pre"
+
+
+def _all_sites_sql() -> str:
+    names = ", ".join(feature_names(BANDS, ("mean",)))
+    none = ", ".join(f"NULL AS {n}" for n in feature_names(BANDS, ("mean",)))
+    seen = f"SELECT site_id, orbit, win - 1 AS win, label, {names} FROM ({_features_sql(('mean',))}) WHERE site_id % 3 <> 0 AND win > 1"
+    return X.with_views("sites", "site_summary", windows=X.POST) + f"""SELECT * FROM ({seen}) UNION ALL
+SELECT s.site_id, NULL, w.win, w.label, {none} FROM sites s CROSS JOIN windows w LEFT JOIN site_summary y ON y.site_id = s.site_id
+WHERE s.site_id % 3 = 0 AND (w.label = 0 OR y.date_first_severe <= w.end_post)"""
+
+
 def stats_seven_moments(spark, sf):
     """Seven statistics of price per supplier and line number."""
     from changemap.functions.median import grouped_agg
@@ -255,7 +330,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         features_build, features_with_counts, features_hot_groups, features_label_rule, features_complete,
-        features_join_sets, features_from_pixels, features_optical, window_assign, window_assign_half_open,
+        features_join_sets, features_from_pixels, features_from_pixels_3x3, features_half_open, features_all_sites, features_optical, window_assign, window_assign_half_open,
         window_ids, window_pairs, windows_from_names, window_sides, stats_seven_moments, feature_name_parts,
         dates_from_millis,
     )
@@ -276,6 +351,9 @@ WHERE w.label = 0 OR y.date_first_severe <= w.end_post GROUP BY ALL""",
     + ", ".join(feature_names(BANDS, ("mean",)) + feature_names(BANDS, ("max",)))
     + " FROM f",
     "features_from_pixels": _pixel_features_sql(),
+    "features_from_pixels_3x3": _smoothed_sql(),
+    "features_half_open": _half_open_sql(),
+    "features_all_sites": _all_sites_sql(),
     "features_optical": _optical_sql(),
     "window_assign": X.with_views("obs", windows=X.POST)
     + "SELECT win, start_post, end_post, count(*) AS n, min(obs_date) AS first FROM obs JOIN windows ON obs_date BETWEEN start_post AND end_post GROUP BY ALL",

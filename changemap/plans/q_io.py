@@ -141,6 +141,15 @@ def io_read_obs(spark, sf):
     return out.select("site_id", "obs_date", "vv", "vh", "aoi", F.col("orbit").cast("int").alias("orbit"))
 
 
+def io_rewrite_replaces(spark, sf):
+    """The cache of all areas, then that of one in its place: no other area is left."""
+    path = work_path(spark, "obs")
+    o = X.obs(spark, sf).join(X.sites(spark, sf).select("site_id", "aoi"), "site_id")
+    io.write_obs(o, path)
+    io.write_obs(o.where(F.col("aoi") == "ASIA"), path)
+    return io.read_obs(spark, path).groupBy("aoi", "orbit").agg(F.count(F.lit(1)).alias("n"))
+
+
 def io_read_features(spark, sf):
     """Test rows of one strategy from the partitioned feature set."""
     from changemap.operators.splits import random_all
@@ -162,7 +171,7 @@ def io_pixel_features(spark, sf):
 
     path = work_path(spark, "pixel_features")
     px = X.obs(spark, sf).select(
-        (F.col("site_id") % 4).cast("int").alias("tile"), F.floor(F.col("site_id") / 4).cast("int").alias("row"), F.lit(0).alias("col"),
+        F.lpad((F.col("site_id") % 4).cast("string"), 3, "0").alias("tile"), F.floor(F.col("site_id") / 4).cast("int").alias("row"), F.lit(0).alias("col"),
         "orbit", "obs_date", "vv", "vh",
     )
     io.write_pixel_features(from_pixels(px, X.PRE, X.POST, bands=("vv", "vh"), reducers=("mean", "max"), change_date=X.CHANGE), path)
@@ -192,11 +201,11 @@ def io_pixels_in_box(spark, sf):
 def io_pixel_preds(spark, sf):
     """Byte predictions by window and tile; a second write replaces two tiles only."""
     path = work_path(spark, "preds")
-    tile = (F.floor(F.col("row") / 50) * 2 + F.floor(F.col("col") / 50)).cast("int")
+    tile = F.lpad((F.floor(F.col("row") / 50) * 2 + F.floor(F.col("col") / 50)).cast("string"), 6, "0")
     p = X.pixels(spark, sf).withColumn("tile", tile).withColumn("pred", F.col("pred").cast("smallint"))
     io.write_pixel_preds(p, path)
-    io.write_pixel_preds(p.where((F.col("win") == 2) & (F.col("tile") < 2)).withColumn("pred", F.lit(1).cast("smallint")), path)
-    return spark.read.parquet(path).groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n"), F.sum("pred").alias("total"))
+    io.write_pixel_preds(p.where((F.col("win") == 2) & (F.col("tile") < "000002")).withColumn("pred", F.lit(1).cast("smallint")), path)
+    return io.read_preds(spark, path).groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n"), F.sum("pred").alias("total"))
 
 
 def io_preds_or_compute(spark, sf):
@@ -283,7 +292,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         io_csv_to_parquet, io_read_labels, io_read_point_labels, io_read_polygons, io_one_polygon, io_read_assessments,
-        io_read_buildings, io_scan_bbox, io_read_admin, io_boundary, io_read_obs, io_read_features, io_pixel_features, io_orbits,
+        io_read_buildings, io_scan_bbox, io_read_admin, io_boundary, io_read_obs, io_rewrite_replaces, io_read_features, io_pixel_features, io_orbits,
         io_pixels_in_box, io_pixel_preds, io_preds_or_compute, io_labels_by_aoi, io_runs, buildings_project_source,
         stream_score, stream_resume_skip_done,
     )
@@ -317,20 +326,22 @@ FROM assess a JOIN sites s ON s.site_id = a.site_id, (VALUES ('csv'), ('parquet'
         "io_boundary": X.with_views("points", "polygons", extra=(q_geo._PIP,)) + "SELECT point_id, x, y FROM points WHERE point_id IN (SELECT point_id FROM pip)",
         "io_read_obs": X.with_views("obs", "sites")
         + "SELECT o.site_id, obs_date, vv, vh, aoi, orbit FROM obs o JOIN sites s ON s.site_id = o.site_id WHERE aoi = 'ASIA' AND orbit = 94",
+        "io_rewrite_replaces": X.with_views("obs", "sites")
+        + "SELECT aoi, orbit, count(*) AS n FROM obs o JOIN sites s ON s.site_id = o.site_id WHERE aoi = 'ASIA' GROUP BY ALL",
         "io_read_features": f"WITH f AS ({_features_sql(('mean',))}), s AS (SELECT site_id, {q_labels._SPLIT.format(p='', seed=42, k='site_id')} FROM (SELECT DISTINCT site_id FROM f))"
         + " SELECT f.site_id, orbit, win, vv_pre_1x1_mean, vv_post_1x1_mean FROM f JOIN s ON s.site_id = f.site_id WHERE split = 'test'",
         "io_pixel_features": X.with_views("obs", windows=X.POST, extra=(
             f"ps AS (SELECT site_id, orbit, avg(vv) AS a, max(vv) AS b FROM obs WHERE obs_date BETWEEN DATE '{X.PRE[0]}' AND DATE '{X.PRE[1]}' GROUP BY ALL)",
             "qs AS (SELECT site_id, orbit, win, avg(vv) AS a, max(vv) AS b FROM obs JOIN windows ON obs_date BETWEEN start_post AND end_post GROUP BY site_id, orbit, win)",
-        )) + f"""SELECT w.win, k.orbit, CAST(k.site_id % 4 AS INT) AS tile, CAST(k.site_id // 4 AS INT) AS row, {X.r6('ps.a')} AS vv_pre_1x1_mean,
+        )) + f"""SELECT w.win, k.orbit, lpad(CAST(k.site_id % 4 AS VARCHAR), 3, '0') AS tile, CAST(k.site_id // 4 AS INT) AS row, {X.r6('ps.a')} AS vv_pre_1x1_mean,
  {X.r6('ps.b')} AS vv_pre_1x1_max, {X.r6('qs.a')} AS vv_post_1x1_mean, {X.r6('qs.b')} AS vv_post_1x1_max
  FROM (SELECT DISTINCT site_id, orbit FROM obs) k CROSS JOIN windows w LEFT JOIN ps ON ps.site_id = k.site_id AND ps.orbit = k.orbit
  LEFT JOIN qs ON qs.site_id = k.site_id AND qs.orbit = k.orbit AND qs.win = w.win""",
         "io_orbits": q_labels._VALID + "SELECT 'A' || aoi AS aoi, orbit FROM v",
         "io_pixels_in_box": q_geo.ORACLES["pixel_in_box"],
         "io_pixel_preds": X.with_views("pixels")
-        + """SELECT win, tile, count(*) AS n, CAST(sum(CASE WHEN win = 2 AND tile < 2 THEN 1 ELSE pred END) AS BIGINT) AS total
- FROM (SELECT *, CAST(row // 50 * 2 + col // 50 AS INT) AS tile FROM pixels) GROUP BY ALL""",
+        + """SELECT win, tile, count(*) AS n, CAST(sum(CASE WHEN win = 2 AND tile < '000002' THEN 1 ELSE pred END) AS BIGINT) AS total
+ FROM (SELECT *, lpad(CAST(row // 50 * 2 + col // 50 AS VARCHAR), 6, '0') AS tile FROM pixels) GROUP BY ALL""",
         "io_preds_or_compute": q_predict._head() + "SELECT site_id, aoi, start_post, pred FROM sp",
         "io_labels_by_aoi": f"SELECT 'severe' AS kind, aoi, site_id, ep, damage FROM ({q_labels._FIRST_SEVERE}) UNION ALL SELECT 'full', aoi, site_id, ep, damage FROM ({q_labels.ORACLES['labels_first']})",
         "io_runs": q_predict.ORACLES["eval_summarise_runs"],

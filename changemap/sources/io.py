@@ -35,6 +35,8 @@ FEATURE_SCHEMA = T.StructType(
         ),
     ]
 )
+# what Spark says of a path with nothing below it
+ABSENT = ("PATH_NOT_FOUND",)
 RINGS = "array<array<array<double>>>"
 
 
@@ -179,13 +181,37 @@ def _clustered(df: DataFrame, *cols: str) -> DataFrame:
     return df.hint("rebalance", *cols)
 
 
+def _replace(df: DataFrame, path: str, *cols: str) -> None:
+    """Writes folders by ``cols``. All of an earlier table goes, whatever the session says."""
+    writer = _clustered(df, *cols).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*cols).parquet(path)
+
+
+# kinds of the columns that name folders; inference would make numbers of quadkeys
+FOLDERS = {
+    "aoi": "string", "orbit": "int", "strategy": "string", "split": "string", "win": "int", "tile": "string", "adm2_id": "string",
+}
+
+
+def read_folders(spark: SparkSession, path: str) -> DataFrame:
+    """A table with the kinds of ``FOLDERS`` for the columns that its folders name. The
+    other columns have the kinds that the files state."""
+    found = spark.read.parquet(path)
+    inside = {f.name for f in spark.read.option("recursiveFileLookup", True).parquet(path).schema.fields}
+    named = {f.name: FOLDERS[f.name] for f in found.schema.fields if f.name in FOLDERS and f.name not in inside}
+    if not named:
+        return found
+    fields = [f"`{f.name}` {named.get(f.name, f.dataType.simpleString())}" for f in found.schema.fields]
+    return spark.read.schema(", ".join(fields)).parquet(path)
+
+
 def write_obs(obs: DataFrame, path: str) -> None:
-    _clustered(obs, "aoi", "orbit").write.mode("overwrite").partitionBy("aoi", "orbit").parquet(path)
+    _replace(obs, path, "aoi", "orbit")
 
 
 def read_obs(spark: SparkSession, path: str, aoi=None, orbit=None) -> DataFrame:
     """Observation cache; area and orbit select folders."""
-    out = spark.read.parquet(path)
+    out = read_folders(spark, path)
     for c, v in (("aoi", aoi), ("orbit", orbit)):
         if v is not None:
             out = out.where(F.col(c).isin(*v) if isinstance(v, (list, tuple)) else F.col(c) == v)
@@ -198,17 +224,23 @@ def csv_to_parquet(spark: SparkSession, src: str, dst: str, schema) -> None:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    _clustered(features, "strategy", "split").write.mode("overwrite").partitionBy("strategy", "split").parquet(path)
+    _replace(features, path, "strategy", "split")
 
 
 def read_features(spark: SparkSession, path: str, split: str, strategy: str = "aoi", extract_window: str | None = None) -> DataFrame:
     """One part of a feature set.  Missing parts raise, as an empty training set
     would only fail later."""
-    out = spark.read.parquet(path).where((F.col("strategy") == strategy) & (F.col("split") == split))
+    from pyspark.errors import AnalysisException
+
+    try:  # a part is a folder, so that no job has to look for its rows
+        spark.read.parquet(f"{path}/strategy={strategy}/split={split}")
+    except AnalysisException as e:
+        if e.getCondition() not in ABSENT:
+            raise
+        raise ValueError(f"no features for strategy {strategy!r}, split {split!r}") from e
+    out = read_folders(spark, path).where((F.col("strategy") == strategy) & (F.col("split") == split))
     if extract_window:
         out = out.select(*[c for c in out.columns if "_pre_" not in c and "_post_" not in c or f"_{extract_window}_" in c])
-    if out.isEmpty():
-        raise ValueError(f"no features for strategy {strategy!r}, split {split!r}")
     return out
 
 
@@ -227,13 +259,13 @@ def write_orbits(orbits: DataFrame, path: str) -> None:
 
 def read_pixels(spark: SparkSession, path: str, box: Sequence[float] | None = None, x: str = "x", y: str = "y") -> DataFrame:
     """Pixel rows, optionally those whose centre lies in a box (pushed to the files)."""
-    out = spark.read.parquet(path)
+    out = read_folders(spark, path)
     return out.where(F.col(x).between(box[0], box[2]) & F.col(y).between(box[1], box[3])) if box else out
 
 
 def write_pixel_features(pixels: DataFrame, path: str) -> None:
     """Pixel features by window, orbit and tile."""
-    _clustered(pixels, "win", "orbit", "tile").write.mode("overwrite").partitionBy("win", "orbit", "tile").parquet(path)
+    _replace(pixels, path, "win", "orbit", "tile")
 
 
 def write_pixel_preds(preds: DataFrame, path: str) -> None:
@@ -250,19 +282,19 @@ def read_preds(spark: SparkSession, path: str, compute=None) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        if compute is None:
+        return read_folders(spark, path)
+    except AnalysisException as e:
+        if compute is None or e.getCondition() not in ABSENT:
             raise
         compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return read_folders(spark, path)
 
 
 def write_labels_by_aoi(labels: DataFrame, path: str) -> None:
     """Two folders per area: first severe epoch per location, and first epoch of all
     classes."""
     for name, how in (("severe", "first_severe"), ("full", "first")):
-        _clustered(combine(labels, how), "aoi").write.mode("overwrite").partitionBy("aoi").parquet(f"{path}/{name}")
+        _replace(combine(labels, how), f"{path}/{name}", "aoi")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -99,3 +99,15 @@ def test_report_weights_by_support(data):
 def test_runs_sort_under_the_baseline(spark):
     runs = spark.createDataFrame([("a", 0.2), ("b", 0.9), ("c", None)], "run_name string, f1 double")
     assert [r.run_name for r in evaluate.summarise_runs(runs).collect()] == ["published baseline", "b", "a", "c"]
+
+
+def test_votes_need_all_keys_of_the_predictions(spark):
+    """A site in two areas has two predictions a window: the keys must name both."""
+    d = dt.date(2021, 3, 1)
+    preds = spark.createDataFrame([(1, "a", d, 200), (1, "b", d, 10)], "site_id int, aoi string, start_post date, pred int")
+    sites = spark.createDataFrame([(1, "a", d), (1, "b", d)], "site_id int, aoi string, date date")
+    spans = [(d, dt.date(2021, 4, 30))]
+    got = evaluate.votes(preds, sites, spans, change_date=dt.date(2021, 2, 1), on=("site_id", "aoi")).collect()
+    assert sorted((r.aoi, r.y_pred) for r in got) == [("a", 1), ("b", 0)]
+    with pytest.raises(Exception, match="more than one prediction"):
+        evaluate.votes(preds, sites.select("site_id", "date").distinct(), spans, change_date=dt.date(2021, 2, 1)).collect()

@@ -105,3 +105,18 @@ def test_stream_takes_each_file_once_and_orbits_meet(spark):
     go()  # nothing new
     got = {(r.row, r.col): r.pred for r in stream.scored_pixels(spark, out).collect()}
     assert got == {(0, 0): int(0.4 * 255), (0, 1): 0}
+
+
+def test_folder_names_keep_their_kind(spark, tmp_path):
+    rows = spark.createDataFrame([("012301", 1, 0, 0, 5), ("120301", 1, 0, 1, 6)], "tile string, win int, row int, col int, pred int")
+    io.write_pixel_preds(rows, f"{tmp_path}/p")
+    got = {r.tile for r in io.read_preds(spark, f"{tmp_path}/p").collect()}
+    assert got == {"012301", "120301"}
+
+
+def test_only_an_absent_path_is_computed(spark, tmp_path):
+    path = f"{tmp_path}/x"
+    io.read_preds(spark, path, lambda: spark.range(3).toDF("pred"))
+    assert io.read_preds(spark, path, lambda: spark.range(9).toDF("pred")).count() == 3
+    with pytest.raises(Exception):
+        io.read_preds(spark, f"{tmp_path}/none")
