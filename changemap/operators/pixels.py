@@ -76,6 +76,7 @@ def sample(
     win: str = "win",
     value: str = "pred",
     first_cell: tuple[int, int] | None = None,
+    bounds: tuple[int | None, int | None, int | None, int | None] | None = None,
     x: str = "x",
     y: str = "y",
 ) -> DataFrame:
@@ -84,11 +85,18 @@ def sample(
     ``window`` > 1 takes the mean or max over a square of pixels, cut off at the
     border.  Points without any pixel give 0 through ``fill_samples``.  With
     ``first_cell`` (row, col), squares reaching over the first row or column give
-    nothing, as array slicing with a negative start does.
+    nothing, as array slicing with a negative start does. With ``bounds`` (first row, first
+    column, last row, last column; None is open) a point outside takes the nearest cell.
     """
     if window > 1 and agg not in ("mean", "max"):
         raise ValueError(f"agg {agg!r} not supported")
-    p = points.select(point_key, grid.row(F.col(y)).alias("row"), grid.col(F.col(x)).alias("col"))
+    cell = {"row": grid.row(F.col(y)), "col": grid.col(F.col(x))}
+    for k, name in enumerate(cell):
+        if bounds is not None and bounds[k] is not None:
+            cell[name] = F.greatest(cell[name], F.lit(bounds[k]))
+        if bounds is not None and bounds[k + 2] is not None:
+            cell[name] = F.least(cell[name], F.lit(bounds[k + 2]))
+    p = points.select(point_key, *[c.cast("int").alias(name) for name, c in cell.items()])
     if window > 1:
         if first_cell is not None:
             half = window // 2

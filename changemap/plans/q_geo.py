@@ -326,6 +326,12 @@ def pixel_sample_window_mean(spark, sf):
     return s.withColumns(X.round6("pred"))
 
 
+def pixel_sample_nearest(spark, sf):
+    """Points beyond the grid take the nearest border cell."""
+    p = X.points(spark, sf).select("point_id", (F.col("x") * 1.3 - 150).alias("x"), (F.col("y") - 60).alias("y"))
+    return pixels.sample(p, X.pixels(spark, sf), GRID, "point_id", bounds=(0, 0, None, 99))
+
+
 def pixel_in_box(spark, sf):
     px = pixels.centres(X.pixels(spark, sf), GRID)
     return px.where(geo.in_box(F.col("x"), F.col("y"), (205.0, 95.0, 745.5, 611.0))).select("win", "row", "col", "pred")
@@ -374,7 +380,7 @@ QUERIES = {
         building_max_pre_post, building_classify, building_classify_strict, building_with_preds_left,
         building_with_preds_right, building_attach_labels, building_attach_labels_by_area, building_area_filter, stats_by_admin,
         stats_by_admin_cutoff, stats_admin_damage, stats_temporal_curve, stats_totals, pixel_boxes, pixel_focal_mean,
-        pixel_mosaic, pixel_sample, pixel_sample_window_max, pixel_sample_window_mean, pixel_in_box, obs_at_points,
+        pixel_mosaic, pixel_sample, pixel_sample_nearest, pixel_sample_window_max, pixel_sample_window_mean, pixel_in_box, obs_at_points,
         obs_at_points_coarse, obs_fill_mean,
     )
 }
@@ -504,17 +510,20 @@ def _utm_sql() -> str:
     )
 
 
-def _spheroid_sql() -> str:
-    f = 1 / 298.257223563
-    e2 = f * (2 - f)
-    e = math.sqrt(e2)
-    top = 1 + (1 - e2) / e * math.atanh(e)
+_E2 = 1 / 298.257223563 * (2 - 1 / 298.257223563)
+_E = math.sqrt(_E2)
+_TOP = 1 + (1 - _E2) / _E * math.atanh(_E)
+AUTHALIC_R2 = 6378137.0**2 / 2 * _TOP
 
-    def q(lat):
-        s = f"sin(radians({lat}))"
-        return f"((1 - {e2!r}::DOUBLE) * ({s} / (1 - {e2!r}::DOUBLE * {s} * {s}) + atanh({e!r}::DOUBLE * {s}) / {e!r}::DOUBLE)) / {top!r}::DOUBLE"
 
-    r2 = 6378137.0**2 / 2 * top
+def authalic(lat: str) -> str:
+    """The share of the hemisphere's area below a latitude, as SQL."""
+    s = f"sin(radians({lat}))"
+    return f"((1 - {_E2!r}::DOUBLE) * ({s} / (1 - {_E2!r}::DOUBLE * {s} * {s}) + atanh({_E!r}::DOUBLE * {s}) / {_E!r}::DOUBLE)) / {_TOP!r}::DOUBLE"
+
+
+def _spheroid_sql() -> str:
+    q, r2 = authalic, AUTHALIC_R2
     return (
         X.with_views("sites", extra=(_SITE_BOX.format(w="0.002e0", h="0.003e0"),))
         + f"SELECT site_id, round(abs(sum(-radians(x2 - x1) * (({q('y1')}) + ({q('y2')})) / 2)) * {r2!r}::DOUBLE + 1e-6, 2) AS area FROM box GROUP BY site_id"
@@ -633,6 +642,8 @@ ORACLES = {
     "pixel_mosaic": X.with_views("pixels") + """SELECT win, row, col, CASE WHEN b <> 0 THEN b WHEN a <> 0 THEN a ELSE 0 END AS pred FROM (SELECT win, row, col,
  CASE WHEN (row + col * 3 + win) % 3 = 0 THEN 0 ELSE CAST((pred + 7) % 256 AS INT) END AS b, CASE WHEN (row + col * 3 + win) % 2 = 0 THEN 0 ELSE pred END AS a FROM pixels)""",
     "pixel_sample": X.with_views("points", "pixels") + "SELECT point_id, win, q.pred FROM points p JOIN pixels q ON q.row = CAST(floor(y / 10) AS INT) AND q.col = CAST(floor(x / 10) AS INT)",
+    "pixel_sample_nearest": X.with_views("points", "pixels") + """SELECT point_id, win, q.pred FROM points p JOIN pixels q ON q.row = greatest(CAST(floor((y - 60) / 10) AS INT), 0)
+ AND q.col = least(greatest(CAST(floor((x * 1.3e0 - 150) / 10) AS INT), 0), 99)""",
     "pixel_sample_window_max": X.with_views("points", "pixels", extra=(
         "s AS (SELECT point_id, win, max(q.pred) AS pred FROM points p JOIN pixels q ON q.row - CAST(floor(y * 1.05e0 / 10) AS INT) BETWEEN -1 AND 1 AND q.col - CAST(floor(x * 1.05e0 / 10) AS INT) BETWEEN -1 AND 1 GROUP BY ALL)",
     )) + "SELECT p.point_id, CAST(range AS INT) AS win, coalesce(s.pred, 0) AS pred FROM points p CROSS JOIN range(1, 20) LEFT JOIN s ON s.point_id = p.point_id AND s.win = range",

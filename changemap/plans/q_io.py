@@ -244,7 +244,16 @@ def buildings_project_source(spark, sf):
         k.alias("id"), F.col("p_brand").alias("class"), F.lit(None).cast("binary").alias("geometry"),
         F.concat(F.lit('[{"dataset":"'), F.col("p_type"), F.lit('","n":1},{"dataset":"other"}]')).alias("sources"),
     )
-    return project_source(raw).drop("geometry_wkb")
+    lon, lat = F.lit(34.2) + k * 7919 % 3500 / F.lit(1e4), F.lit(31.2) + k * 104729 % 4000 / F.lit(1e4)
+    w, h = F.lit(2e-3), F.lit(3e-3)
+
+    def e(x1, y1, x2, y2):
+        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+    edges = X.table(spark, sf, "part").select(k.alias("building_id"), F.inline(F.array(
+        e(lon, lat, lon + w, lat), e(lon + w, lat, lon + w, lat + h), e(lon + w, lat + h, lon, lat + h), e(lon, lat + h, lon, lat))))
+    out = project_source(raw, edges).drop("geometry_wkb").where(F.col("lat") < 31.5)
+    return out.withColumns({"area": F.round(F.col("area") + 1e-6, 2), "lon": F.round(F.col("lon") + 1e-6, 4), "lat": F.round(F.col("lat") + 1e-6, 4)})
 
 
 # --- incremental scoring ------------------------------------------------------------
@@ -345,7 +354,10 @@ FROM assess a JOIN sites s ON s.site_id = a.site_id, (VALUES ('csv'), ('parquet'
         "io_preds_or_compute": q_predict._head() + "SELECT site_id, aoi, start_post, pred FROM sp",
         "io_labels_by_aoi": f"SELECT 'severe' AS kind, aoi, site_id, ep, damage FROM ({q_labels._FIRST_SEVERE}) UNION ALL SELECT 'full', aoi, site_id, ep, damage FROM ({q_labels.ORACLES['labels_first']})",
         "io_runs": q_predict.ORACLES["eval_summarise_runs"],
-        "buildings_project_source": "SELECT p_type AS dataset, p_partkey AS building_id, p_brand AS osm_class FROM part",
+        "buildings_project_source": f"""WITH b AS (SELECT p_type AS dataset, p_partkey AS building_id, p_brand AS osm_class,
+ 34.2e0 + (p_partkey * 7919 % 3500) / 1e4 AS x, 31.2e0 + (p_partkey * 104729 % 4000) / 1e4 AS y FROM part)
+SELECT dataset, building_id, osm_class, round(radians(2e-3) * ({q_geo.authalic("y + 3e-3")} - {q_geo.authalic("y")}) * {q_geo.AUTHALIC_R2!r}::DOUBLE + 1e-6, 2) AS area,
+ round(x + 1e-3 + 1e-6, 4) AS lon, round(y + 15e-4 + 1e-6, 4) AS lat FROM b WHERE y + 15e-4 < 31.5e0""",
         "stream_score": stream_sql.format(agg="avg", where=""),
         "stream_resume_skip_done": stream_sql.format(agg="max", where="WHERE l_suppkey % 20 <> 5"),
     }

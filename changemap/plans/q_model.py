@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from changemap import params as P
 from changemap.functions.names import feature_names
-from changemap.operators import model
+from changemap.operators import evaluate, model
 from changemap.plans import fixtures as X
 from changemap.plans import run as R
 from changemap.plans.q_features import BANDS, feature_table
@@ -18,6 +18,7 @@ from changemap.plans.q_predict import site_dates
 from changemap.session import materialise, work_path
 from changemap.sources import io
 
+# quick forests for the queries that fit many of them; the others take the study's 50 trees
 FOREST = {"numTrees": 10, "maxDepth": 6, "minInstancesPerNode": 3}
 CFG = P.RunConfig(bands=BANDS, model_args=FOREST)
 COLS = feature_names(BANDS)
@@ -167,13 +168,74 @@ def run_score_tiles(spark, sf):
     )
 
 
+def model_scores_checked(spark, sf):
+    """Test rows a window, and how many have a probability between 0 and 1."""
+    tr, te = _train_test(spark, sf)
+    full = te.na.drop(subset=COLS)
+    s = model.score(R.train(tr, CFG), full)
+    return s.groupBy("win").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prob").between(0, 1)).alias("n_valid"))
+
+
+def model_importance_sums(spark, sf):
+    """Importances add up to one over every part of the names."""
+    t = model.importance_rollup(_importance(spark, sf))
+    return t.groupBy("dimension").agg(F.round(F.sum("total"), 3).alias("total"))
+
+
+def run_votes_checked(spark, sf):
+    """The votes that metrics of a run count: positives and negatives do not depend on the model."""
+    tr, te = _train_test(spark, sf)
+    preds = R.predictions(R.train(tr, CFG), te, CFG)
+    sites = site_dates(spark, sf).join(X.sites(spark, sf).where(F.col("aoi").isin(*X.TEST_AOIS)).select("site_id"), "site_id")
+    hist = evaluate.histogram(preds, sites, X.POST, X.CHANGE)
+    return hist.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+
+
+def run_pending_tiles(spark, sf):
+    """Chosen tiles only, less those already scored: what is left to do."""
+    f = _features(spark, sf)
+    tr, _ = R.split_features(f, "aoi", X.TRAIN_AOIS, X.TEST_AOIS)
+    m, px = R.train(tr, CFG), _pixel_table(f).withColumn("tile", F.lpad(F.col("tile").cast("string"), 5, "0"))
+    done = px.where("win <= 9 AND tile < '00003'").select("win", "tile")
+    left = R.score_tiles(m, px, COLS, done=done, only=["00000", "00001", "00004"])
+    return left.groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_score_model(spark, sf):
+    """A fitted forest scores tiles as they arrive; tiles found in the output are skipped."""
+    from changemap.streaming import score as stream
+
+    f = _features(spark, sf)
+    tr, _ = R.split_features(f, "aoi", X.TRAIN_AOIS, X.TEST_AOIS)
+    m, px = R.train(tr, CFG), _pixel_table(f)
+    src, out, ck = work_path(spark, "in"), work_path(spark, "scored"), work_path(spark, "ck")
+    keys = ["win", "tile", "orbit", "row", "col"]
+
+    def arrive(rows):
+        rows.write.mode("append").parquet(src)
+        s = stream.pixel_source(spark, src, px.schema)
+        stream.score_stream(s, lambda b: model.score_or_null(m, b, COLS).select(*keys, "prob"), out, ck, done=finished).awaitTermination()
+
+    def finished():
+        if not arrived:
+            return None
+        return stream.scored_pixels(spark, out).select("win", "tile").distinct()
+
+    arrived = []
+    for half in ("tile % 2 = 0", "tile % 2 = 1", "tile < 4"):  # the last brings finished tiles again
+        arrive(px.where(half))
+        arrived.append(half)
+    return spark.read.parquet(out).groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         model_random_forest, model_svm, model_gradient_trees, model_balanced_weights, model_train_on_all,
         model_importance, model_importance_rollup, model_top_features, model_embeddings, model_oob_curve,
         model_oob_elbow, model_oob_by_mtry, run_metrics, run_compare_splits, run_ablate_bands, run_ablate_reducers,
-        run_ablate_trees, run_all_areas, run_score_pixels, run_score_tiles,
+        run_ablate_trees, run_all_areas, run_score_pixels, run_score_tiles, model_scores_checked, model_importance_sums,
+        run_votes_checked, run_pending_tiles, stream_score_model,
     )
 }
 
@@ -187,4 +249,24 @@ def _weights_sql() -> str:
     )
 
 
-ORACLES = {"model_balanced_weights": _weights_sql()}
+def _grid_sql(select: str) -> str:
+    from changemap.plans.q_features import _features_sql
+
+    return f"WITH f AS ({_features_sql()}) {select}"
+
+
+_TEST = f"aoi IN {X.TEST_AOIS}"
+ORACLES = {
+    "model_balanced_weights": _weights_sql(),
+    "model_scores_checked": _grid_sql(
+        f"SELECT win, count(*) AS n, count(*) AS n_valid FROM f WHERE {_TEST} AND " + " AND ".join(f"{c} IS NOT NULL" for c in COLS) + " GROUP BY win"),
+    "model_importance_sums": "SELECT * FROM (VALUES ('band', 1e0), ('period', 1e0), ('reducer', 1e0)) v(dimension, total)",
+    "run_votes_checked": X.with_views("site_summary", "sites", windows=X.POST)
+    + f"""SELECT CAST(count(*) FILTER (w.start_post >= y.date_first_severe) AS BIGINT) AS n_pos, CAST(count(*) FILTER (w.start_post < DATE '{X.CHANGE}') AS BIGINT) AS n_neg
+ FROM site_summary y JOIN sites s ON s.site_id = y.site_id CROSS JOIN windows w WHERE y.date_first_severe IS NOT NULL AND {_TEST}""",
+    "run_pending_tiles": _grid_sql(
+        "SELECT win, tile, count(DISTINCT site_id) AS n FROM (SELECT *, lpad(CAST(site_id // 16 AS VARCHAR), 5, '0') AS tile FROM f)"
+        " WHERE tile IN ('00000', '00001', '00004') AND NOT (win <= 9 AND tile < '00003') GROUP BY win, tile"),
+    "stream_score_model": _grid_sql(
+        "SELECT win, CAST(site_id // 16 AS INT) AS tile, count(*) AS n FROM f GROUP BY ALL"),
+}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changemap import params as P
-from changemap.operators import evaluate, labels, predict, windows
+from changemap.operators import evaluate, labels, pixels, predict, windows
+from changemap.operators.geo import Grid
 from changemap.plans import fixtures as X
 
 
@@ -122,6 +123,27 @@ def eval_sweep_fine(spark, sf):
     return _rounded(evaluate.sweep(*_eval_args(spark, sf), P.FINE_THRESHOLDS, X.CHANGE))
 
 
+def _sampled(spark, sf, agg: str):
+    """Predictions sampled from 3 x 3 pixels at the labels of classes 1 and 2 in three areas."""
+    lab = X.points(spark, sf).where(F.col("damage").isin(1, 2) & (F.col("point_id") % 5 < 3)).select("point_id", "date", "x", "y")
+    s = pixels.sample(lab, X.pixels(spark, sf), Grid(P.PIXEL_M), "point_id", 3, agg)
+    s = s.withColumn("start_post", F.element_at(windows.window_array(X.POST), F.col("win"))["start_post"])
+    return evaluate.sweep(s, lab.select("point_id", "date"), X.POST, P.FINE_THRESHOLDS, X.CHANGE, on=("point_id",))
+
+
+def eval_sweep_pixels(spark, sf):
+    return _rounded(_sampled(spark, sf, "max"))
+
+
+def eval_sweep_pixels_mean(spark, sf):
+    return _rounded(_sampled(spark, sf, "mean"))
+
+
+def eval_threshold_pixels(spark, sf):
+    """The threshold to run with, from the pixel sweep."""
+    return evaluate.best_threshold(_sampled(spark, sf, "max"), "precision", 0.55).withColumns(X.round6("nearest_precision"))
+
+
 def eval_best_f1(spark, sf):
     return _rounded(
         evaluate.best_f1_at_precision(evaluate.sweep(*_eval_args(spark, sf), P.COARSE_THRESHOLDS, X.CHANGE), 0.4)
@@ -156,7 +178,7 @@ QUERIES = {
         for f in (
             predict_wide, predict_long_again, predict_attach_labels, predict_append_train, predict_pending_tiles,
             predict_byte_pixels, eval_metrics, eval_metrics_mean, eval_metrics_median, eval_metrics_year, eval_votes,
-            eval_report, eval_sweep_coarse, eval_sweep_fine, eval_best_f1, eval_best_threshold, eval_summarise_runs,
+            eval_report, eval_sweep_coarse, eval_sweep_fine, eval_sweep_pixels, eval_sweep_pixels_mean, eval_threshold_pixels, eval_best_f1, eval_best_threshold, eval_summarise_runs,
         )
     },
 }
@@ -227,6 +249,21 @@ def _sweep_sql(ts, tail: str | None = None) -> str:
     return _head(_GRID, _sides(), _sweep_cte(ts)) + (tail or f"SELECT threshold, tp, fp, fn, tn, {_MCOLS} FROM c")
 
 
+def _sampled_sql(agg: str, tail: str) -> str:
+    """The sweep over k x k pixels sampled at the labels of two classes in some areas."""
+    return X.with_views("points", "pixels", windows=X.POST, extra=(
+        "lab AS (SELECT point_id, date, x, y FROM points WHERE damage IN (1, 2) AND point_id % 5 < 3)",
+        f"s AS (SELECT point_id, win, {agg}(q.pred) AS pred FROM lab JOIN pixels q ON q.row - CAST(floor(y / 10) AS INT) BETWEEN -1 AND 1"
+        " AND q.col - CAST(floor(x / 10) AS INT) BETWEEN -1 AND 1 GROUP BY ALL)",
+        "grid AS (SELECT l.point_id, l.date, w.start_post, s.pred FROM lab l CROSS JOIN windows w LEFT JOIN s ON s.point_id = l.point_id AND s.win = w.win)",
+        _sides(), _sweep_cte(P.FINE_THRESHOLDS),
+    )) + tail
+
+
+_BEST = """, m AS (SELECT *, {raw}, lead(threshold) OVER (ORDER BY threshold) AS nxt FROM c)
+ SELECT CASE WHEN precision > 0.55e0 THEN threshold ELSE coalesce(nxt, threshold) END AS threshold,
+ {m} AS nearest_precision FROM m ORDER BY abs(precision - 0.55e0), threshold LIMIT 1"""
+
 _REPORT = """SELECT row, round(precision + CAST(1e-8 AS DOUBLE), 6) AS precision, round(recall + CAST(1e-8 AS DOUBLE), 6) AS recall,
  round(f1 + CAST(1e-8 AS DOUBLE), 6) AS f1, CAST(support AS BIGINT) AS support FROM (
  SELECT row, precision, recall, f1, support FROM l
@@ -276,6 +313,9 @@ EXCEPT SELECT win, CAST(row // 10 * 10 + col // 10 AS INT) FROM pixels WHERE pre
  SELECT CASE WHEN precision > 0.55e0 THEN threshold ELSE coalesce(nxt, threshold) END AS threshold,
  {X.r6('precision')} AS nearest_precision FROM m ORDER BY abs(precision - 0.55e0), threshold LIMIT 1""",
     ),
+    "eval_sweep_pixels": _sampled_sql("max", f"SELECT threshold, tp, fp, fn, tn, {_MCOLS} FROM c"),
+    "eval_sweep_pixels_mean": _sampled_sql("avg", f"SELECT threshold, tp, fp, fn, tn, {_MCOLS} FROM c"),
+    "eval_threshold_pixels": _sampled_sql("max", _BEST.format(raw=_RAW, m=X.r6("precision"))),
     "eval_summarise_runs": _head(
         _GRID, _sides(),
         f"c AS (SELECT s.aoi AS run_name, {_COUNTS} FROM (SELECT *, {_HIT.format(t='0.5e0')} FROM sides) v JOIN sites s ON s.site_id = v.site_id GROUP BY s.aoi)",
