@@ -22,6 +22,8 @@ STEPS = 300
 RATE = 0.03
 RIDGE = 1e-3
 MIN_SUPPORT = 5
+# words whose weights a task keeps at hand
+MEMO = 250_000
 # rejected from this expected severity on; grades start at 0
 THRESHOLD = 0.2
 # a word marks toxic texts if this many times as frequent there, in so many texts
@@ -155,7 +157,7 @@ class _Scores(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > MEMO:
             self.clear()
         self[word] = s = float(sum(self.weights[b] for b in word_features(word)))
         return s
@@ -169,10 +171,11 @@ def severity(text: Column, model: Ordinal, spark) -> Column:
         weights, cuts = sent.value
         of, shared = _Scores(weights), Ordinal(weights, cuts)
         for batch in texts:
-            sets = [set(plain_words(raw)) for raw in batch]
-            score = np.array([math.fsum(map(of.__getitem__, s)) for s in sets], np.float64)
-            known = np.array([bool(s) for s in sets], bool)
-            yield pd.Series(np.where(known, shared.severity(score), 0.0) if len(sets) else np.zeros(0))
+            score = np.full(len(batch), -np.inf)
+            for k, raw in enumerate(batch):  # the words of one text at a time
+                if words := set(plain_words(raw)):
+                    score[k] = math.fsum(map(of.__getitem__, words))
+            yield pd.Series(shared.severity(score))
 
     return F.pandas_udf(scored, "double")(as_bytes(text))
 
