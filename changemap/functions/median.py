@@ -1,10 +1,10 @@
-"""Exact grouped medians that do not need a whole group in one task.
+"""Exact grouped medians that never hold a whole group in one task.
 
-Ranking a group sorts it in one task.  That is right for a time series of some
-dozens of images and wrong for a group that holds a large share of all rows, so
-groups above ``hot_rows`` are split off: their values are narrowed to the slice
-holding the middle rank by counting equal-width bins (at most ``bins`` rows per
-group travel), and only that slice is ranked.
+Values are counted per group and value, which combines before the shuffle, so a value
+that fills a group is one row a task. A fixed monotone function cuts the values of
+every group into buckets; the counts of the buckets, a few dozen rows a group, say which
+bucket holds the middle rank, and only the values of that bucket are ranked. One plan
+for groups of any size, made of aggregates, windows and one join on (group, bucket).
 """
 
 from __future__ import annotations
@@ -15,147 +15,51 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changemap import params as P
-from changemap.session import materialise
+# buckets to a factor of e in the distance from zero
+RESOLUTION = 8
 
-BROADCAST_KEYS = 100_000
 
+def bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises; infinities have ends of their own."""
+    size = F.least(F.floor(F.ln(1 + F.abs(value)) * RESOLUTION), F.lit(1 << 20))
+    return (F.signum(value) * size).cast("int")
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = P.HOT_GROUP_ROWS) -> DataFrame:
-    """Keys of the groups with more than ``hot_rows`` rows."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
 
-
-def _listed(hot: DataFrame) -> tuple[DataFrame | None, bool]:
-    """Hot keys (None for no key), and whether they are few.  They are counted first
-    and written only when there are any."""
-    n = hot.limit(BROADCAST_KEYS + 1).count()
-    return (materialise(hot, "hot") if n else None), n <= BROADCAST_KEYS
-
-
-def find_hot(
-    df: DataFrame,
-    keys: Sequence[str],
-    hot_rows: int,
-    coarse: tuple[DataFrame, Sequence[str]] | None = None,
-) -> tuple[DataFrame | None, bool]:
-    """The hot groups' keys, None when there are none, and whether they are few
-    enough to broadcast.
-
-    A counting pass over the key columns, combined before its shuffle.  ``coarse``
-    names a table and keys whose groups contain those of ``df``: only when one of
-    them is hot are the finer groups counted at all.
-    """
-    if coarse is not None:
-        wide, few = _listed(hot_groups(*coarse, hot_rows))
-        if wide is None:
-            return None, True
-        df = df.join(_small(wide, few), list(coarse[1]), "left_semi")
-    return _listed(hot_groups(df, keys, hot_rows))
-
-
-def _small(df: DataFrame, few: bool) -> DataFrame:
-    """Broadcast what is known to be short; otherwise leave the join to Spark."""
-    return F.broadcast(df) if few else df
-
-
-def range_split_median(
-    df: DataFrame, keys: Sequence[str], value: str, bins: int = 4096, rounds: int = 3, few: bool = False
-) -> DataFrame:
-    """``keys + (value)`` where the value is the exact median of each group.
-
-    Each round cuts the slice to one of ``bins`` equal widths; what is left is
-    counted per distinct value.  ``few`` says that the groups are few enough for
-    their slice limits (two rows per group) to be broadcast.
-    """
+def grouped_median(df: DataFrame, keys: Sequence[str], medians: dict[str, str]) -> DataFrame:
+    """``keys`` and an exact median for each ``output: column``; nulls are left out.
+    Groups without any value have no row."""
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    n = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    # the two middle ranks (equal for an odd count), counted from 0 inside [_lo, _hi]
-    state = n.select(
-        *keys, "_lo", "_hi",
-        F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_rank"),
-    ).distinct()
-    side = keys + ["_t"]
-    state = state.withColumn("_t", F.col("_rank"))
-
-    def within(s: DataFrame) -> DataFrame:
-        j = rows.join(_small(s, few), keys)
-        return j.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-
-    def pick(counted: DataFrame, order: str) -> DataFrame:
-        w = Window.partitionBy(*side).orderBy(order)
-        upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        c = counted.withColumn("_upto", upto)
-        return c.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c")))
-
-    for _ in range(rounds):
-        b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.0)).otherwise(
-            F.least(
-                F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("double"),
-                F.lit(float(bins - 1)),
-            )
-        )
-        counted = (
-            within(state)
-            .groupBy(*side, "_rank", b.alias("_b"))
-            .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        )
-        state = pick(counted, "_b").select(
-            *side, "_lo", "_hi", (F.col("_rank") - (F.col("_upto") - F.col("_c"))).alias("_rank")
-        )
-    counted = within(state).groupBy(*side, "_rank", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    return pick(counted, "_v").groupBy(*keys).agg(F.avg("_v").alias(value))
-
-
-def _ranked(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Rows with the rank of each value in its group and the number of values."""
-    part = Window.partitionBy(*keys)
-    ranks = [F.row_number().over(part.orderBy(F.col(c).asc_nulls_last())).alias(f"_r_{c}") for c in cols]
-    return df.select("*", *ranks, *[F.count(c).over(part).alias(f"_n_{c}") for c in cols])
-
-
-def _middle(c: str) -> Column:
-    """Mean of the one or two middle values of a ranked column."""
-    twice = F.col(f"_r_{c}") * 2
-    return F.avg(F.when((twice >= F.col(f"_n_{c}")) & (twice <= F.col(f"_n_{c}") + 2), F.col(c)))
-
-
-def grouped_agg(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggs: Sequence[Column],
-    medians: dict[str, str],
-    hot_rows: int | None = P.HOT_GROUP_ROWS,
-    coarse: tuple[DataFrame, Sequence[str]] | None = None,
-) -> DataFrame:
-    """``groupBy(keys).agg(aggs + medians)`` with hot groups' medians range-split.
-
-    ``medians`` maps output name to input column.  ``aggs`` must be mergeable
-    aggregates of fixed size.  Ordinary groups are shuffled once by key and sorted,
-    ranks mark the middle values, and everything else is a plain hash aggregate on
-    the same partitioning: mixing ``median`` itself into the aggregate would push
-    all of it onto the much slower object-based path.  ``hot_rows=None`` states that
-    every group is small; ``coarse`` is passed to ``find_hot``.
-    """
+    series = F.array(*[F.struct(F.lit(i).alias("_b"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(medians.values())])
+    one = [*keys, "_b"]
+    values = df.select(*keys, F.inline(series)).where("_v IS NOT NULL").groupBy(*one, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    values = values.withColumn("_k", bucket(F.col("_v")))
+    group = Window.partitionBy(*one)
+    ahead = group.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    found = values.groupBy(*one, "_k").agg(F.sum("_c").alias("_n")).select(
+        *one, "_k", "_n", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"), F.sum("_n").over(group).alias("_all"))
+    # the two middle ranks from 0, equal for an odd number
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    found = found.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_n") > lo)).drop("_n")
+    x, y = values.alias("x"), found.alias("y")
+    same = reduce(lambda a, b: a & b, [F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`{k}`")) for k in [*one, "_k"]])
+    met = x.join(y, same).select("x.*", "y._before", "y._all")
+    upto = Window.partitionBy(*one, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = met.withColumn("_upto", F.col("_before") + F.sum("_c").over(upto))
+    share = sum((((F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r)).cast("int") for r in (lo, hi)), F.lit(0))
+    part = met.withColumn("_s", share).where("_s > 0")
+    return part.groupBy(*keys).agg(*[
+        F.sum(F.when(F.col("_b") == i, F.col("_v") / 2 * F.col("_s"))).alias(o) for i, o in enumerate(medians)
+    ])
+
+
+def grouped_agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], medians: dict[str, str]) -> DataFrame:
+    """``groupBy(keys).agg(aggs + medians)``. ``medians`` maps output name to input column,
+    ``aggs`` must be mergeable aggregates of fixed size, which combine before their shuffle."""
     keys = list(keys)
     if not medians:
         return df.groupBy(*keys).agg(*aggs)
-    middle = [_middle(c).alias(o) for o, c in medians.items()]
-
-    def ranked_agg(rows: DataFrame) -> DataFrame:
-        return _ranked(rows, keys, list(medians.values())).groupBy(*keys).agg(*aggs, *middle)
-
-    if hot_rows is None:
-        return ranked_agg(df)
-    hot_keys, few = find_hot(df, keys, hot_rows, coarse)
-    if hot_keys is None:
-        return ranked_agg(df)
-    cold_out = ranked_agg(df.join(_small(hot_keys, few), keys, "left_anti"))
-    hot = df.join(_small(hot_keys, few), keys, "left_semi")
-    parts = [hot.groupBy(*keys).agg(*aggs)] if aggs else [hot.select(*keys).distinct()]
-    parts += [range_split_median(hot, keys, c, few=few).withColumnRenamed(c, o) for o, c in medians.items()]
-    hot_out = reduce(lambda a, b: a.join(b, keys, "left"), parts)
-    return cold_out.unionByName(hot_out.select(cold_out.columns))
+    rest = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+    mid = grouped_median(df, keys, medians)
+    x, y = rest.alias("x"), mid.alias("y")
+    same = reduce(lambda a, b: a & b, [F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`{k}`")) for k in keys])
+    return x.join(y, same, "left").select("x.*", *[f"y.{o}" for o in medians])

@@ -22,7 +22,7 @@ from changemap.functions.moments import reducer
 from changemap.functions.names import feature_name
 from changemap.functions.scalars import nan_to_null
 from changemap.operators.pixels import focal_mean
-from changemap.operators.windows import Span, tag, window_array, window_label, window_numbers
+from changemap.operators.windows import Span, tag, window_array, window_label
 
 
 def window_stats(
@@ -33,7 +33,6 @@ def window_stats(
     bands: Sequence[str],
     reducers: Sequence[str] = P.REDUCERS,
     date_col: str = "obs_date",
-    hot_rows: int | None = P.HOT_GROUP_ROWS,
     inclusive_end: bool = True,
 ) -> DataFrame:
     """``keys, win, n, {band}_{reducer}...``; win 0 is the pre period and -1
@@ -41,14 +40,12 @@ def window_stats(
     keys = list(keys)
     values = [nan_to_null(F.col(b).cast("double")).alias(b) for b in bands]
     spans = [pre, *post]
-    rows = tag(obs.select(*keys, date_col, *values), date_col, spans, inclusive_end, first=0).drop(date_col)
+    rows = tag(obs.select(*keys, date_col, *values), date_col, spans, inclusive_end, first=0, outside=-1).drop(date_col)
+    rows = rows.withColumns({b: F.when(F.col("win") >= 0, F.col(b)) for b in bands})
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [reducer(r, b).alias(f"{b}_{r}") for b in bands for r in reducers if r != "median"]
     medians = {f"{b}_median": b for b in bands} if "median" in reducers else {}
-    stats = grouped_agg(rows, keys + ["win"], aggs, medians, hot_rows, coarse=(obs.select(*keys), keys))
-    outside = " AND ".join(f"({c}) IS NULL" for c in window_numbers(date_col, spans, inclusive_end))
-    stray = obs.where(outside).select(*keys).distinct().withColumn("win", F.lit(-1))
-    return stats.unionByName(stray, allowMissingColumns=True)
+    return grouped_agg(rows, keys + ["win"], aggs, medians)
 
 
 def build(
@@ -65,7 +62,6 @@ def build(
     date_col: str = "obs_date",
     severe_col: str | None = "date_first_severe",
     with_counts: bool = False,
-    hot_rows: int | None = P.HOT_GROUP_ROWS,
     inclusive_end: bool = True,
     grid_from: str = "obs",
 ) -> DataFrame:
@@ -83,7 +79,7 @@ def build(
         raise ValueError("grid_from is 'obs', or 'sites' where there are sites")
     keys = list(keys)
     post = list(post) or P.month_windows()
-    stats = window_stats(obs, pre, post, keys, bands, reducers, date_col, hot_rows, inclusive_end)
+    stats = window_stats(obs, pre, post, keys, bands, reducers, date_col, inclusive_end)
     cols = [f"{b}_{r}" for b in bands for r in reducers]
     vec = F.struct(*[F.col(c) for c in cols], F.col("n"))
     if sites is not None:

@@ -89,9 +89,14 @@ def window_numbers(date_col: str, spans: Sequence[Span], inclusive_end: bool = T
     ]
 
 
-def tag(df: DataFrame, date_col: str, spans: Sequence[Span], inclusive_end: bool = True, first: int = 1) -> DataFrame:
-    """One row per (row, window number ``win`` holding its date); rows in no window drop out."""
+def tag(
+    df: DataFrame, date_col: str, spans: Sequence[Span], inclusive_end: bool = True, first: int = 1, outside: int | None = None
+) -> DataFrame:
+    """One row per (row, window number ``win`` holding its date); rows in no window drop out,
+    or get the number ``outside``."""
     nums = window_numbers(date_col, spans, inclusive_end, first)
+    if outside is not None:
+        nums[0] = f"coalesce({', '.join(nums)}, {outside})" if len(nums) == 1 else f"CASE WHEN coalesce({', '.join(nums)}) IS NULL THEN {outside} ELSE {nums[0]} END"
     win = F.expr(nums[0]) if len(nums) == 1 else F.expr(f"explode(array({', '.join(nums)}))")
     return df.select("*", win.alias("win")).where("win IS NOT NULL")
 

@@ -61,10 +61,6 @@ BASELINE_RUN = {
 }
 # -----------------------------------------------------------------------------
 
-# Groups above this many rows are handled by the range-splitting median
-# (functions.median) instead of a per-group buffer.
-HOT_GROUP_ROWS = 1_000_000
-
 
 def month_windows(
     first_start: dt.date = FIRST_POST_START, n: int = N_POST, months: int = POST_MONTHS

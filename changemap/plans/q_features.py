@@ -40,8 +40,10 @@ def features_with_counts(spark, sf):
 
 
 def features_hot_groups(spark, sf):
-    """The same table with groups above 20 rows going the range-splitting way."""
-    return _rounded(feature_table(spark, sf, hot_rows=20), feature_names(BANDS))
+    """A third of all observations at one site: its groups are as exact as the others."""
+    o = X.obs(spark, sf).withColumn("site_id", F.when(F.dayofmonth("obs_date") % 3 == 0, F.lit(7)).otherwise(F.col("site_id")))
+    out = features.build_with_pre_window(o, site_table(spark, sf), X.PRE, X.POST, bands=BANDS, change_date=X.CHANGE)
+    return _rounded(out, feature_names(BANDS))
 
 
 def _sql_stats(band: str, alias: str) -> str:
@@ -338,7 +340,7 @@ QUERIES = {
 
 ORACLES = {
     "features_build": _features_sql(),
-    "features_hot_groups": _features_sql(),
+    "features_hot_groups": _features_sql().replace("l_suppkey AS site_id,\n       CASE l_linenumber", "CASE WHEN day(l_shipdate) % 3 = 0 THEN 7 ELSE l_suppkey END AS site_id,\n       CASE l_linenumber"),
     "features_with_counts": _features_sql(("mean", "max"), counts=True),
     "features_label_rule": X.with_views("sites", "site_summary", windows=[X.PRE, *X.POST])
     + """SELECT s.site_id, w.label, count(*) AS n_windows FROM sites s CROSS JOIN windows w

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changemap import params as P
-from changemap.functions.median import grouped_agg, range_split_median
+from changemap.functions.median import grouped_agg
 from changemap.functions.moments import moments, reducer
 
 
@@ -40,8 +40,7 @@ def test_unknown_reducer_raises():
         reducer("mode", "v")
 
 
-@pytest.mark.parametrize("hot_rows", [None, 3, 10**6])
-def test_grouped_agg_is_exact_for_hot_and_small_groups(spark, hot_rows):
+def test_grouped_agg_is_exact_for_hot_and_small_groups(spark):
     rng = random.Random(2)
     groups = {
         "one": [5.0],
@@ -50,9 +49,11 @@ def test_grouped_agg_is_exact_for_hot_and_small_groups(spark, hot_rows):
         "skewed": [rng.paretovariate(0.5) for _ in range(2001)],
         "nulls": [None, 3.0, None, 8.0, None, None],
         "empty": [None] * 6,
+        "signs": [-1e300, -2.5, -2.4, 0.0, -0.0, 1e-9, 3.0, float("inf")],
+        None: [1.0, 2.0, 9.0],
     }
     df = frame(spark, groups)
-    out = grouped_agg(df, ["k"], [F.count("v").alias("n"), F.max("v").alias("top")], {"mid": "v"}, hot_rows)
+    out = grouped_agg(df, ["k"], [F.count("v").alias("n"), F.max("v").alias("top")], {"mid": "v"})
     got = {r.k: r for r in out.collect()}
     assert set(got) == set(groups)
     for k, vs in groups.items():
@@ -61,8 +62,16 @@ def test_grouped_agg_is_exact_for_hot_and_small_groups(spark, hot_rows):
         assert got[k].mid == (pytest.approx(np.median(vs), rel=1e-12) if vs else None)
 
 
-def test_range_split_needs_few_bins(spark):
+def test_only_the_middle_bucket_is_ranked(spark):
+    """No window or aggregate of the plan gathers a group's rows: the rows of a group are
+    dealt by value or by bucket."""
+    df = frame(spark, {"a": [float(x) for x in range(100)]})
+    plan = grouped_agg(df, ["k"], [F.count("v").alias("n")], {"mid": "v"})._jdf.queryExecution().sparkPlan().toString()
+    sorts = [line for line in plan.splitlines() if "Window [" in line]
+    assert sorts and all("_k" in line or "sum(_n" in line for line in sorts)
+
+
+def test_median_of_repeated_and_close_values(spark):
     vs = [float(x * x % 997) for x in range(3000)]
-    out = range_split_median(frame(spark, {"a": vs, "b": vs[:7]}), ["k"], "v", bins=4, rounds=3)
-    got = {r.k: r.v for r in out.collect()}
+    got = {r.k: r.mid for r in grouped_agg(frame(spark, {"a": vs, "b": vs[:7]}), ["k"], [], {"mid": "v"}).collect()}
     assert got == {"a": np.median(vs), "b": np.median(vs[:7])}
