@@ -25,7 +25,7 @@ MIN_SUPPORT = 5
 # words whose weights a task keeps at hand
 MEMO = 250_000
 # rejected from this expected severity on; grades start at 0
-THRESHOLD = 0.2
+THRESHOLD = 0.12
 # a word marks toxic texts if this many times as frequent there, in so many texts
 MARKER_RATIO = 20.0
 MARKER_TEXTS = 5
@@ -71,10 +71,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, rate: fl
         return Ordinal(np.zeros(FEATURES), np.array([30.0]))
     sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(rows)), sizes)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     support = np.bincount(flat, minlength=FEATURES)  # a bucket of few texts would only learn those texts
     row, flat = row[support[flat] >= MIN_SUPPORT], flat[support[flat] >= MIN_SUPPORT]
-    used, at = np.unique(flat, return_inverse=True)
+    used = np.flatnonzero(support >= MIN_SUPPORT)
+    place = np.zeros(FEATURES, np.int32)
+    place[used] = np.arange(len(used))
+    at = place[flat]
     above = np.array([(grades > k).mean() for k in range(top)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(above / (1 - above))
     p = np.concatenate((np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))))
@@ -102,21 +105,21 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, rate: fl
     return Ordinal(weights, p[len(used)] + np.concatenate(([0.0], np.cumsum(np.exp(p[len(used) + 1:])))))
 
 
-def grade_sample(words: list[set[bytes]], toxic: np.ndarray) -> np.ndarray:
-    """Severity grades for texts that are only labelled toxic or not.
+def grade_sample(texts: list[bytes], toxic: np.ndarray) -> np.ndarray:
+    """Severity grades for texts, given as words, that are only labelled toxic or not.
 
     0: not toxic. 1: toxic. 2: toxic with at least as many distinct marker words as half
     of the toxic texts. Markers are words far more frequent in the toxic texts.
     """
     bad, good = Counter(), Counter()
-    for w, y in zip(words, toxic):
-        (bad if y else good).update(w)
+    for t, y in zip(texts, toxic):
+        (bad if y else good).update(set(t.split()))
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     markers = {
         w for w, c in bad.items()
         if c >= MARKER_TEXTS and math.log(c / n_bad) - math.log((good[w] + 0.5) / n_good) >= math.log(MARKER_RATIO)
     }
-    hits = np.array([len(w & markers) for w in words])
+    hits = np.array([len(markers.intersection(t.split())) for t in texts])
     median = np.median(hits[toxic == 1]) if toxic.any() else 0
     return np.where(toxic == 1, np.where(hits >= max(2, median), 2, 1), 0)
 
@@ -142,12 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = rows.select(F.pandas_udf(words, "binary")("_raw").alias("w"), "_toxic", F.xxhash64(F.col(id_col)).alias("h")).collect()
     got.sort(key=lambda r: (r["h"], bytes(r["w"])))
-    sets = [set(bytes(r["w"]).split()) for r in got]
     toxic = np.array([int(r["_toxic"] > 0) for r in got], np.int64)
-    grades = grade_sample(sets, toxic) if got else toxic
+    texts = [bytes(r["w"]) for r in got]
+    del got
+    grades = grade_sample(texts, toxic) if texts else toxic
     present = np.unique(grades)
     grades = np.searchsorted(present, grades) if len(present) and present[0] == 0 else grades * 0
-    return fit([text_features(b" ".join(s)) for s in sets], grades)
+    return fit([text_features(t) for t in texts], grades)
 
 
 class _Scores(dict):
