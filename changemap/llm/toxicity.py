@@ -25,7 +25,7 @@ MIN_SUPPORT = 5
 # words whose weights a task keeps at hand
 MEMO = 250_000
 # rejected from this expected severity on; grades start at 0
-THRESHOLD = 0.12
+THRESHOLD = 0.2
 # a word marks toxic texts if this many times as frequent there, in so many texts
 MARKER_RATIO = 20.0
 MARKER_TEXTS = 5
