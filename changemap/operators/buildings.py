@@ -69,7 +69,7 @@ def attach_labels(
     carry: Sequence[str] = ("date",),
     areas: DataFrame | None = None,
     area_key: str = "aoi",
-    area_cell: float = 1000.0,
+    area_cell: float = 100.0,
 ) -> DataFrame:
     """All buildings, with the most severe label within ``radius`` metres or null.
 

@@ -138,10 +138,11 @@ def points_in_polygons(
     )
     p = p.withColumns({"gx": G.cell(F.col("_px"), cell_size), "gy": G.cell(F.col("_py"), cell_size)})
     j = p.join(_polygon_cells(edges, poly_key, cell_size), ["gx", "gy"])
-    hits = F.when(F.col("inner"), 1).otherwise(G.crosses_ray(F.col("_px"), F.col("_py")))
-    return (
-        j.groupBy(point_key, poly_key).agg(F.sum(hits).alias("_n")).where(F.col("_n") % 2 == 1).select(point_key, poly_key)
-    )
+    # a point in an inner cell is decided where it stands; only border cells are counted
+    decided = j.where("inner").select(point_key, poly_key)
+    hits = F.sum(G.crosses_ray(F.col("_px"), F.col("_py"))).alias("_n")
+    tested = j.where("NOT inner").groupBy(point_key, poly_key).agg(hits).where(F.col("_n") % 2 == 1)
+    return decided.unionByName(tested.select(point_key, poly_key))
 
 
 def point_in_polygon(
@@ -197,14 +198,20 @@ def grid_overlap(edges: DataFrame, key: str, grid: Grid) -> DataFrame:
     return spread.groupBy(key, "row", "col").agg(F.sum(share).alias("area")).where(F.col("area") > 1e-9)
 
 
-def _edges_by_cell(edges: DataFrame, key: str, size: float, margin: float = 0.0) -> DataFrame:
-    """Edges on every cell of their polygon's box, widened by ``margin``."""
-    e = with_bounds(edges, key)
+def _boxes_by_cell(edges: DataFrame, key: str, size: float, margin: float = 0.0) -> DataFrame:
+    """A polygon's box on every cell it covers, widened by ``margin``: one row a cell,
+    however many edges the polygon has."""
+    e = bounds(edges, key)
     lo = {c: G.cell(F.col(c) - margin, size) for c in ("minx", "miny")}
     hi = {c: G.cell(F.col(c) + margin, size) for c in ("maxx", "maxy")}
     return e.withColumn("gx", _range(lo["minx"], hi["maxx"])).withColumn("gy", _range(lo["miny"], hi["maxy"]))
 
 
+def _with_edges(pairs: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Pairs whose boxes meet, with the edges of their polygon."""
+    return pairs.join(edges.select(key, "x1", "y1", "x2", "y2"), key)
+
+
 def disk_overlap(
     points: DataFrame,
     edges: DataFrame,
@@ -223,13 +230,14 @@ def disk_overlap(
     p = points.select(point_key, F.col(x).alias("_px"), F.col(y).alias("_py"))
     p = p.withColumn("gx", _range(G.cell(px - radius, cell_size), G.cell(px + radius, cell_size)))
     p = p.withColumn("gy", _range(G.cell(py - radius, cell_size), G.cell(py + radius, cell_size)))
-    j = p.join(_edges_by_cell(edges, poly_key, cell_size), ["gx", "gy"])
+    j = p.join(_boxes_by_cell(edges, poly_key, cell_size), ["gx", "gy"])
     j = j.where(
         (F.col("gx") == F.greatest(G.cell(F.col("minx"), cell_size), G.cell(px - radius, cell_size)))
         & (F.col("gy") == F.greatest(G.cell(F.col("miny"), cell_size), G.cell(py - radius, cell_size)))
         & (px + radius > F.col("minx")) & (px - radius < F.col("maxx"))
         & (py + radius > F.col("miny")) & (py - radius < F.col("maxy"))
     )
+    j = _with_edges(j.select(point_key, "_px", "_py", poly_key), edges, poly_key)
     share = G.disk_edge_area(px, py, radius)
     return j.groupBy(point_key, poly_key).agg(F.sum(share).alias("area")).where(F.col("area") > 1e-9)
 
@@ -248,10 +256,11 @@ def within_distance(
     px, py = F.col("_px"), F.col("_py")
     p = points.select(point_key, F.col(x).alias("_px"), F.col(y).alias("_py"))
     p = p.withColumns({"gx": G.cell(px, cell_size), "gy": G.cell(py, cell_size)})
-    j = p.join(_edges_by_cell(edges, poly_key, cell_size, radius), ["gx", "gy"]).where(
+    j = p.join(_boxes_by_cell(edges, poly_key, cell_size, radius), ["gx", "gy"]).where(
         px.between(F.col("minx") - radius, F.col("maxx") + radius)
         & py.between(F.col("miny") - radius, F.col("maxy") + radius)
     )
+    j = _with_edges(j.select(point_key, "_px", "_py", poly_key), edges, poly_key)
     near = j.groupBy(point_key, poly_key).agg(
         F.sum(G.crosses_ray(px, py)).alias("_n"), F.min(G.edge_distance2(px, py)).alias("_d2")
     )
