@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from changemap.session import materialise
 
-# A line ends behind a newline, or within running text behind a mark.
-LINE = r"([^.,;:!?\n]*+[.,;:!?\n]|[^.,;:!?\n]++)"
+# A line ends behind a newline, or within running text behind marks and the space or
+# newline after them.
+LINE = r"([^.,;:!?\n]*+(?:[.,;:!?]++[ \n]?|\n)|[^.,;:!?\n]++)"
 # One place in DIVISOR ends a chunk, by the hashes of the two lines before it.
 DIVISOR = 2
 MIN_LINES = 2
