@@ -23,8 +23,8 @@ from changemap.llm.text import as_bytes
 PATHS, WORDS, SHAPES = 2048, 4096, 8
 PATH_DIM, WORD_DIM, HIDDEN = 12, 6, 16
 # pages of the table the labeller is fitted on, taken by the hash of their id; besides made ones
-MAX_TRAIN, MADE_PAGES = 300, 900
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+MAX_TRAIN, MADE_PAGES = 300, 1500
+EPOCHS, BATCH, RATE = 8, 32, 0.01
 BLOCKS_AT_ONCE = 20_000
 
 # HTML elements by their role.
@@ -302,12 +302,16 @@ def made_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
 
     def named(tag: str, names: list[str], inner: str) -> str:
         how = r.random()
-        attr = "" if how < 0.15 else f' class="{r.choice(names)}"' if how < 0.7 else f' id="{r.choice(names)}"'
+        attr = "" if how < 0.15 and "comments" not in names else f' class="{r.choice(names)}"' if how < 0.7 else f' id="{r.choice(names)}"'
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def some(kind: str) -> str:
         return str(r.choice(stock[kind])) if r.random() < 0.4 else words(int(r.integers(1, 14)))
 
+    def comment(text: str) -> str:
+        how = r.random()
+        return f'<div class="comment"><p>{text}</p></div>' if how < 0.5 else f"<p>{text}</p>" if how < 0.8 else f"<ul><li>{text}</li></ul>"
+
     def menu(k: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{str(r.choice(stock["menu"])) if r.random() < 0.5 else words(1)[:-1]}</a></li>' for i in range(k)) + "</ul>"
 
@@ -335,8 +339,9 @@ def made_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
             (0.6, 0, lambda: named("div", ["ad", "ads", "advert", "sponsor", "banner-ad", "promo"], some("ad"))),
             (0.4, 0, lambda: named(str(r.choice(["div", "section"])), ["cookie", "notice", "cookie-banner", "consent", "alert", "popup"], f"<p>{some('notice')}</p>")),
             (0.5, 1, lambda: named(str(r.choice(["aside", "div"])), ["sidebar", "side", "related", "widget", "share", "recommended"], f"<h3>{some('menu')}</h3>{menu(3)}<p>{words(8)}</p>")),
-            (0.4, 1, lambda: named(str(r.choice(["div", "section"])), ["comments", "comment-list", "reader-comments", "discussion", "respond"],
-                                   "".join(f'<div class="comment"><p>{some("comment") if r.random() < 0.5 else words(int(r.integers(5, 40)))}</p></div>' for _ in range(int(r.integers(1, 5)))))),
+            (0.5, 1, lambda: named(str(r.choice(["div", "section"])), ["comments", "comment-list", "reader-comments", "discussion", "respond"],
+                                   "".join(comment(some("comment") if r.random() < 0.4 else words(int(r.integers(5, 80)))) for _ in range(int(r.integers(1, 5)))))),
+            (0.1, 0, lambda: "<table><tr>" + "".join(f'<td><a href="/{k}">{words(1)[:-1]}</a></td>' for k in range(int(r.integers(2, 6)))) + "</tr></table>"),
             (0.4, 1, lambda: f'<form action="/s"><label>{some("notice")}</label><input name="q"><button>{words(1)[:-1]}</button></form>'),
             (0.4, 1, lambda: named("div", ["ad", "ads", "advert", "sponsor", "promo"], f"<p>{some('ad')}</p>")),
             (0.8, 2, lambda: named(str(r.choice(["footer", "div"])), ["footer", "site-footer", "bottom", "copyright", "legal"], some("foot"))),
