@@ -28,6 +28,7 @@ from changemap.session import materialise
 
 LENGTH = 2048
 END_ID = 0
+SALTS = 256
 VOCABULARY = "byte_bpe_50k"
 
 _ENCODERS: dict[str, object] = {}
@@ -146,8 +147,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     no rows, no pieces.
     """
     cut = materialise(pieces(docs, id_col, text_col, length, vocabulary), "pieces")
-    # ranks within a size without gathering the size: each input task counts its own rows first
-    dealt = cut.withColumn("task", F.pmod(F.xxhash64("id", "piece"), F.lit(4096)))
+    # ranks within a size without gathering the size: its rows are dealt to SALTS groups by
+    # hash, and the group counts, at most SALTS a size, say where each group's ranks begin
+    dealt = cut.withColumn("task", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(SALTS)))
     counts = dealt.groupBy("length", "task").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialise(counts.select("length", "task", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base")), "counts")
