@@ -28,7 +28,7 @@ BITS_PER_ENTRY, PROBES = 10, 5  # about one false answer in a hundred probes
 PRIOR = 20.0  # weight of the word's own probability against what followed its context
 # text in one broadcast segment and in one task that builds a part of it
 SEGMENT_BYTES, BUCKET_BYTES = 1 << 30, 16 << 20
-FLUSH_TOKENS, SCORE_TOKENS, MEMO = 2_000_000, 500_000, 500_000
+FLUSH_TOKENS, SCORE_TOKENS, MEMO = 2_000_000, 500_000, 250_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _TOP = np.uint64(0xFFFF << 48)

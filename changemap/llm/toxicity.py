@@ -23,7 +23,7 @@ RATE = 0.03
 RIDGE = 1e-3
 MIN_SUPPORT = 5
 # words whose weights a task keeps at hand
-MEMO = 250_000
+MEMO = 100_000
 # rejected from this expected severity on; grades start at 0
 THRESHOLD = 0.2
 # a word marks toxic texts if this many times as frequent there, in so many texts
