@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks, in DataFrame functions only."""
+"""Line dedup by pairs of neighbouring lines, in DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from changemap.session import materialise
 # A line ends behind a newline, or within running text behind marks and the space or
 # newline after them.
 LINE = r"([^.,;:!?\n]*+(?:[.,;:!?]++[ \n]?|\n)|[^.,;:!?\n]++)"
-# One place in DIVISOR ends a chunk, by the hashes of the two lines before it.
+# Of the former rule of chunks, which tests/llm/test_brute_force.py still states.
 DIVISOR = 2
 MIN_LINES = 2
 MIN_CHARS = 60
@@ -31,81 +31,81 @@ def _slice(first: Column, last: Column) -> Column:
     return F.array_join(F.slice("_lines", first + 1, F.greatest(last - first + 1, F.lit(0))), "")
 
 
-def with_ends(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with ``_lines``, which join to the text again, and ``_ends``, the last line of
-    each chunk. A null text has null for both.
+def with_lines(docs: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with ``_lines``, which join to the text again; null for a null text."""
+    return docs.select(*_named(docs), _kept(F.regexp_extract_all(text, F.lit(LINE), 1), "_lines"))
 
-    A chunk ends behind line i if the hash rolling over lines i-1 and i is divisible.
-    That looks at the text alone, not at the place in it, so the ends shift with a
-    passage.
-    """
-    a = docs.select(*_named(docs), _kept(F.regexp_extract_all(text, F.lit(LINE), 1), "_lines"))
-    a = a.select(*_named(a), _kept(F.transform("_lines", lambda x: F.shiftrightunsigned(F.xxhash64(x), 8)), "_hashes"))
-    h, last = F.col("_hashes"), F.size("_hashes") - 1
-    ends = F.filter(
-        F.transform("_hashes", lambda x, i: F.when((i == last) | (i > 0) & (F.pmod(x + 31 * h[F.greatest(i - 1, F.lit(0))], F.lit(DIVISOR)) == 0), i)),
-        lambda i: i.isNotNull(),
-    )
-    return a.select(*_named(docs), "_lines", _kept(ends, "_ends"))
+
+def _pairs(docs: DataFrame) -> DataFrame:
+    """``(id, pairs)``: for every line of ``docs`` (id, text) but the last, the hash of it and the next."""
+    a = with_lines(docs, F.col("text")).select("id", _kept(F.transform("_lines", lambda x: F.xxhash64(x)), "_hashes"))
+    h, n = F.col("_hashes"), F.greatest(F.size("_hashes") - 1, F.lit(0))
+    return a.select("id", F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda x, y: F.xxhash64(x, y)).alias("pairs"))
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """``(id, k, text)``: every chunk of ``docs`` (id, text) in its place."""
-    e = F.col("_ends")
-    made = F.transform("_ends", lambda x, k: _slice(F.when(k > 0, e[F.greatest(k - 1, F.lit(0))] + 1).otherwise(0), x))
-    return with_ends(docs, F.col("text")).select("id", F.posexplode(made).alias("k", "text"))
+def _ambiguous(found: DataFrame) -> DataFrame:
+    """``h`` of the ``_places`` (k, h, ..) of ``found`` (text, _places) at which different texts stand."""
+    at = with_lines(found.select("text", "_places"), F.when(F.col("_places").isNotNull(), F.col("text")))
+    # a row of the same id with other lines has nothing at this place
+    line = lambda k: F.get("_lines", k)
+    there = F.filter("_places", lambda p: F.xxhash64(F.xxhash64(line(p["k"])), F.xxhash64(line(p["k"] + 1))) == p["h"])
+    made = at.select(_kept(F.transform(there, lambda p: F.struct(p["h"].alias("h"), F.concat(line(p["k"]), line(p["k"] + 1)).alias("text"))), "_made"))
+    texts = made.select(F.inline("_made")).distinct()
+    return texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated multi-line chunks taken out of ``text`` and ``n_removed``,
-    the characters that went.
-
-    Chunks with equal bytes anywhere in ``docs`` repeat each other; the one with the
-    smallest (id, place) is the original. Neighbouring repeated chunks of a text form
-    one passage; passages of ``MIN_LINES`` lines and ``MIN_CHARS`` characters or more are
-    removed, shorter ones (a stock phrase, a one-line notice) stay. Texts without such
-    passages come back as they were, to the byte. A text that is all repeated
-    becomes empty; its row stays, as do rows with null text. Rows repeated with the
-    same id are one occurrence and stay; rows without an id count as originals only.
-    Other columns pass through; ``n_removed`` replaces a column of that name.
-
-    Bytes are compared by grouping on the texts themselves. A hash stands for its chunks
-    from there on, if it has one text in all of ``docs``; a hash that different texts
-    share proves nothing, and its chunks stay.
+    """``docs`` with repeated passages taken out of ``text`` and ``n_removed``, the
+    characters that went.
+
+    Every two neighbouring lines are looked at. Two that stand anywhere else in ``docs``
+    with equal bytes repeat each other; those with the smallest (id, place) are the
+    original. Repeated pairs that overlap or touch form one passage, so a repeated passage
+    goes from its first whole line to its last; passages of ``MIN_LINES`` lines and
+    ``MIN_CHARS`` characters or more are removed, shorter ones (a stock phrase, a one-line
+    notice) stay. Texts without such passages come back as they were, to the byte. A text
+    that is all repeated becomes empty; its row stays, as do rows with null text. Rows
+    repeated with the same id are one occurrence and stay; rows without an id count as
+    originals only. Other columns pass through; ``n_removed`` replaces a column of that name.
+
+    Pairs are found by hash; the bytes of all that share one are compared by grouping on
+    the texts themselves. A hash that different texts share proves nothing, and its pairs stay.
     """
     i, t = F.col(id_col), F.col(text_col)
-    pieces = _chunks(docs.where(t.isNotNull()).select(i.alias("id"), t.alias("text"))).withColumn("h", F.xxhash64("text"))
+    own = docs.where(t.isNotNull()).select(i.alias("id"), t.alias("text"))
+    pairs = materialise(_pairs(own), "pairs").select("id", F.posexplode("pairs").alias("k", "h"))
     repeated = materialise(
-        pieces.groupBy("h", "text").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        .groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
-        .where("texts = 1 AND n > 1").select("h", "first"), "repeated",
-    )
-    places = materialise(pieces.where("id IS NOT NULL").select("id", "k", "h").join(repeated, "h"), "places")
+        pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("h", "first"), "repeated")
+    places = materialise(pairs.where("id IS NOT NULL").join(repeated, "h").select("id", "k", "h", "first"), "places")
     origin = places.where("id = first").groupBy("h").agg(F.min("k").alias("place"))
-    copies = places.where("id <> first OR first IS NULL").select("id", "k").unionByName(
-        places.where("id = first").join(origin, "h").where("k <> place").select("id", "k"))
-    marks = copies.groupBy(F.col("id").alias("_mark_id")).agg(F.array_sort(F.collect_set("k")).alias("_marks"))
+    of = places.where("id <> first OR first IS NULL").select("id", "k", "h", F.lit(True).alias("copy")).unionByName(
+        places.where("id = first").join(origin, "h").select("id", "k", "h", (F.col("k") != F.col("place")).alias("copy")))
+    of = of.groupBy(F.col("id").alias("_place_id")).agg(F.collect_set(F.struct("k", "h", "copy")).alias("_places"))
     cols = [F.col(f"`{c}`") for c in docs.columns if c != "n_removed"]
-    found = docs.select(*cols).join(marks.hint("shuffle_hash"), i == F.col("_mark_id"), "left").drop("_mark_id")
+    found = docs.select(*cols).join(of.hint("shuffle_hash"), i == F.col("_place_id"), "left").drop("_place_id")
+    # both uses of ``found`` read the same shuffled texts; one row, empty but for colliding hashes
+    no = _ambiguous(found.select(t.alias("text"), "_places")).agg(F.collect_set("h").alias("_no"))
+    found = found.crossJoin(F.broadcast(no))
+    copies = F.filter("_places", lambda p: p["copy"] & ~F.array_contains("_no", p["h"]))
+    marks = F.array_sort(F.array_distinct(F.transform(copies, lambda p: p["k"])))
+    found = found.select(*cols, _kept(marks, "_found")).select(*cols, F.when(F.size("_found") > 0, F.col("_found")).alias("_marks"))
     return _cut(found, text_col)
 
 
 def _cut(found: DataFrame, text_col: str) -> DataFrame:
-    """``found`` without the passages that its ``_marks``, ascending chunk numbers, make up."""
+    """``found`` without the passages that its ``_marks``, ascending numbers of the first lines of pairs, make up."""
     t = F.col(text_col)
     cols = [F.col(f"`{c}`") for c in found.columns if c != "_marks"]
     names = [c for c in found.columns if c != "_marks"]
     # rows without marks have nothing to cut: no lines are made of them
-    a = with_ends(found, F.when(F.col("_marks").isNotNull(), t))
-    m, e = F.col("_marks"), F.col("_ends")
+    a = with_lines(found, F.when(F.col("_marks").isNotNull(), t))
+    m = F.col("_marks")
     at = lambda array, k: array[F.greatest(k, F.lit(0))]
-    starts = F.filter(F.transform(m, lambda x, j: F.when((j == 0) | (at(m, j - 1) != x - 1), j)), lambda j: j.isNotNull())
-    a = a.select(*cols, "_lines", "_ends", "_marks", _kept(starts, "_starts"))
+    starts = F.filter(F.transform(m, lambda x, j: F.when((j == 0) | (at(m, j - 1) < x - 2), j)), lambda j: j.isNotNull())
+    a = a.select(*cols, "_lines", "_marks", _kept(starts, "_starts"))
     s = F.col("_starts")
     runs = F.transform(s, lambda j, r: F.struct(
-        F.when(m[j] > 0, at(e, m[j] - 1) + 1).otherwise(0).alias("a"),
-        e[m[F.when(r + 1 < F.size(s), s[F.least(r + 1, F.size(s) - 1)] - 1).otherwise(F.size(m) - 1)]].alias("b"),
-    ))
+        m[j].alias("a"), (m[F.when(r + 1 < F.size(s), s[F.least(r + 1, F.size(s) - 1)] - 1).otherwise(F.size(m) - 1)] + 1).alias("b")))
     gone = F.filter(runs, lambda r: (r["b"] - r["a"] + 1 >= MIN_LINES) & (F.length(_slice(r["a"], r["b"])) >= MIN_CHARS))
     a = a.select(*cols, "_lines", _kept(gone, "_gone"))
     g, n = F.col("_gone"), F.size("_gone")
