@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,17 +49,60 @@ KNOWN = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
 )
 
+# Published whole texts, a file a licence, and the headings that stand above texts without one.
+TEXTS_VERSION = "1"
+TEXTS = {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+HEADINGS = {
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License"),
+    "Unlicense": ("The Unlicense",),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+# what follows is advice on how to apply the licence
+LAST = "END OF TERMS AND CONDITIONS"
+
+
+def _forms(name: str, text: str) -> list[str]:
+    bodies = [text]
+    if name.startswith("BSD"):  # items with marks, which go, or with numbers
+        bare = re.sub(r"(?m)^[ \t]*(?:\*|\d\.) ", "* ", text)
+        number = itertools.count(1)
+        bodies = [bare, re.sub(r"(?m)^\* ", lambda _: f"{next(number)}. ", bare)]
+    out = [f"{h}{body}" for body in bodies for h in ("", *(f"{x}\n" for x in HEADINGS.get(name, ())))]
+    if LAST in text:
+        out += [text[:text.index(LAST)], text[:text.index(LAST) + len(LAST)]]
+    return out
+
+
+KNOWN += tuple((name, form) for name, text in TEXTS.items() for form in _forms(name, text))
+
 # digests held by every task
 MAX_KNOWN = 10_000
 
 # (pattern, replacement), applied in order; patterns mean the same to Java and to RE2
-# a notice names a year or the sign; a wrapped line of the licence may begin with the word too
-COPYRIGHT_LINE = r"\n[ \t]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]|©)[^\n]*"
+# comment marks and space before a line
+LINE_START = r"\n(\(\*|[^\p{L}\p{N}\n©(])+"
+# words behind "copyright" or "(c)" where a wrapped line or an item of a licence begins with it
+AFTER_COPYRIGHT = (
+    "notice", "holder", "owner", "law", "licen", "interest", "act ", "statement", "treat", "and ", "or ", "in ", "to ", "on ", "is ",
+    "of ", "as ", "for ", "which ", "the program", "the software", "the library", "protect", "claim", "status", "permission",
+    "disclaimer", "right", "doctrine", "assign", "year", "resulting", "infring", "material", "information", "applies", "are ", "will ",
+)
+AFTER_C = ("you ", "if ", "the ", "any ", "a ", "an ", "to ", "in ", "for ", "all ", "under ", "no ", "affirmer", "each ", "prohibit", "keep ", "use ")
+COPYRIGHT_LINE = r"\n(copyright([ \t]|\(c\)|©|:)|\(c\)[ \t]*(©|copyright|[0-9])|\(c\)[ \t]|©)[^\n]*"
 STEPS = (
+    (LINE_START, "\n"),
+    # a mark, which goes later, keeps these lines
+    *((f"\\ncopyright {word}", f"\n.copyright {word}") for word in AFTER_COPYRIGHT),
+    *((f"\\n\\(c\\) {word}", f"\n.c {word}") for word in AFTER_C),
     (COPYRIGHT_LINE, ""),
+    (r"\nall rights reserved[^\p{L}\p{N}\n]*", ""),
     (r"https?://(www\.)?", ""),
     (r"&", " and "),
     (r"[^\p{L}\p{N}\n]+", " "),
+    # spellings of two words, across the end of a line
+    *((old.replace(" ", r" ?\n ?"), new) for old, new in SPELLINGS if " " in old.strip()),
+    (r"fulfil ?\n", "fulfill\n"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
