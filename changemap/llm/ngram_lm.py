@@ -309,7 +309,7 @@ def score(docs: DataFrame, totals: Totals, parts: DataFrame, text_col: str = "te
     the model's: (pairs + PRIOR * P(word)) / (context + PRIOR), counts and P(word) from
     the filter. The filter is broadcast in segments of at most ``SEGMENT_BYTES`` of
     training text; each adds the terms of its own words, in one pass over the texts
-    after the other. Null is an empty text, which has one token, the end. Without
+    after the other, and all but the last are written and dropped before the next is sent. Null is an empty text, which has one token, the end. Without
     training tokens all counts are zero. The column replaces one of that name.
     """
     spark = docs.sparkSession
@@ -317,4 +317,8 @@ def score(docs: DataFrame, totals: Totals, parts: DataFrame, text_col: str = "te
     for s in range(totals.segments):
         sent = spark.sparkContext.broadcast(_segment(parts, s, totals.buckets))
         out = out.withColumn("lm", _scorer(sent, totals)(as_bytes(F.col(text_col)), F.col("lm")))
+        if s + 1 < totals.segments:
+            # written before the next segment is sent, so no worker holds two
+            out = materialise(out, "scores")
+            sent.destroy()
     return out
