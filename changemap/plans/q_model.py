@@ -18,9 +18,8 @@ from changemap.plans.q_predict import site_dates
 from changemap.session import materialise, work_path
 from changemap.sources import io
 
-# quick forests for the queries that fit many of them; the others take the study's 50 trees
-FOREST = {"numTrees": 10, "maxDepth": 6, "minInstancesPerNode": 3}
-CFG = P.RunConfig(bands=BANDS, model_args=FOREST)
+# the settings of the study: 50 trees, depth up to the library's largest
+CFG = P.RunConfig(bands=BANDS)
 COLS = feature_names(BANDS)
 KEY = ["site_id", "orbit", "win"]
 
@@ -41,13 +40,13 @@ def model_random_forest(spark, sf):
 
 def model_svm(spark, sf):
     tr, te = _train_test(spark, sf)
-    cfg = replace(CFG, model_name="svm", model_args={"maxIter": 5})
+    cfg = replace(CFG, model_name="svm", model_args={})
     return R.predictions(R.train(tr, cfg), te, cfg)
 
 
 def model_gradient_trees(spark, sf):
     tr, te = _train_test(spark, sf)
-    cfg = replace(CFG, model_name="gradient_trees", model_args={"maxIter": 4, "maxDepth": 3})
+    cfg = replace(CFG, model_name="gradient_trees", model_args={})
     return R.predictions(R.train(tr, cfg), te, cfg)
 
 
@@ -89,24 +88,24 @@ def model_embeddings(spark, sf):
     e = X.table(spark, sf, "embeddings").select(
         "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("label") % 2).cast("double").alias("label")
     )
-    clf = model.classifier("random_forest", 0, **FOREST)
+    clf = model.classifier("random_forest", 0, **CFG.model_args)
     m = clf.fit(e)
     return m.transform(e).select("vec_id", "label", vector_to_array("probability")[1].alias("prob"))
 
 
 def model_oob_curve(spark, sf):
     tr, _ = _train_test(spark, sf)
-    return model.oob_curve(tr, COLS, KEY, n_trees=6, maxDepth=6)
+    return model.oob_curve(tr, COLS, KEY)
 
 
 def model_oob_elbow(spark, sf):
     tr, _ = _train_test(spark, sf)
-    return model.oob_elbow(materialise(model.oob_curve(tr, COLS, KEY, n_trees=6, maxDepth=6), "curve"))
+    return model.oob_elbow(materialise(model.oob_curve(tr, COLS, KEY), "curve"))
 
 
 def model_oob_by_mtry(spark, sf):
     tr, _ = _train_test(spark, sf)
-    return model.oob_by_mtry(tr, COLS, KEY, values=(1, 5, 28), n_trees=3, maxDepth=6)
+    return model.oob_by_mtry(tr, COLS, KEY)
 
 
 def run_metrics(spark, sf):
@@ -127,13 +126,12 @@ def run_ablate_bands(spark, sf):
 
 def run_ablate_reducers(spark, sf):
     tr, te = _train_test(spark, sf)
-    cfg = replace(CFG, model_args={**FOREST, "numTrees": 3})
-    return R.ablate(tr, te, site_dates(spark, sf), X.POST, R.reducer_settings(cfg), X.CHANGE)
+    return R.ablate(tr, te, site_dates(spark, sf), X.POST, R.reducer_settings(CFG), X.CHANGE)
 
 
 def run_ablate_trees(spark, sf):
     tr, te = _train_test(spark, sf)
-    return R.ablate(tr, te, site_dates(spark, sf), X.POST, R.tree_settings(CFG, (2, 5, 10)), X.CHANGE)
+    return R.ablate(tr, te, site_dates(spark, sf), X.POST, R.tree_settings(CFG), X.CHANGE)
 
 
 def run_all_areas(spark, sf):
