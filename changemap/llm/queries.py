@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changemap.llm import decontaminate, embeddings, html_text, langid, licences, lines, ngram_lm, packing, simhash, toxicity
+from changemap.llm import (
+    alignment, ann, decontaminate, embeddings, html_text, langid, licences, lines, ngram_lm, packing, simhash, toxicity, whitening,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +84,21 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_read(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    found = ann.nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+    return found.withColumnsRenamed({"query": "query_id", "id": "vec_id"})
+
+
 QUERIES = {
     "op1_embedding_near_dup": embedding_near_dup,
     "op2_licence_scan": licence_scan,
@@ -93,7 +110,12 @@ QUERIES = {
     "op8_language_id": language_id,
     "op9_best_fit_packing": best_fit_packing,
     "op10_ordinal_toxicity": ordinal_toxicity,
+    "op11_embedding_whitening": embedding_whitening,
+    "op12_tokenizer_alignment": tokenizer_alignment,
+    "op13_nearest_neighbours": nearest_neighbours,
 }
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
