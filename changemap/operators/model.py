@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,14 +13,13 @@ from pyspark.sql import functions as F
 
 from changemap import params as P
 from changemap.functions.names import split_name
+from changemap.operators import forest
 
-# Defaults where the ML library's own differ from the study's set-up.  There is
-# no leaf-count limit here; the depth is the library's largest.
+# The ML library's forest (no leaf limit), for vectors that are columns already;
+# ``fit`` grows the forests of ``operators.forest``.
 _FOREST = {"numTrees": 50, "minInstancesPerNode": 3, "maxDepth": 30, "maxBins": 64}
-
-
-# single trees that are grown side by side
-FITS_AT_ONCE = 4
+# the names of the study's settings
+_SETTINGS = {"numTrees": "trees", "minInstancesPerNode": "min_leaf", "maxLeaves": "max_leaves", "maxDepth": "max_depth", "featureSubsetStrategy": "mtry"}
 
 
 def classifier(name: str = "random_forest", seed: int = 0, label: str = "label", **args):
@@ -46,6 +43,14 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
     return df.join(F.broadcast(per.select(label, w.alias(out))), label)
 
 
+def forest_settings(seed: int = 0, **args) -> forest.Settings:
+    """Settings of a forest from the study's names; unknown names raise."""
+    unknown = set(args) - set(_SETTINGS)
+    if unknown:
+        raise ValueError(f"unknown forest settings: {sorted(unknown)}")
+    return forest.Settings(seed=seed, **{_SETTINGS[k]: v for k, v in args.items()})
+
+
 def fit(
     train: DataFrame,
     features: Sequence[str],
@@ -54,12 +59,16 @@ def fit(
     label: str = "label",
     balanced: bool = False,
     weight: str | None = None,
+    row_key: Sequence[str] | None = None,
     **args,
-) -> PipelineModel:
+) -> PipelineModel | forest.Forest:
     """Train on the chosen columns; rows with a missing feature are left out."""
     data = train.na.drop(subset=list(features))
+    key = list(row_key or train.columns)
     if balanced:
         data, weight = balanced_weights(data, label, "_w"), "_w"
+    if name == "random_forest":
+        return forest.fit(data, features, forest_settings(seed, **args), label, weight, key)
     clf = classifier(name, seed, label, **args)
     if weight:
         clf = clf.setWeightCol(weight)
@@ -69,21 +78,28 @@ def fit(
     )
 
 
-def load_or_fit(path: str, train: DataFrame, features: Sequence[str], force: bool = False, **kw) -> PipelineModel:
+def load_or_fit(path: str, train: DataFrame, features: Sequence[str], force: bool = False, **kw) -> PipelineModel | forest.Forest:
     """The saved model at ``path``, or a new one trained and saved there."""
+    spark = train.sparkSession
+    is_forest = kw.get("name", "random_forest") == "random_forest"
     if not force:
         try:
-            return PipelineModel.load(path)
+            return forest.Forest.load(spark, path) if is_forest else PipelineModel.load(path)
         except Exception as e:  # nothing saved yet
             if "Input path does not exist" not in str(e) and "PATH_NOT_FOUND" not in str(e):
                 raise
     model = fit(train, features, **kw)
-    model.write().overwrite().save(path)
+    if is_forest:
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
     return model
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
+def score(model: PipelineModel | forest.Forest, df: DataFrame, out: str = "prob") -> DataFrame:
     """Probability of class 1; a margin classifier gives the logistic of its margin."""
+    if isinstance(model, forest.Forest):
+        return model.transform(df, out)
     scored = model.transform(df)
     if "probability" in scored.columns:
         p = vector_to_array("probability")[1]
@@ -93,7 +109,7 @@ def score(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
     return scored.withColumn(out, p).drop(*made)
 
 
-def score_or_null(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "prob") -> DataFrame:
+def score_or_null(model: PipelineModel | forest.Forest, df: DataFrame, features: Sequence[str], out: str = "prob") -> DataFrame:
     """Every row with its probability, null where a feature is missing.
 
     Raises when a feature column does not exist.  No join: incomplete rows are
@@ -107,9 +123,9 @@ def score_or_null(model: PipelineModel, df: DataFrame, features: Sequence[str],
     return done.unionByName(rest)
 
 
-def importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
+def importance(model: PipelineModel | forest.Forest, features: Sequence[str], spark) -> DataFrame:
     """Rank, feature, importance (6 digits) and the parts of the name."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
+    values = model.importances() if isinstance(model, forest.Forest) else model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
     w = Window.orderBy(F.desc("importance"), "feature")  # one row per feature
     return df.select(
@@ -136,60 +152,36 @@ def top_features(table: DataFrame, n: int = 10, lowest: bool = False) -> DataFra
 def bootstrap_weight(row_key: Sequence[str], tree: int, seed: int = 0) -> Column:
     """How often a row is drawn for a tree: Poisson(1) from a hash of its key, so
     the same row gets the same draw on every run and executor."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(tree), *[F.col(c) for c in row_key]), F.lit(1 << 30)) / float(1 << 30)
-    # cumulative probabilities of Poisson(1) for 0..6 draws
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    w = F.lit(0)
-    for s in steps:
-        w = w + F.when(u >= s, 1).otherwise(0)
-    return w.cast("double")
+    return forest.poisson(F.lit(seed), F.lit(tree), *[F.col(c) for c in row_key]).cast("double")
+
+
+def _for_oob(train: DataFrame, features: Sequence[str], row_key: Sequence[str], n_trees: int, label: str, seed: int):
+    """Binned rows with their draws; their draws also tell which trees never saw a row."""
+    full = train.na.drop(subset=list(features))
+    ends = forest.edges(full, features)
+    return forest.binned(full, features, ends, label, forest.draws(n_trees, row_key, seed)), ends
 
 
 def oob_curve(
     train: DataFrame,
     features: Sequence[str],
     row_key: Sequence[str],
-    n_trees: int = 50,
+    n_trees: int = P.OOB_COUNTS[-1],
     label: str = "label",
     seed: int = 0,
     subset: str = "sqrt",
+    counts: Sequence[int] | None = None,
     **args,
 ) -> DataFrame:
-    """``n_trees, oob_error`` for 1..n trees.
+    """``n_trees, oob_error`` for 1..n trees, or for ``counts`` of them.
 
-    One tree is grown per bootstrap draw; all trees then score the table in one
-    pass, each row keeping only the trees that never saw it.
+    One forest is grown, all trees together; its first n trees are the forest of n. A row is
+    judged by those of them that never saw it, in one pass for all n.
     """
-    data = train.na.drop(subset=list(features))
-
-    def grown(t: int) -> PipelineModel:
-        drawn = data.withColumn("_w", bootstrap_weight(row_key, t, seed))
-        return fit(drawn.where(F.col("_w") > 0), features, seed=seed + t, label=label, weight="_w",
-                   **{**args, "numTrees": 1, "bootstrap": False, "featureSubsetStrategy": subset})
-
-    # trees do not wait for each other
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        models = list(pool.map(inheritable_thread_target(data.sparkSession)(grown), range(n_trees)))
-    scored = VectorAssembler(inputCols=list(features), outputCol="features").transform(data)
-    base = [*row_key, label, "features"]
-    scored = scored.select(*base, F.array().cast("array<double>").alias("_p"))
-    for t, m in enumerate(models):
-        scored = m.stages[-1].transform(scored)
-        p = F.when(bootstrap_weight(row_key, t, seed) == 0, vector_to_array("probability")[1])
-        scored = scored.select(*base, F.array_append("_p", p).alias("_p"))
-    # one fold over a row's votes: the running sum and number after every tree
-    empty = "array<struct<p:double,n:int>>"
-    curve = F.aggregate(
-        "_p", F.array().cast(empty),
-        lambda acc, p: F.array_append(acc, F.struct(
-            (F.coalesce(F.try_element_at(acc, F.lit(-1))["p"], F.lit(0.0)) + F.coalesce(p, F.lit(0.0))).alias("p"),
-            (F.coalesce(F.try_element_at(acc, F.lit(-1))["n"], F.lit(0)) + p.isNotNull().cast("int")).alias("n"),
-        ).cast("struct<p:double,n:int>")),
-    )
-    votes = scored.select(F.col(label).cast("double").alias("_y"), F.posexplode(curve).alias("k", "v"))
-    votes = votes.select("_y", (F.col("k") + 1).alias("n_trees"), "v.p", "v.n").where(F.col("n") > 0)
-    wrong = (F.col("p") / F.col("n") > 0.5).cast("double") != F.col("_y")
-    return votes.groupBy("n_trees").agg(F.avg(wrong.cast("double")).alias("oob_error")).orderBy("n_trees")
+    rows, ends = _for_oob(train, features, row_key, n_trees, label, seed)
+    settings = forest_settings(seed, **{**args, "numTrees": n_trees, "featureSubsetStrategy": subset})
+    curve = forest.oob_errors(rows, next(forest.fit_binned(rows, features, ends, [settings])))
+    return curve.where(F.col("n_trees").isin(*counts)) if counts else curve
 
 
 def oob_elbow(curve: DataFrame, epsilon: float = P.OOB_EPSILON) -> DataFrame:
@@ -205,12 +197,16 @@ def oob_elbow(curve: DataFrame, epsilon: float = P.OOB_EPSILON) -> DataFrame:
 
 def oob_by_mtry(
     train: DataFrame, features: Sequence[str], row_key: Sequence[str], values: Sequence[int] = P.MTRY_VALUES,
-    n_trees: int = 50, **kw,
+    n_trees: int = 50, label: str = "label", seed: int = 0, **args,
 ) -> DataFrame:
-    """``mtry, oob_error`` at ``n_trees`` for each number of features tried per split."""
+    """``mtry, oob_error`` at ``n_trees`` for each number of features tried per cut.
+
+    The forests of all values grow together on one set of binned rows and draws.
+    """
+    rows, ends = _for_oob(train, features, row_key, n_trees, label, seed)
+    several = [forest_settings(seed, **{**args, "numTrees": n_trees, "featureSubsetStrategy": m}) for m in values]
     out = None
-    for m in values:
-        one = oob_curve(train, features, row_key, n_trees, subset=str(m), **kw).where(F.col("n_trees") == n_trees)
-        one = one.select(F.lit(m).alias("mtry"), "oob_error")
+    for m, grown in zip(values, forest.fit_binned(rows, features, ends, several)):
+        one = forest.oob_errors(rows, grown).where(F.col("n_trees") == n_trees).select(F.lit(m).alias("mtry"), "oob_error")
         out = one if out is None else out.unionByName(one)
     return out

@@ -47,6 +47,7 @@ MIN_IMAGES_PRE = 10
 MIN_IMAGES_EACH = 5
 PRECISION_TARGET = 0.9
 OOB_EPSILON = 0.0005
+OOB_COUNTS = tuple(range(1, 151, 5))
 MTRY_VALUES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 28)
 TREE_COUNTS = (10, 25, 50, 75, 100)
 BASELINE_RUN = {

@@ -95,12 +95,12 @@ def model_embeddings(spark, sf):
 
 def model_oob_curve(spark, sf):
     tr, _ = _train_test(spark, sf)
-    return model.oob_curve(tr, COLS, KEY)
+    return model.oob_curve(tr, COLS, KEY, counts=P.OOB_COUNTS)
 
 
 def model_oob_elbow(spark, sf):
     tr, _ = _train_test(spark, sf)
-    return model.oob_elbow(materialise(model.oob_curve(tr, COLS, KEY), "curve"))
+    return model.oob_elbow(materialise(model.oob_curve(tr, COLS, KEY, counts=P.OOB_COUNTS), "curve"))
 
 
 def model_oob_by_mtry(spark, sf):
