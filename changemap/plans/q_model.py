@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from changemap import params as P
 from changemap.functions.names import feature_names
-from changemap.operators import evaluate, model
+from changemap.operators import evaluate, forest, model
 from changemap.plans import fixtures as X
 from changemap.plans import run as R
 from changemap.plans.q_features import BANDS, feature_table
@@ -108,6 +108,71 @@ def model_oob_by_mtry(spark, sf):
     return model.oob_by_mtry(tr, COLS, KEY)
 
 
+# a small forest that SQL can state: given bin ends (between any values of the features), given draws
+GIVEN_ENDS = {
+    "vv_pre_1x1_mean": (46.0123457, 50.0123457, 53.2123457, 55.9123457, 60.9123457),
+    "vv_post_1x1_mean": (33.8123457, 45.8123457, 52.8123457, 60.1123457, 71.4123457),
+    "vv_post_1x1_stdDev": (15.7123457, 24.7123457, 29.4123457, 33.1123457, 39.4123457),
+    "vv_post_1x1_skew": (-1.2123457, -0.4123457, 0.0123457, 0.4123457, 1.2123457),
+    "vh_post_1x1_mean": (3.2123457, 4.3123457, 5.0123457, 5.7123457, 6.8123457),
+    "vh_post_1x1_max": (5.5, 7.5, 8.5, 9.5),
+}
+GIVEN_TREES, GIVEN_LEAF = 4, 3
+GIVEN = forest.Settings(GIVEN_TREES, "all", GIVEN_LEAF, max_depth=2)
+_GIVEN_DRAW = "(site_id * 31 + orbit * 7 + win * 13 + {t} * 17) % 3"
+
+
+def _given(spark, sf):
+    tr, te = _train_test(spark, sf)
+    drawn = F.array(*[F.expr(_GIVEN_DRAW.format(t=t)) for t in range(GIVEN_TREES)])
+    tr, te = (d.na.drop(subset=list(GIVEN_ENDS)) for d in (tr, te))
+    ends = [list(e) for e in GIVEN_ENDS.values()]
+    rows = forest.binned(tr, list(GIVEN_ENDS), ends, "label", drawn)
+    return rows, next(forest.fit_binned(rows, list(GIVEN_ENDS), ends, [GIVEN])), te
+
+
+def model_given_cuts(spark, sf):
+    """Every cut of a small forest: node, feature, bin, rows and drawn weight of either side."""
+    _, f, _ = _given(spark, sf)
+    c = f.cuts
+    rows = zip(*(v.tolist() for v in (c["tree"], c["node"], c["feature"], c["bin"], c["left_n"], c["right_n"], c["left_w1"], c["right_w1"])))
+    named = [(t, n, f.features[j], *rest) for t, n, j, *rest in rows]
+    return spark.createDataFrame(named, "tree int, node long, feature string, bin int, left_n long, right_n long, left_w1 double, right_w1 double")
+
+
+def model_given_scores(spark, sf):
+    """What that forest says of every test row."""
+    _, f, te = _given(spark, sf)
+    return f.transform(te).select(*KEY, F.round(F.col("prob") + 1e-9, 6).alias("prob"))
+
+
+def model_given_oob(spark, sf):
+    """Its out-of-bag error for every number of trees."""
+    rows, f, _ = _given(spark, sf)
+    return forest.oob_errors(rows, f).select("n_trees", F.round(F.col("oob_error") + 1e-9, 6).alias("oob_error"))
+
+
+def model_given_importance(spark, sf):
+    """Rank and importance of its features."""
+    _, f, _ = _given(spark, sf)
+    table = model.importance(f, f.features, spark)
+    return table.select("rank", "feature", F.round(F.col("importance") + 1e-9, 5).alias("importance"))
+
+
+def model_given_rollup(spark, sf):
+    """Its importances by band, by period and by reducer."""
+    _, f, _ = _given(spark, sf)
+    table = model.importance_rollup(model.importance(f, f.features, spark))
+    return table.select("dimension", "name", F.round(F.col("total") + 1e-9, 4).alias("total"))
+
+
+def model_given_errors(spark, sf):
+    """Test rows and wrong decisions of that forest, by area and window."""
+    _, f, te = _given(spark, sf)
+    wrong = (F.col("prob") + 1e-9 > 0.5).cast("int") != F.col("label")
+    return f.transform(te).groupBy("aoi", "win").agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("n_wrong"))
+
+
 def run_metrics(spark, sf):
     """From features to metrics."""
     tr, te = _train_test(spark, sf)
@@ -231,7 +296,8 @@ QUERIES = {
     for f in (
         model_random_forest, model_svm, model_gradient_trees, model_balanced_weights, model_train_on_all,
         model_importance, model_importance_rollup, model_top_features, model_embeddings, model_oob_curve,
-        model_oob_elbow, model_oob_by_mtry, run_metrics, run_compare_splits, run_ablate_bands, run_ablate_reducers,
+        model_oob_elbow, model_oob_by_mtry, model_given_cuts, model_given_scores, model_given_oob, model_given_importance,
+        model_given_rollup, model_given_errors, run_metrics, run_compare_splits, run_ablate_bands, run_ablate_reducers,
         run_ablate_trees, run_all_areas, run_score_pixels, run_score_tiles, model_scores_checked, model_importance_sums,
         run_votes_checked, run_pending_tiles, stream_score_model,
     )
@@ -254,6 +320,58 @@ def _grid_sql(select: str) -> str:
 
 
 _TEST = f"aoi IN {X.TEST_AOIS}"
+
+
+def _given_sql(select: str) -> str:
+    """The small forest as SQL: a level is one grouping, running sums, and the best place of each node."""
+    names = list(GIVEN_ENDS)
+    bins = ", ".join(
+        " + ".join(f"CAST({c} > {e} AS INT)" for e in ends) + f" AS b{j}" for j, (c, ends) in enumerate(GIVEN_ENDS.items()))
+    full = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    lists = "[" + ", ".join(f"b{j}" for j in range(len(names))) + "]"
+
+    def level(k: int, rows: str) -> str:
+        score = "(l0 * l0 + l1 * l1) / (l0 + l1) + (r0 * r0 + r1 * r1) / (r0 + r1)"
+        return f"""cell{k} AS (SELECT tree, node, j, bs[j + 1] AS b, count(*) AS n, sum(CASE WHEN label = 0 THEN w ELSE 0e0 END) AS w0,
+ sum(CASE WHEN label = 1 THEN w ELSE 0e0 END) AS w1 FROM {rows}, range({len(names)}) g(j) WHERE w > 0 GROUP BY ALL),
+run{k} AS (SELECT tree, node, j, b, sum(n) OVER u AS ln, sum(w0) OVER u AS l0, sum(w1) OVER u AS l1, sum(n) OVER p - sum(n) OVER u AS rn,
+ sum(w0) OVER p - sum(w0) OVER u AS r0, sum(w1) OVER p - sum(w1) OVER u AS r1 FROM cell{k}
+ WINDOW u AS (PARTITION BY tree, node, j ORDER BY b), p AS (PARTITION BY tree, node, j)),
+cut{k} AS (SELECT *, s - ((l0 + r0) * (l0 + r0) + (l1 + r1) * (l1 + r1)) / (l0 + r0 + l1 + r1) AS gain
+ FROM (SELECT *, {score} AS s FROM run{k} WHERE ln >= {GIVEN_LEAF} AND rn >= {GIVEN_LEAF} AND l0 + r0 > 0 AND l1 + r1 > 0)
+ QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY s DESC, j, b) = 1),"""
+
+    def moved(k: int, rows: str) -> str:
+        """Where rows are after the cuts of a level, and the share of class 1 there."""
+        return f"""SELECT a.* EXCLUDE (node, p), 2 * a.node + CAST(bs[j + 1] > b AS INT) AS node,
+ CASE WHEN bs[j + 1] > b THEN r1 / (r0 + r1) ELSE l1 / (l0 + l1) END AS p FROM {rows} a JOIN cut{k} c ON c.tree = a.tree AND c.node = a.node"""
+
+    def stayed(k: int, rows: str) -> str:
+        return f"SELECT a.* FROM {rows} a ANTI JOIN cut{k} c ON c.tree = a.tree AND c.node = a.node"
+
+    return _grid_sql("").rstrip() + f""", full_rows AS (SELECT *, {lists} AS bs FROM (SELECT *, {bins} FROM f WHERE {full})),
+at0 AS (SELECT site_id, orbit, win, aoi, label, bs, tree, CAST({_GIVEN_DRAW.format(t="tree")} AS DOUBLE) AS w, CAST(1 AS BIGINT) AS node
+ FROM full_rows, range({GIVEN_TREES}) g(tree) WHERE aoi IN {X.TRAIN_AOIS}),
+root AS (SELECT tree, sum(CASE WHEN label = 1 THEN w ELSE 0e0 END) / sum(w) AS p FROM at0 GROUP BY tree),
+{level(1, "at0")}
+all0 AS (SELECT d.site_id, d.orbit, d.win, d.aoi, d.label, d.bs, r.tree, CAST((d.site_id * 31 + d.orbit * 7 + d.win * 13 + r.tree * 17) % 3 AS DOUBLE) AS w,
+ CAST(1 AS BIGINT) AS node, r.p FROM full_rows d, root r),
+all1 AS ({moved(1, "all0")} UNION ALL BY NAME {stayed(1, "all0")}),
+at1 AS (SELECT * FROM all1 WHERE aoi IN {X.TRAIN_AOIS} AND node > 1),
+{level(2, "at1")}
+all2 AS ({moved(2, "all1")} UNION ALL BY NAME {stayed(2, "all1")}),
+cuts AS (SELECT * FROM cut1 UNION ALL SELECT * FROM cut2),
+names AS (SELECT * FROM (VALUES {", ".join(f"({j}, '{c}')" for j, c in enumerate(names))}) v(j, feature)),
+gains AS (SELECT tree, j, sum(gain) AS g FROM cuts GROUP BY tree, j),
+imp AS (SELECT names.j, feature, coalesce(sum(g / whole), 0) / (SELECT count(DISTINCT tree) FROM gains) AS importance FROM names
+ LEFT JOIN (SELECT *, sum(g) OVER (PARTITION BY tree) AS whole FROM gains) x ON x.j = names.j GROUP BY names.j, feature),
+scored AS (SELECT site_id, orbit, win, aoi, label, avg(p) AS prob FROM all2 WHERE {_TEST} GROUP BY ALL)
+{select}"""
+
+
+_GIVEN_ROLLUP = " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, split_part(feature, '_', {k}) AS name, round(sum(round(importance, 6)) + 1e-9, 4) AS total FROM imp GROUP BY ALL"
+    for d, k in (("band", 1), ("period", 2), ("reducer", 4)))
 ORACLES = {
     "model_balanced_weights": _weights_sql(),
     "model_scores_checked": _grid_sql(
@@ -262,6 +380,19 @@ ORACLES = {
     "run_votes_checked": X.with_views("site_summary", "sites", windows=X.POST)
     + f"""SELECT CAST(count(*) FILTER (w.start_post >= y.date_first_severe) AS BIGINT) AS n_pos, CAST(count(*) FILTER (w.start_post < DATE '{X.CHANGE}') AS BIGINT) AS n_neg
  FROM site_summary y JOIN sites s ON s.site_id = y.site_id CROSS JOIN windows w WHERE y.date_first_severe IS NOT NULL AND {_TEST}""",
+    "model_given_cuts": _given_sql(
+        "SELECT CAST(tree AS INT) AS tree, node, feature, CAST(b AS INT) AS bin, CAST(ln AS BIGINT) AS left_n, CAST(rn AS BIGINT) AS right_n,"
+        " l1 AS left_w1, r1 AS right_w1 FROM cuts JOIN names USING (j)"),
+    "model_given_scores": _given_sql("SELECT site_id, orbit, win, round(prob + 1e-9, 6) AS prob FROM scored"),
+    "model_given_oob": _given_sql(
+        f"SELECT CAST(k AS INT) AS n_trees, round(avg(CASE WHEN (s > 0.5 * m) <> (label = 1) THEN 1e0 ELSE 0e0 END) + 1e-9, 6) AS oob_error FROM"
+        f" (SELECT k, site_id, orbit, win, label, sum(p) AS s, count(*) AS m FROM all2, range(1, {GIVEN_TREES + 1}) g(k)"
+        f" WHERE aoi IN {X.TRAIN_AOIS} AND w = 0 AND tree < k GROUP BY ALL) GROUP BY k"),
+    "model_given_importance": _given_sql(
+        "SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank, feature, round(round(importance, 6) + 1e-9, 5) AS importance FROM imp"),
+    "model_given_rollup": _given_sql(_GIVEN_ROLLUP),
+    "model_given_errors": _given_sql(
+        "SELECT aoi, win, count(*) AS n, count(*) FILTER (CAST(prob + 1e-9 > 0.5 AS INT) <> label) AS n_wrong FROM scored GROUP BY aoi, win"),
     "run_pending_tiles": _grid_sql(
         "SELECT win, tile, count(DISTINCT site_id) AS n FROM (SELECT *, lpad(CAST(site_id // 16 AS VARCHAR), 5, '0') AS tile FROM f)"
         " WHERE tile IN ('00000', '00001', '00004') AND NOT (win <= 9 AND tile < '00003') GROUP BY win, tile"),
