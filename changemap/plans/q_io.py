@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from changemap.operators import evaluate, scenes
+from changemap.operators import evaluate, ledger, scenes
 from changemap.plans import fixtures as X
 from changemap.plans.q_labels import _long
 from changemap.session import work_path
@@ -274,26 +274,22 @@ def stream_score(spark, sf):
     src, out, ck = work_path(spark, "in"), work_path(spark, "scored"), work_path(spark, "ck")
     t = X.table(spark, sf, "lineitem")
     t.repartition(6, "l_orderkey").write.parquet(src)
-    s = stream.pixel_source(spark, src, t.schema, max_files=2)
-    stream.score_stream(s, _line_tiles, out, ck).awaitTermination()
+    s = _line_tiles(stream.pixel_source(spark, src, t.schema, max_files=2))
+    stream.score_stream(s, lambda b: b, out, ck).awaitTermination()
     return stream.scored_pixels(spark, out)
 
 
 def stream_resume_skip_done(spark, sf):
-    """Files that arrive later are scored by a second run, finished tiles skipped."""
+    """Files that arrive later are scored by a second run; tiles that an earlier output holds are skipped."""
     src, out, ck = work_path(spark, "in"), work_path(spark, "scored"), work_path(spark, "ck")
     t = X.table(spark, sf, "lineitem")
-    t.where(F.col("l_orderkey") % 2 == 0).write.parquet(src)
-    tiles = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("win"), F.lit(5).alias("tile"))
-
-    def score(batch):
-        return batch
-
-    for part in (1, None):
+    before = work_path(spark, "before")
+    _line_tiles(t).where("tile = 5").write.parquet(f"{before}/batch=0")
+    ledger.commit(spark.read.parquet(f"{before}/batch=0"), before, 0)
+    for half in (0, 1):
+        t.where(F.col("l_orderkey") % 2 == half).write.mode("append").parquet(src)
         s = _line_tiles(stream.pixel_source(spark, src, t.schema))
-        stream.score_stream(s, score, out, ck, done=lambda: tiles).awaitTermination()
-        if part:
-            t.where(F.col("l_orderkey") % 2 == 1).write.mode("append").parquet(src)
+        stream.score_stream(s, lambda b: b, out, ck, done=lambda: ledger.finished(spark, before).select("win", "tile")).awaitTermination()
     return stream.scored_pixels(spark, out, method="max")
 
 

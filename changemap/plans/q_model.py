@@ -16,7 +16,6 @@ from changemap.plans import run as R
 from changemap.plans.q_features import BANDS, feature_table
 from changemap.plans.q_predict import site_dates
 from changemap.session import materialise, work_path
-from changemap.sources import io
 
 # the settings of the study: 50 trees, depth up to the library's largest
 CFG = P.RunConfig(bands=BANDS)
@@ -223,12 +222,20 @@ def run_score_tiles(spark, sf):
     f = _features(spark, sf)
     tr, _ = R.split_features(f, "aoi", X.TRAIN_AOIS, X.TEST_AOIS)
     m, px, path = R.train(tr, CFG), _pixel_table(f), work_path(spark, "tiles")
-    io.write_pixel_preds(R.score_tiles(m, px, COLS), path)
+    R.write_tiles(m, px, COLS, path)
+    again = R.write_tiles(m, px, COLS, path)
     done = spark.read.parquet(path)
-    again = R.score_tiles(m, px, COLS, done=done)
     return done.groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n")).join(
-        again.groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n_again")), ["win", "tile"], "left"
-    )
+        again.withColumn("again", F.lit(True)), ["win", "tile"], "left").select("win", "tile", "n", F.coalesce("again", F.lit(False)).alias("again"))
+
+
+def run_given_tiles(spark, sf):
+    """Tiles of the small forest, one orbit of them later than the others: all orbits meet in the written bytes."""
+    _, f, te = _given(spark, sf)
+    px, path = materialise(_pixel_table(te), "px"), work_path(spark, "tiles")
+    for part in (px.where("orbit <> 94"), px):
+        R.write_tiles(f, part, list(GIVEN_ENDS), path)
+    return spark.read.parquet(path).select("win", "tile", "row", "col", "pred")
 
 
 def model_scores_checked(spark, sf):
@@ -265,30 +272,34 @@ def run_pending_tiles(spark, sf):
 
 
 def stream_score_model(spark, sf):
-    """A fitted forest scores tiles as they arrive; tiles found in the output are skipped."""
-    from changemap.streaming import score as stream
-
+    """A fitted forest scores tiles as they arrive; what has come before is skipped."""
     f = _features(spark, sf)
     tr, _ = R.split_features(f, "aoi", X.TRAIN_AOIS, X.TEST_AOIS)
     m, px = R.train(tr, CFG), _pixel_table(f)
+    rows = _streamed(spark, px, lambda b: model.score_or_null(m, b, COLS))
+    return rows.groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _streamed(spark, px, score):
+    """Pixels that arrive orbit by orbit, halves of tiles apart, and at last some of them again."""
+    from changemap.streaming import score as stream
+
     src, out, ck = work_path(spark, "in"), work_path(spark, "scored"), work_path(spark, "ck")
-    keys = ["win", "tile", "orbit", "row", "col"]
+    for part in ("orbit <> 94 AND row < 2", "orbit = 94", "orbit <> 94", "tile < 4"):
+        px.where(part).write.mode("append").parquet(src)
+        s = stream.pixel_source(spark, src, px.schema, max_files=3)
+        stream.score_stream(s, score, out, ck).awaitTermination()
+    return stream.scored_rows(spark, out)
 
-    def arrive(rows):
-        rows.write.mode("append").parquet(src)
-        s = stream.pixel_source(spark, src, px.schema)
-        stream.score_stream(s, lambda b: model.score_or_null(m, b, COLS).select(*keys, "prob"), out, ck, done=finished).awaitTermination()
 
-    def finished():
-        if not arrived:
-            return None
-        return stream.scored_pixels(spark, out).select("win", "tile").distinct()
+def stream_given_tiles(spark, sf):
+    """The small forest scores the stream; the bytes over all orbits."""
+    from changemap.operators import predict
 
-    arrived = []
-    for half in ("tile % 2 = 0", "tile % 2 = 1", "tile < 4"):  # the last brings finished tiles again
-        arrive(px.where(half))
-        arrived.append(half)
-    return spark.read.parquet(out).groupBy("win", "tile").agg(F.count(F.lit(1)).alias("n"))
+    _, f, te = _given(spark, sf)
+    rows = _streamed(spark, _pixel_table(te), f.transform)
+    keys = ["win", "tile", "row", "col"]
+    return predict.to_byte_pixels(predict.aggregate_orbits(rows, keys)).select(*keys, "pred")
 
 
 QUERIES = {
@@ -299,7 +310,7 @@ QUERIES = {
         model_oob_elbow, model_oob_by_mtry, model_given_cuts, model_given_scores, model_given_oob, model_given_importance,
         model_given_rollup, model_given_errors, run_metrics, run_compare_splits, run_ablate_bands, run_ablate_reducers,
         run_ablate_trees, run_all_areas, run_score_pixels, run_score_tiles, model_scores_checked, model_importance_sums,
-        run_votes_checked, run_pending_tiles, stream_score_model,
+        run_votes_checked, run_pending_tiles, run_given_tiles, stream_score_model, stream_given_tiles,
     )
 }
 
@@ -372,6 +383,8 @@ scored AS (SELECT site_id, orbit, win, aoi, label, avg(p) AS prob FROM all2 WHER
 _GIVEN_ROLLUP = " UNION ALL ".join(
     f"SELECT '{d}' AS dimension, split_part(feature, '_', {k}) AS name, round(sum(round(importance, 6)) + 1e-9, 4) AS total FROM imp GROUP BY ALL"
     for d, k in (("band", 1), ("period", 2), ("reducer", 4)))
+_GIVEN_TILES = """SELECT win, CAST(site_id // 16 AS INT) AS tile, CAST(site_id % 16 // 4 AS INT) AS row, CAST(site_id % 4 AS INT) AS col,
+ CAST(trunc(avg(prob) * 255e0 + 1e-9) AS SMALLINT) AS pred FROM scored GROUP BY site_id, win"""
 ORACLES = {
     "model_balanced_weights": _weights_sql(),
     "model_scores_checked": _grid_sql(
@@ -393,6 +406,10 @@ ORACLES = {
     "model_given_rollup": _given_sql(_GIVEN_ROLLUP),
     "model_given_errors": _given_sql(
         "SELECT aoi, win, count(*) AS n, count(*) FILTER (CAST(prob + 1e-9 > 0.5 AS INT) <> label) AS n_wrong FROM scored GROUP BY aoi, win"),
+    "run_score_tiles": _grid_sql(
+        "SELECT win, CAST(site_id // 16 AS INT) AS tile, count(DISTINCT site_id) AS n, false AS again FROM f GROUP BY ALL"),
+    "run_given_tiles": _given_sql(_GIVEN_TILES),
+    "stream_given_tiles": _given_sql(_GIVEN_TILES),
     "run_pending_tiles": _grid_sql(
         "SELECT win, tile, count(DISTINCT site_id) AS n FROM (SELECT *, lpad(CAST(site_id // 16 AS VARCHAR), 5, '0') AS tile FROM f)"
         " WHERE tile IN ('00000', '00001', '00004') AND NOT (win <= 9 AND tile < '00003') GROUP BY win, tile"),

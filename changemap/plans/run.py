@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from changemap import params as P
 from changemap.functions.names import feature_names
-from changemap.operators import evaluate, model, predict, splits
+from changemap.operators import evaluate, ledger, model, predict, splits
 from changemap.operators.windows import Span
 from changemap.session import materialise
+from changemap.sources import io
 
 
 def columns(cfg: P.RunConfig) -> list[str]:
@@ -156,3 +158,25 @@ def score_tiles(
         todo = todo.where(F.col("tile").isin(*only))
     scored = model.score_or_null(fitted, todo, features).select(*keys, "prob")
     return predict.to_byte_pixels(predict.aggregate_orbits(scored, keys, method)).select(*keys, "pred")
+
+
+def write_tiles(
+    fitted, pixels: DataFrame, features: Sequence[str], path: str, method: str = "mean", only: Sequence | None = None, force: bool = False
+) -> DataFrame:
+    """Score and write what is still to do, and return the (window, tile) pairs that was.
+
+    Still to do is a tile with an orbit that the ledger beside ``path`` does not name; it is
+    scored over all its orbits. The ledger is read, never the predictions. A run that
+    fails before its commit leaves the ledger as it was, and its tiles are written again.
+    """
+    spark = pixels.sparkSession
+    here = pixels if only is None else pixels.where(F.col("tile").isin(*only))
+    missing = here.select(*ledger.KEYS).distinct()
+    done = None if force else ledger.finished(spark, path)
+    if done is not None:
+        missing = missing.join(done.select(*ledger.KEYS).distinct(), list(ledger.KEYS), "left_anti")
+    tiles = materialise(missing.select("win", "tile").distinct(), "pending")
+    todo = here.join(tiles, ["win", "tile"], "left_semi")
+    io.write_pixel_preds(score_tiles(fitted, todo, features, method=method), path)
+    ledger.commit(todo, path, uuid.uuid4().hex)
+    return tiles

@@ -1,21 +1,31 @@
 """Incremental scoring of feature tiles as they arrive.
 
-Files are taken once each, as the source's checkpoint remembers.  A micro-batch
-writes its scored rows to a folder named by the batch, so a replay after a lost
-executor or a restart replaces the same folder and nothing is counted twice.
-Orbits of one tile may arrive in different batches; they meet when the scored
-rows are read.
+Files are taken once each, as the source's checkpoint remembers. What has been scored is state,
+keyed by window and tile: the cells that have come, per orbit. So an orbit that arrives later
+is scored, the rest of a tile that is cut over two batches is scored, and what is sent again is
+not. The state moves on with the checkpoint only: a batch that runs again sees
+what it saw the first time.
+
+A micro-batch writes its rows to a folder named by the batch, then a commit record: one
+small row for each (window, tile, orbit) it wrote. Readers take committed batches only. A batch that
+fails between the two is run again by Spark and replaces its folder, so no row is lost and none
+counts twice. Orbits of one tile meet when the scored rows are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changemap.operators import ledger
 from changemap.operators.predict import aggregate_orbits, to_byte_pixels
 
+_STATE = "orbits array<string>, cells array<binary>"
+
 
 def pixel_source(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
     """Stream of rows from parquet files appearing in ``path``."""
@@ -25,6 +35,38 @@ def pixel_source(spark: SparkSession, path: str, schema, max_files: int | None =
     return reader.parquet(path)
 
 
+def _packed(row: pd.Series, col: pd.Series) -> np.ndarray:
+    """Row and column of a cell as one number."""
+    return (row.to_numpy(np.int64) << 32) | (col.to_numpy(np.int64) & 0xFFFFFFFF)
+
+
+def first_arrivals(source: DataFrame, keys: Sequence[str] = ("win", "tile"), orbit: str = "orbit", cell: Sequence[str] = ("row", "col")) -> DataFrame:
+    """The rows of ``source`` whose cell has not come before in that orbit of their window and tile.
+
+    State per window and tile: for each orbit the cells seen, eight bytes a cell, as long as a
+    tile has cells. Of equal cells the first to arrive counts.
+    """
+
+    def new_rows(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen = {}
+        if state.exists:
+            orbits, cells = state.get
+            seen = {o: np.frombuffer(c, np.int64) for o, c in zip(orbits, cells)}
+        for frame in frames:
+            keep = np.zeros(len(frame), bool)
+            cells = _packed(frame[cell[0]], frame[cell[1]])
+            for name, places in frame.groupby(frame[orbit].astype(str)).indices.items():
+                mine, first = np.unique(cells[places], return_index=True)
+                before = seen.get(name, np.zeros(0, np.int64))
+                new = ~np.isin(mine, before, assume_unique=True)
+                keep[places[first[new]]] = True
+                seen[name] = np.union1d(before, mine)
+            yield frame[keep]
+        state.update((list(seen), [c.tobytes() for c in seen.values()]))
+
+    return source.groupBy(*keys).applyInPandasWithState(new_rows, source.schema, _STATE, "append", "NoTimeout")
+
+
 def score_stream(
     source: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -34,24 +76,33 @@ def score_stream(
     done: Callable[[], DataFrame | None] | None = None,
     interval: str | None = None,
 ):
-    """Start scoring.  ``score`` adds ``prob`` to a batch; ``done`` gives finished
-    (window, tile) pairs to skip.  Without ``interval`` it takes what has arrived and
-    stops; with it, it keeps polling."""
+    """Start scoring.  ``score`` adds ``prob`` to a batch; ``done`` gives what another run has finished
+    (any of the columns window, tile, orbit) to skip. This run's own output is skipped by
+    its state.  Without ``interval`` it takes what has arrived and stops; with it, it keeps
+    polling."""
+    win, tile, orbit, *cell = keys
 
     def write(batch: DataFrame, batch_id: int) -> None:
         finished = done() if done else None
         if finished is not None:
-            batch = batch.join(finished.select("win", "tile").distinct(), ["win", "tile"], "left_anti")
-        score(batch).select(*keys, "prob").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            on = [c for c in (win, tile, orbit) if c in finished.columns]
+            batch = batch.join(finished.select(*on).distinct(), on, "left_anti")
+        folder = f"{out}/batch={batch_id}"
+        score(batch).select(*keys, "prob").write.mode("overwrite").parquet(folder)
+        ledger.commit(batch.sparkSession.read.parquet(folder), out, batch_id, (win, tile, orbit))
 
-    writer = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = first_arrivals(source, (win, tile), orbit, cell).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def scored_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all committed batches."""
+    return ledger.committed_rows(spark, out).drop("batch")
+
+
 def scored_pixels(
     spark: SparkSession, out: str, keys: Sequence[str] = ("win", "tile", "row", "col"), method: str = "mean"
 ) -> DataFrame:
     """Byte predictions of everything scored so far."""
-    rows = spark.read.parquet(out).drop("batch")
-    return to_byte_pixels(aggregate_orbits(rows, keys, method)).select(*keys, F.col("pred"))
+    return to_byte_pixels(aggregate_orbits(scored_rows(spark, out), keys, method)).select(*keys, F.col("pred"))

@@ -113,6 +113,20 @@ def test_score_tiles_aggregates_orbits_and_skips_done(spark, feats):
     assert R.score_tiles(m, px, COLS, done=done, force=True, only=[2]).count() == 160
 
 
+def test_tiles_are_pending_by_the_ledger_alone(spark, feats):
+    px = feats.withColumns({"tile": F.col("site_id") % 3, "row": F.col("site_id"), "col": F.lit(0)})
+    m, path = R.train(feats, CFG), work_path(spark, "t")
+    assert R.write_tiles(m, px.where("tile < 2 AND orbit = 87"), COLS, path).count() == 4
+    left = R.write_tiles(m, px, COLS, path)  # tile 2, and the other orbit of tiles 0 and 1
+    assert left.count() == 6 and R.write_tiles(m, px, COLS, path).count() == 0
+    both = {(r.win, r.site_id): r.prob for r in model.score(m, px.na.drop()).groupBy("win", "site_id").agg(F.avg("prob").alias("prob")).collect()}
+    got = io.read_preds(spark, path).collect()
+    assert len(got) == 480 and all(r.pred == int(both[r.win, r.row] * 255 + 1e-9) for r in got if r.row != 7)
+    plan = R.ledger.finished(spark, path).select("win", "tile").distinct()._jdf.queryExecution().toString()
+    assert "_finished" in plan and "pred" not in plan
+    assert R.write_tiles(m, px, COLS, path, only=[1], force=True).count() == 2
+
+
 def test_ablation_settings():
     base = P.RunConfig()
     assert list(R.band_settings(base)) == ["VV only", "VH only", "VV+VH"]

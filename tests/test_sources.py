@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from changemap.session import shared_dir, work_path
 from changemap.sources import io
+from changemap.operators import ledger
 from changemap.streaming import score as stream
 
 
@@ -107,6 +108,82 @@ def test_stream_takes_each_file_once_and_orbits_meet(spark):
     assert got == {(0, 0): int(0.4 * 255), (0, 1): 0}
 
 
+TILE_ROWS = "win int, tile int, orbit int, row int, col int, v double"
+
+
+def _arrive(spark, src, rows):
+    spark.createDataFrame(rows, TILE_ROWS).coalesce(1).write.mode("append").parquet(src)
+
+
+def _score(spark, src, out, ck, **kw):
+    s = stream.pixel_source(spark, src, TILE_ROWS, max_files=1)
+    stream.score_stream(s, lambda b: b.withColumn("prob", F.col("v")), out, ck, **kw).awaitTermination()
+
+
+def _keys(spark, out):
+    return sorted((r.win, r.tile, r.orbit, r.row, r.col) for r in stream.scored_rows(spark, out).collect())
+
+
+def test_a_batch_that_fails_between_writing_and_committing_loses_no_row(spark, monkeypatch):
+    src, out, ck = (work_path(spark, n) for n in ("src", "out", "ck"))
+    first = [(1, 1, 87, 0, c, 0.5) for c in range(5)]
+    second = [(1, 1, 87, 1, c, 0.5) for c in range(4)] + [(1, 2, 94, 0, 0, 0.5)]
+    _arrive(spark, src, first)
+    _score(spark, src, out, ck)
+    _arrive(spark, src, second)
+    commit = ledger.commit
+
+    def broken(*args):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(ledger, "commit", broken)
+    with pytest.raises(Exception):
+        _score(spark, src, out, ck)
+    assert _keys(spark, out) == [r[:5] for r in first]  # written, not committed: not to be seen
+    monkeypatch.setattr(ledger, "commit", commit)
+    _score(spark, src, out, ck)
+    assert _keys(spark, out) == sorted(r[:5] for r in first + second)
+
+
+def test_a_batch_that_runs_again_after_its_commit_changes_nothing(spark):
+    import os
+
+    src, out, ck = (work_path(spark, n) for n in ("src", "out", "ck"))
+    rows = [(1, t, 87, 0, c, 0.5) for t in range(3) for c in range(3)]
+    _arrive(spark, src, rows)
+    _score(spark, src, out, ck, done=lambda: ledger.finished(spark, f"{out}/none"))
+    for name in ("0", ".0.crc"):  # the batch is written and recorded, Spark's own commit is lost
+        os.remove(f"{ck}/commits/{name}")
+    _score(spark, src, out, ck)
+    assert _keys(spark, out) == sorted(r[:5] for r in rows)
+    assert ledger.finished(spark, out).agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_late_orbits_and_second_halves_are_scored_and_repeats_are_not(spark):
+    src, out, ck = (work_path(spark, n) for n in ("src", "out", "ck"))
+    rows = [(1, 1, orbit, r, -c, 0.5) for orbit in (87, 94) for r in (0, 1) for c in (0, 1)]
+    _arrive(spark, src, rows[:3])  # a tile cut in the middle of a row
+    _arrive(spark, src, rows[3:4])
+    _score(spark, src, out, ck)
+    _arrive(spark, src, rows[2:])  # the late orbit, and two pixels again
+    _arrive(spark, src, [*rows, rows[0]])
+    _score(spark, src, out, ck)
+    assert _keys(spark, out) == sorted(r[:5] for r in rows)
+    assert {(r.orbit, r.n) for r in ledger.finished(spark, out).groupBy("orbit").agg(F.sum("n").alias("n")).collect()} == {(87, 4), (94, 4)}
+
+
+def test_tiles_of_another_run_are_skipped_by_orbit(spark):
+    src, out, ck, other = (work_path(spark, n) for n in ("src", "out", "ck", "other"))
+    rows = [(1, t, orbit, 0, 0, 0.5) for t in (1, 2) for orbit in (87, 94)]
+    spark.createDataFrame(rows[:1], TILE_ROWS).write.parquet(f"{other}/batch=0")
+    ledger.commit(spark.read.parquet(f"{other}/batch=0"), other, 0)
+    _arrive(spark, src, rows)
+    _score(spark, src, out, ck, done=lambda: ledger.finished(spark, other))
+    assert _keys(spark, out) == sorted(r[:5] for r in rows[1:])
+    with pytest.raises(FileNotFoundError):
+        stream.scored_rows(spark, f"{out}/none")
+
+
 def test_folder_names_keep_their_kind(spark, tmp_path):
     rows = spark.createDataFrame([("012301", 1, 0, 0, 5), ("120301", 1, 0, 1, 6)], "tile string, win int, row int, col int, pred int")
     io.write_pixel_preds(rows, f"{tmp_path}/p")
