@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from changemap.operators.geo import Grid
 
@@ -34,36 +37,81 @@ def _offsets(k: int):
     return F.sequence(F.lit(-half), F.lit(half))
 
 
-def focal_mean(pixels: DataFrame, values: Sequence[str], k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+BLOCK = 256  # cells along the side of a block
+
+
+def _block_means(k: int, block: int, n_keys: int, values: Sequence[str]):
+    """The means of one block: its cells and halo as arrays, summed along the columns, then along the rows."""
+    half = k // 2
+
+    def along(a: np.ndarray) -> np.ndarray:
+        a = sum(a[:, d:a.shape[1] - k + 1 + d] for d in range(k))
+        return sum(a[d:a.shape[0] - k + 1 + d] for d in range(k))
+
+    def means(table: pa.Table) -> pa.Table:
+        rows, cols = table.column("row").to_numpy().astype(np.int64), table.column("col").to_numpy().astype(np.int64)
+        top, left = rows.min() - half, cols.min() - half  # arrays as large as what is there
+        shape = rows.max() - top + half + 1, cols.max() - left + half + 1
+        at = (rows - top) * shape[1] + cols - left
+        here = np.zeros(shape, bool)
+        here.ravel()[at] = True
+        row, col = np.nonzero(here[half:shape[0] - half, half:shape[1] - half])
+        first = [table.column(c)[0].as_py() * block - o - half for c, o in (("_br", top), ("_bc", left))]
+        inner = (row >= first[0]) & (row < first[0] + block) & (col >= first[1]) & (col < first[1] + block)
+        row, col = row[inner], col[inner]
+        out = {c: table.column(c).take(pa.array(np.zeros(len(row), np.int64))) for c in table.column_names[:n_keys]}
+        out |= {"row": pa.array(row + top + half).cast(table.schema.field("row").type), "col": pa.array(col + left + half).cast(table.schema.field("col").type)}
+        for i, v in enumerate(values):
+            x = table.column(f"_v{i}")
+            there = x.is_valid().to_numpy()
+            s, n = (np.bincount(at[there], w, here.size).reshape(shape) for w in (x.drop_null().to_numpy(), None))
+            s, n = (along(a)[row, col] for a in (s, n))
+            out[v] = pa.array(s / np.where(n > 0, n, 1.0), mask=n == 0)
+        return pa.table(out)
+
+    return means
+
+
+def focal_mean(pixels: DataFrame, values: Sequence[str], k: int = 3, keys: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """Mean over the k x k square around each pixel, over the pixels present.
 
-    Sums and counts go along the rows, then along the columns: every pixel becomes
-    2k rows instead of k*k, and the means stay exact at edges and gaps. Other columns
-    than keys and values are not kept.
+    Pixels meet in square blocks with a halo of the cells that their squares reach into: one
+    shuffle, in which a pixel moves once, and those near a border of blocks up to four times. The sums run
+    inside arrays of a block. Means are exact at edges and gaps. Other columns than keys and
+    values are not kept.
     """
-    keys = list(keys)
-    out = pixels.select(
-        *keys, "row", "col", F.lit(True).alias("_c"),
-        *[F.col(v).cast("double").alias(f"_s_{v}") for v in values],
-        *[F.col(v).isNotNull().cast("long").alias(f"_n_{v}") for v in values],
-    )
-    for axis in ("col", "row"):
-        out = out.withColumn("_d", F.explode(_offsets(k))).withColumns(
-            {axis: F.col(axis) + F.col("_d"), "_c": F.col("_c") & (F.col("_d") == 0)}
-        )
-        out = out.groupBy(*keys, "row", "col").agg(F.max("_c").alias("_c"), *[F.sum(f"_{p}_{v}").alias(f"_{p}_{v}") for v in values for p in "sn"])
-    means = [F.when(F.col(f"_n_{v}") > 0, F.col(f"_s_{v}") / F.col(f"_n_{v}")).alias(v) for v in values]
-    return out.where("_c").select(*keys, "row", "col", *means)
+    keys, half = list(keys), k // 2
+
+    def blocks_of(axis: str) -> Column:
+        """The blocks whose cells or halo hold a pixel."""
+        return F.explode(F.sequence(F.floor((F.col(axis) - half) / block), F.floor((F.col(axis) + half) / block)))
+
+    sent = pixels.select(*keys, "row", "col", *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
+    sent = sent.withColumn("_br", blocks_of("row")).withColumn("_bc", blocks_of("col"))
+    schema = StructType([*[pixels.schema[c] for c in [*keys, "row", "col"]], *[StructField(v, DoubleType()) for v in values]])
+    return sent.groupBy(*keys, "_br", "_bc").applyInArrow(_block_means(k, block, len(keys), values), schema)
 
 
 def mosaic(
     tiles: DataFrame, keys: Sequence[str] = ("win", "row", "col"), order: str = "tile", value: str = "pred", nodata: int = 0
 ) -> DataFrame:
     """One value per cell where tiles overlap: the last tile in ``order`` wins and
-    no-data never overwrites data; cells without data get the no-data value."""
-    has = F.col(value).isNotNull() & (F.col(value) != nodata)
-    picked = F.max_by(F.when(has, F.col(value)), F.when(has, F.col(order)))
-    return tiles.groupBy(*keys).agg(F.coalesce(picked, F.lit(nodata).cast(tiles.schema[value].dataType)).alias(value))
+    no-data never overwrites data; cells without data get the no-data value.
+
+    The names in ``order`` are ranked once. Rank and value then fit one long, and the winner is
+    its maximum: a hash aggregate of fixed width. Values are whole numbers of 32 bits.
+    """
+    keys, kind = list(keys), tiles.schema[value].dataType
+    if kind.simpleString() not in ("tinyint", "smallint", "int"):
+        raise ValueError(f"{value!r} is not a whole number of at most 32 bits")
+    has = F.col(value).isNotNull() & (F.col(value) != nodata) & F.col(order).isNotNull()
+    # a row a tile, whatever the number of cells
+    names = tiles.select(order).where(F.col(order).isNotNull()).distinct()
+    ranks = names.withColumn("_rank", F.row_number().over(Window.orderBy(order)).cast("long"))
+    packed = F.when(has, F.shiftleft("_rank", 32) + F.col(value).cast("long") + F.lit(1 << 31))
+    picked = tiles.join(ranks, order, "left").groupBy(*keys).agg(F.max(packed).alias("_top"))
+    back = (F.col("_top").bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast(kind)
+    return picked.select(*keys, F.coalesce(back, F.lit(nodata).cast(kind)).alias(value))
 
 
 def sample(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changemap import params as P
-from changemap.functions.median import grouped_agg
+from changemap.functions.median import counted_median, grouped_agg, image
 from changemap.functions.moments import moments, reducer
 
 
@@ -62,13 +62,58 @@ def test_grouped_agg_is_exact_for_hot_and_small_groups(spark):
         assert got[k].mid == (pytest.approx(np.median(vs), rel=1e-12) if vs else None)
 
 
-def test_only_the_middle_bucket_is_ranked(spark):
-    """No window or aggregate of the plan gathers a group's rows: the rows of a group are
-    dealt by value or by bucket."""
-    df = frame(spark, {"a": [float(x) for x in range(100)]})
-    plan = grouped_agg(df, ["k"], [F.count("v").alias("n")], {"mid": "v"})._jdf.queryExecution().sparkPlan().toString()
-    sorts = [line for line in plan.splitlines() if "Window [" in line]
-    assert sorts and all("_k" in line or "sum(_n" in line for line in sorts)
+@pytest.mark.parametrize("small", [0, 40, 10**6])
+def test_the_same_medians_counted_and_ranked(spark, small):
+    rng = random.Random(6)
+    groups = {
+        "narrow": [rng.uniform(1000, 1010) for _ in range(400)], "ties": [1.5] * 60 + [2.5] * 60, "tiny": [5e-324, 1e-323, 2.2e-308, -5e-324],
+        "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(301)], "ends": [float("-inf"), -1e308, 1e308, float("inf")],
+        "zeros": [-0.0, 0.0, -0.0], "one": [3.25], None: [float(x) for x in range(50)], "none": [None] * 50,
+    }
+    got = {r.k: r.mid for r in grouped_agg(frame(spark, groups), ["k"], [F.count("v").alias("n")], {"mid": "v"}, small).collect()}
+    for k, vs in groups.items():
+        vs = [v for v in vs if v is not None]
+        assert got[k] == (pytest.approx(np.median(vs), rel=1e-12) if vs else None), k
+
+
+def test_images_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(3)
+    raw = rng.integers(-(2**63), 2**63 - 1, 20_000, np.int64).view(np.float64)
+    edges = [0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), *[2.0**e for e in range(-1074, 1024, 7)]]
+    near = [np.nextafter(2.0**e, -np.inf) for e in range(-1000, 1024, 9)]
+    v = np.concatenate((raw[np.isfinite(raw)], edges, near, np.negative(edges)))
+    got = [r._i for r in image(spark.createDataFrame([(float(x),) for x in v], "_v double")).collect()]
+    bits = np.abs(v).view(np.int64)
+    assert got == np.where(v < 0, -bits, bits).tolist()
+
+
+def test_no_task_holds_a_hot_group_of_close_values(spark):
+    """One group has nearly all rows, between 1000 and 1010: in every stage that reads a shuffle, rows are
+    dealt out, or few."""
+    n = 40_000
+    df = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 50 == 0, F.col("id") % 7).otherwise(99).alias("k"), (1000 + F.pmod(F.xxhash64("id"), F.lit(10**9)) / 1e8).alias("v"))
+    rows = [r.v for r in df.where("k = 99").collect()]
+    values = df.select("k", F.lit(0).alias("_b"), F.col("v").alias("_v")).groupBy("k", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    most = values.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count"), F.avg("count")).first()
+    assert most[0] < 3 * most[1]
+    out = grouped_agg(df, ["k"], [F.count("v").alias("n")], {"mid": "v"}, 10_000)
+    assert {r.k: r.mid for r in out.collect()}[99] == pytest.approx(np.median(rows), rel=1e-15)
+    plan = counted_median(df, ["k"], {"mid": "v"})._jdf.queryExecution().sparkPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 4 and all("sum(_m" in line or "count(1)" in line for line in windows)  # over counts only
+    assert "percentile" not in plan
+
+
+def test_rounds_vanish_where_no_group_is_large(spark):
+    df = frame(spark, {"a": [1.0, 2.0, 4.0], "b": [3.0]})
+    out = grouped_agg(df, ["k"], [F.count("v").alias("n")], {"mid": "v"})
+    assert {r.k: r.mid for r in out.collect()} == {"a": 2.0, "b": 3.0}
+    out = grouped_agg(df, ["k"], [F.count("v").alias("n")], {"mid": "v"})
+    query = out._jdf.queryExecution()
+    query.executedPlan().execute().count()
+    final = query.executedPlan().finalPhysicalPlan().toString()
+    assert "Window" not in final
 
 
 def test_median_of_repeated_and_close_values(spark):

@@ -1,6 +1,7 @@
 """Labels, splits, predictions, buildings, pixels: edge cases by hand."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,37 @@ def test_focal_mean_at_borders_and_gaps(spark):
     assert got == {(0, 0): 2.0, (0, 1): 2.0, (1, 1): 2.0, (5, 5): 7.0}
 
 
+@pytest.mark.parametrize("k, block", [(1, 4), (3, 4), (5, 3), (3, 256), (7, 2)])
+def test_focal_mean_across_blocks(spark, k, block):
+    r = random.Random(k)
+    cells = {(w, i, j): r.choice([None, r.random()]) for w in "ab" for i in range(-9, 8) for j in range(-5, 11) if r.random() < 0.8}
+    cells |= {("c", 10**6, -(10**6)): 2.5}
+    p = spark.createDataFrame([(*c, v) for c, v in cells.items()], "w string, row int, col int, v double")
+    got = {(x.w, x.row, x.col): x.v for x in pixels.focal_mean(p, ["v"], k, ["w"], block).collect()}
+    assert got.keys() == cells.keys()
+    for (w, i, j), v in got.items():
+        near = [cells[w, i + a, j + b] for a in range(-(k // 2), k // 2 + 1) for b in range(-(k // 2), k // 2 + 1) if cells.get((w, i + a, j + b)) is not None]
+        assert v == (pytest.approx(sum(near) / len(near)) if near else None)
+
+
+def test_focal_mean_shuffles_once_and_mosaic_sorts_nothing(spark):
+    p = spark.range(100).selectExpr("'t' || (id % 3) AS tile", "1 AS win", "CAST(id AS INT) AS row", "CAST(id AS INT) AS col", "CAST(id AS INT) AS pred")
+    plan = pixels.focal_mean(p, ["pred"], 3, ["win"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    plan = pixels.mosaic(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and "max(" in plan
+    plan = pixels.mosaic(p)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_mosaic_of_negative_values_missing_names_and_wide_kinds(spark):
+    rows = [("b", 0, -5), ("a", 0, 7), ("a", 1, -3), ("c", 1, 0), (None, 2, 4), ("b", 3, None), ("b", 4, -(2**31)), ("a", 4, 2**31 - 1)]
+    p = spark.createDataFrame(rows, "tile string, col int, pred int")
+    assert {(r.col, r.pred) for r in pixels.mosaic(p, ["col"]).collect()} == {(0, -5), (1, -3), (2, 0), (3, 0), (4, -(2**31))}
+    with pytest.raises(ValueError):
+        pixels.mosaic(p.withColumn("pred", F.col("pred").cast("double")), ["col"])
+
+
 def test_sampling_outside_and_at_the_first_row(spark):
     px = spark.createDataFrame([(1, r, c, r * 10 + c) for r in range(3) for c in range(3)], "win int, row int, col int, pred int")
     pt = spark.createDataFrame([("mid", 15.0, 15.0), ("edge", 1.0, 1.0), ("out", 99.0, 99.0)], "point_id string, x double, y double")
