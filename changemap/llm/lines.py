@@ -10,8 +10,6 @@ from changemap.session import materialise
 # A line ends behind a newline, or within running text behind marks and the space or
 # newline after them.
 LINE = r"([^.,;:!?\n]*+(?:[.,;:!?]++[ \n]?|\n)|[^.,;:!?\n]++)"
-# Of the former rule of chunks, which tests/llm/test_brute_force.py still states.
-DIVISOR = 2
 MIN_LINES = 2
 MIN_CHARS = 60
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changemap.llm.text import as_bytes, spaced_words
+from changemap.llm.text import small_batches, as_bytes, spaced_words
 from changemap.session import materialise
 
 END = b"\n"  # no word holds white space
@@ -28,7 +28,7 @@ BITS_PER_ENTRY, PROBES = 10, 5  # about one false answer in a hundred probes
 PRIOR = 20.0  # weight of the word's own probability against what followed its context
 # text in one broadcast segment and in one task that builds a part of it
 SEGMENT_BYTES, BUCKET_BYTES = 1 << 30, 16 << 20
-FLUSH_TOKENS, SCORE_TOKENS, MEMO = 2_000_000, 500_000, 250_000
+FLUSH_TOKENS, SCORE_TOKENS, MEMO = 1_000_000, 200_000, 100_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _TOP = np.uint64(0xFFFF << 48)
@@ -313,6 +313,7 @@ def score(docs: DataFrame, totals: Totals, parts: DataFrame, text_col: str = "te
     training tokens all counts are zero. The column replaces one of that name.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.withColumn("lm", F.lit(None).cast(SCORES))
     for s in range(totals.segments):
         sent = spark.sparkContext.broadcast(_segment(parts, s, totals.buckets))

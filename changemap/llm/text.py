@@ -25,3 +25,11 @@ def plain_words(raw: bytes | None) -> list[bytes]:
 def as_bytes(column):
     """A text column as UTF-8 bytes, which Arrow hands over without decoding."""
     return column.cast("binary")
+
+
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Texts go to Python workers at most ``BATCH_BYTES`` at a time: their number says little about their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changemap.llm import decontaminate, lines, packing, simhash, toxicity
+from changemap.llm.text import small_batches
 from changemap.session import materialise
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the severity threshold; the model is fitted on ``labels``."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -23,6 +25,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents that are wholly repeated become empty; the next stage keeps one of them.
     """
+    small_batches(spark)
     cut = lines.dedup_lines(docs)
     if "n_chars" in docs.columns:
         size = F.col("n_chars") - F.col("n_removed").cast("long")
@@ -32,16 +35,19 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every near-duplicate group."""
+    small_batches(spark)
     return simhash.keep_first(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of full sequences."""
+    small_batches(spark)
     return packing.pack(docs).select(
         F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
         F.col("sequence").alias("sequence_id"), "offset",

@@ -127,34 +127,29 @@ def test_decontamination_in_slices_and_offsets(spark):
 
 
 def plain_lines(docs):
-    """The line dedup of a few texts, as a loop."""
-    def cut(text):
-        parts = [m[0] for m in re.finditer(lines.LINE, text)]
-        h = [(xxhash.xxh64_intdigest(p.encode(), 42) >> 8) for p in parts]
-        out, own = [], []
-        for i, p in enumerate(parts):
-            own.append(p)
-            if i == len(parts) - 1 or i > 0 and (h[i] + 31 * h[i - 1]) % lines.DIVISOR == 0:
-                out.append(own)
-                own = []
-        return out
-
-    chunks = {i: cut(t) for i, t in docs.items()}
-    seen, count = {}, collections.Counter()
-    for i in sorted(chunks):
-        for k, c in enumerate(chunks[i]):
-            seen.setdefault("".join(c), (i, k))
-            count["".join(c)] += 1
+    """Lines that go: each is in a pair of neighbours that also stands earlier. Every text is held against
+    every place of all texts up to it."""
+    parts = {i: [m[0] for m in re.finditer(lines.LINE, t)] for i, t in docs.items()}
+    places = collections.defaultdict(list)
+    for i in sorted(parts):
+        for k in range(len(parts[i]) - 1):
+            places[parts[i][k]].append((i, k))
     out = {}
-    for i, cs in chunks.items():
-        runs = []
-        for k, c in enumerate(cs):
-            hit = count["".join(c)] > 1 and seen["".join(c)] != (i, k)
-            if runs and runs[-1][0] == hit:
-                runs[-1][1].extend(c)
-            else:
-                runs.append([hit, list(c)])
-        out[i] = "".join("".join(c) for hit, c in runs if not (hit and len(c) >= lines.MIN_LINES and len("".join(c)) >= lines.MIN_CHARS))
+    for i, p in parts.items():
+        gone = set()
+        for k in range(len(p) - 1):
+            if any(at < (i, k) and parts[at[0]][at[1] + 1] == p[k + 1] for at in places[p[k]]):
+                gone |= {k, k + 1}
+        kept, run = [], []
+        for k in range(len(p) + 1):
+            if k in gone:
+                run.append(p[k])
+                continue
+            if len(run) < lines.MIN_LINES or len("".join(run)) < lines.MIN_CHARS:
+                kept += run
+            run = []
+            kept += p[k:k + 1]
+        out[i] = "".join(kept)
     return out
 
 
