@@ -268,11 +268,18 @@ def within_distance(
 
 
 def _edge_cells(edges: DataFrame, size: float, prefix: str = "") -> DataFrame:
-    """Edges on every cell of their own box."""
+    """Edges on every cell they pass through, found row by row: the part of an edge within
+    a row of cells spans an interval of columns, about two for a steep edge. The interval is widened
+    by what rounding may take off it, so that two edges meet in the cell of a point they share."""
     x1, y1, x2, y2 = (F.col(prefix + c) for c in ("x1", "y1", "x2", "y2"))
-    return edges.withColumn("gx", _range(G.cell(x1, size), G.cell(x2, size))).withColumn(
-        "gy", _range(G.cell(y1, size), G.cell(y2, size))
-    )
+    left, right, low, high = F.least(x1, x2), F.greatest(x1, x2), F.least(y1, y2), F.greatest(y1, y2)
+    rows = edges.withColumn("gy", _range(G.cell(y1, size), G.cell(y2, size)))
+    slope = F.when(y1 == y2, 0.0).otherwise((x2 - x1) / F.when(y1 != y2, y2 - y1))
+    ends = [x1 + (F.least(F.greatest(low, e * size), high) - y1) * slope for e in (F.col("gy"), F.col("gy") + 1)]
+    off = 1e-12 * (F.abs(x1) + F.abs(x2) + F.abs(y1 * slope) + F.abs(y2 * slope) + size)
+    first = F.when(y1 == y2, left).otherwise(F.greatest(left, F.least(*ends) - off))
+    last = F.when(y1 == y2, right).otherwise(F.least(right, F.greatest(*ends) + off))
+    return rows.withColumn("gx", _range(G.cell(first, size), G.cell(last, size)))
 
 
 def intersects(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell_size: float) -> DataFrame:

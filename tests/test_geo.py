@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,33 @@ def test_tile_coverage_sums_to_the_outline(spark):
     t = geo.tile_coverage(e, "poly", 13)
     box = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
     assert t.agg(F.sum(F.col("area_fraction") * box)).first()[0] == pytest.approx(shoelace(POLY) / 250000, rel=1e-9)
+
+
+def test_a_long_edge_lies_on_the_cells_it_passes(spark):
+    n = 500
+    e = spark.createDataFrame([(1, 3.1, 0.7, n * 10 - 2.3, n * 10 - 4.9), (2, 5.0, n * 10.0, 5.0, 0.0), (3, -7.0, 5.0, 90.0, 5.0)],
+                              "k int, x1 double, y1 double, x2 double, y2 double")
+    got = {r.k: r["count"] for r in geo._edge_cells(e, 10.0).groupBy("k").count().collect()}
+    assert n <= got[1] <= 2 * n and got[2] == n + 1 and got[3] == 11
+
+
+def test_edges_that_share_a_point_share_a_cell(spark):
+    """Every pair of edges that touch, ends on cell borders and corners included, meets in a cell."""
+    r = random.Random(11)
+    at = lambda: r.choice([r.uniform(-40, 40), 10.0 * r.randrange(-4, 5), 5.0 * r.randrange(-8, 9)])
+    edges = [(k, at(), at(), at(), at()) for k in range(120)]
+
+    def side(p, q, t):
+        v = (Fraction(q[0]) - Fraction(p[0])) * (Fraction(t[1]) - Fraction(p[1])) - (Fraction(q[1]) - Fraction(p[1])) * (Fraction(t[0]) - Fraction(p[0]))
+        return (v > 0) - (v < 0)
+
+    def touch(a, b):
+        (p, q), (s, t) = ((a[1:3], a[3:5]), (b[1:3], b[3:5]))
+        box = all(max(p[i], q[i]) >= min(s[i], t[i]) and max(s[i], t[i]) >= min(p[i], q[i]) for i in (0, 1))
+        return box and side(p, q, s) * side(p, q, t) <= 0 and side(s, t, p) * side(s, t, q) <= 0
+
+    cells = {}
+    for x in geo._edge_cells(spark.createDataFrame(edges, "k int, x1 double, y1 double, x2 double, y2 double"), 10.0).collect():
+        cells.setdefault(x.k, set()).add((x.gx, x.gy))
+    missed = [(a[0], b[0]) for a in edges for b in edges if a[0] < b[0] and touch(a, b) and not cells[a[0]] & cells[b[0]]]
+    assert not missed
