@@ -184,10 +184,11 @@ def features_half_open(spark, sf):
 
 
 def features_all_sites(spark, sf):
-    """Sites whose observations are missing keep their windows, without values."""
-    o = X.obs(spark, sf).where(F.col("site_id") % 3 != 0)
+    """Sites that nobody has observed (here one a part) keep their windows, without values."""
+    unseen = X.table(spark, sf, "part").select((-F.col("p_partkey") - 1).alias("site_id"), F.lit("nowhere").alias("aoi"))
+    known = site_table(spark, sf).unionByName(unseen, allowMissingColumns=True)
     out = features.build(
-        o, site_table(spark, sf), X.PRE, X.POST, bands=BANDS, reducers=("mean",), change_date=X.CHANGE, grid_from="sites",
+        X.obs(spark, sf), known, X.PRE, X.POST, bands=BANDS, reducers=("mean",), change_date=X.CHANGE, grid_from="sites",
     )
     return _rounded(out, feature_names(BANDS, ("mean",))).select("site_id", "orbit", "win", "label", *feature_names(BANDS, ("mean",)))
 
@@ -285,10 +286,11 @@ def _half_open_sql() -> str:
 def _all_sites_sql() -> str:
     names = ", ".join(feature_names(BANDS, ("mean",)))
     none = ", ".join(f"NULL AS {n}" for n in feature_names(BANDS, ("mean",)))
-    seen = f"SELECT site_id, orbit, win - 1 AS win, label, {names} FROM ({_features_sql(('mean',))}) WHERE site_id % 3 <> 0 AND win > 1"
-    return X.with_views("sites", "site_summary", windows=X.POST) + f"""SELECT * FROM ({seen}) UNION ALL
-SELECT s.site_id, NULL, w.win, w.label, {none} FROM sites s CROSS JOIN windows w LEFT JOIN site_summary y ON y.site_id = s.site_id
-WHERE s.site_id % 3 = 0 AND (w.label = 0 OR y.date_first_severe <= w.end_post)"""
+    seen = f"SELECT site_id, orbit, win - 1 AS win, label, {names} FROM ({_features_sql(('mean',))}) WHERE win > 1"
+    return X.with_views("sites", "site_summary", "obs", windows=X.POST) + f"""SELECT * FROM ({seen}) UNION ALL
+SELECT s.site_id, NULL, w.win, w.label, {none} FROM (SELECT site_id FROM sites UNION ALL SELECT -p_partkey - 1 FROM part) s CROSS JOIN windows w
+LEFT JOIN site_summary y ON y.site_id = s.site_id
+WHERE s.site_id NOT IN (SELECT site_id FROM obs) AND (w.label = 0 OR y.date_first_severe <= w.end_post)"""
 
 
 def stats_seven_moments(spark, sf):

@@ -124,8 +124,8 @@ def eval_sweep_fine(spark, sf):
 
 
 def _sampled(spark, sf, agg: str):
-    """Predictions sampled from 3 x 3 pixels at the labels of classes 1 and 2 in three areas."""
-    lab = X.points(spark, sf).where(F.col("damage").isin(1, 2) & (F.col("point_id") % 5 < 3)).select("point_id", "date", "x", "y")
+    """Predictions sampled from 3 x 3 pixels at the labels of classes 1 and 2."""
+    lab = X.points(spark, sf).where(F.col("damage").isin(1, 2)).select("point_id", "date", "x", "y")
     s = pixels.sample(lab, X.pixels(spark, sf), Grid(P.PIXEL_M), "point_id", 3, agg)
     s = s.withColumn("start_post", F.element_at(windows.window_array(X.POST), F.col("win"))["start_post"])
     return evaluate.sweep(s, lab.select("point_id", "date"), X.POST, P.FINE_THRESHOLDS, X.CHANGE, on=("point_id",))
@@ -250,9 +250,9 @@ def _sweep_sql(ts, tail: str | None = None) -> str:
 
 
 def _sampled_sql(agg: str, tail: str) -> str:
-    """The sweep over k x k pixels sampled at the labels of two classes in some areas."""
+    """The sweep over k x k pixels sampled at the labels of two classes."""
     return X.with_views("points", "pixels", windows=X.POST, extra=(
-        "lab AS (SELECT point_id, date, x, y FROM points WHERE damage IN (1, 2) AND point_id % 5 < 3)",
+        "lab AS (SELECT point_id, date, x, y FROM points WHERE damage IN (1, 2))",
         f"s AS (SELECT point_id, win, {agg}(q.pred) AS pred FROM lab JOIN pixels q ON q.row - CAST(floor(y / 10) AS INT) BETWEEN -1 AND 1"
         " AND q.col - CAST(floor(x / 10) AS INT) BETWEEN -1 AND 1 GROUP BY ALL)",
         "grid AS (SELECT l.point_id, l.date, w.start_post, s.pred FROM lab l CROSS JOIN windows w LEFT JOIN s ON s.point_id = l.point_id AND s.win = w.win)",
