@@ -9,7 +9,7 @@ from changemap.operators import evaluate, ledger, scenes
 from changemap.plans import fixtures as X
 from changemap.plans.q_labels import _long
 from changemap.session import work_path
-from changemap.sources import io
+from changemap.sources import boxes, io
 from changemap.streaming import score as stream
 
 
@@ -198,6 +198,25 @@ def io_pixels_in_box(spark, sf):
     return io.read_pixels(spark, path, (205.0, 95.0, 745.5, 611.0)).select("win", "row", "col", "pred")
 
 
+def io_boxed_buildings(spark, sf):
+    """Buildings whose box lies inside a box, from the files that may hold any."""
+    from changemap.operators.geo import bounds
+
+    path, names = work_path(spark, "boxed"), ("minx", "miny", "maxx", "maxy")
+    boxes.write_boxed(bounds(X.edges(spark, sf), "building_id"), path, names, 250)
+    return boxes.read_boxed(spark, path, (100.0, 150.0, 640.5, 800.25), names, inside=True).select("building_id")
+
+
+def io_boxed_pixels(spark, sf):
+    """Pixels inside a box, from the files that may hold any."""
+    from changemap.operators.geo import Grid
+    from changemap.operators.pixels import centres
+
+    path, names = work_path(spark, "boxed"), ("x", "y", "x", "y")
+    boxes.write_boxed(centres(X.pixels(spark, sf), Grid(10.0)), path, names, 5000)
+    return boxes.read_boxed(spark, path, (205.0, 95.0, 745.5, 611.0), names).select("win", "row", "col", "pred")
+
+
 def io_pixel_preds(spark, sf):
     """Byte predictions by window and tile; a second write replaces two tiles only."""
     path = work_path(spark, "preds")
@@ -298,7 +317,7 @@ QUERIES = {
     for f in (
         io_csv_to_parquet, io_read_labels, io_read_point_labels, io_read_polygons, io_one_polygon, io_read_assessments,
         io_read_buildings, io_scan_bbox, io_read_admin, io_boundary, io_read_obs, io_rewrite_replaces, io_read_features, io_pixel_features, io_orbits,
-        io_pixels_in_box, io_pixel_preds, io_preds_or_compute, io_labels_by_aoi, io_runs, buildings_project_source,
+        io_pixels_in_box, io_boxed_buildings, io_boxed_pixels, io_pixel_preds, io_preds_or_compute, io_labels_by_aoi, io_runs, buildings_project_source,
         stream_score, stream_resume_skip_done,
     )
 }
@@ -344,6 +363,9 @@ FROM assess a JOIN sites s ON s.site_id = a.site_id, (VALUES ('csv'), ('parquet'
  LEFT JOIN qs ON qs.site_id = k.site_id AND qs.orbit = k.orbit AND qs.win = w.win""",
         "io_orbits": q_labels._VALID + "SELECT 'A' || aoi AS aoi, orbit FROM v",
         "io_pixels_in_box": q_geo.ORACLES["pixel_in_box"],
+        "io_boxed_pixels": q_geo.ORACLES["pixel_in_box"],
+        "io_boxed_buildings": X.with_views("edges", extra=(q_geo._BB,))
+        + "SELECT building_id FROM bb WHERE minx >= 100 AND miny >= 150 AND maxx <= 640.5 AND maxy <= 800.25",
         "io_pixel_preds": X.with_views("pixels")
         + """SELECT win, tile, count(*) AS n, CAST(sum(CASE WHEN win = 2 AND tile < '000002' THEN 1 ELSE pred END) AS BIGINT) AS total
  FROM (SELECT *, lpad(CAST(row // 50 * 2 + col // 50 AS VARCHAR), 6, '0') AS tile FROM pixels) GROUP BY ALL""",
