@@ -42,21 +42,25 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+# Added to the vocabulary beside its ranks: one id wherever the string stands in a text.
+ADDED = {"<|endoftext|>": 50256}
+
+
 def _encoder(path: str):
-    """One per worker; knows no special tokens, so their strings are ordinary text."""
+    """One per worker."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _ENCODERS[path]
 
 
 def ids_of(raw: bytes | None, path: str) -> np.ndarray:
     """The ids of one whole text and the end id."""
-    ids = _encoder(path).encode_to_numpy(raw.decode("utf-8"), disallowed_special=()) if raw else ()
+    ids = _encoder(path).encode_to_numpy(raw.decode("utf-8"), allowed_special="all") if raw else ()
     return np.concatenate((np.asarray(ids, np.uint32), [np.uint32(END_ID)]))
 
 

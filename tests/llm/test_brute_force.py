@@ -187,7 +187,6 @@ def test_packing_round_trip(spark, texts):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in texts.items()}
     of = collections.defaultdict(list)
     for r in rows:
@@ -215,13 +214,13 @@ def test_packing_round_trip(spark, texts):
     assert len(sequences) <= -(-total // 2048) * 1.02 + 1
 
 
-def test_encoder_takes_special_strings_as_text():
+def test_encoder_gives_the_ids_of_the_json_file():
     from tokenizers import Tokenizer
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for x in ("<|endoftext|> a", "a  \n\n b\t", "naïve ñ \U0001F600 ’s 12,3", " ", "x" * 3000):
+    assert packing.ids_of(b"hello <|endoftext|> world", packing.vocabulary_path()).tolist() == [31373, 220, 50256, 995, 0]
+    for x in ("<|endoftext|> a", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "  <|endoftext|>  \n x", "a  \n\n b\t", "naïve ñ \U0001F600 ’s 12,3", " ", "x" * 3000):
         assert packing.ids_of(x.encode(), packing.vocabulary_path()).tolist() == [*t.encode(x, add_special_tokens=False).ids, 0]
 
 
