@@ -20,6 +20,7 @@ FIRST_BEAM = 24
 AUDIT_QUERIES, AUDIT_RECALL = 1024, 0.98
 BLOCK = 512  # queries verified at once
 MARGIN = 1e-6  # between single precision and the exact check
+HOME_MARGIN = 1e-5  # by which a vector must exceed the threshold, in single precision, to join a node unverified
 
 
 def usable(column: str):
@@ -46,7 +47,7 @@ def _indexed(threshold: float):
     def indexed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         units = _units(rows["vector"])
-        g = Graph(units.astype(np.float32), threshold)
+        g = Graph(units.astype(np.float32), threshold + HOME_MARGIN)
         top = [np.concatenate((nodes[:, None], to), axis=1) for nodes, to in g.upper]
         shape = [(len(t), t.shape[1]) for t in top]
         flat = np.concatenate([t.ravel() for t in top]) if top else np.zeros(0, np.int64)

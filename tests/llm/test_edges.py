@@ -105,6 +105,17 @@ def test_vectors_that_cannot_be_compared(spark):
     assert all(by_id[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9))
 
 
+def test_links_just_above_and_below_the_threshold(spark):
+    rows = []
+    for k, off in enumerate((-1e-8, -1e-12, 1e-8, 1e-6, 3e-5, -3e-5)):
+        c = 0.95 + off
+        turn = np.eye(16)[2 * k], np.eye(16)[2 * k + 1]
+        rows += [(10 * k, turn[0].tolist()), (10 * k + 1, (c * turn[0] + np.sqrt(1 - c * c) * turn[1]).tolist())]
+    got = {r["id"]: (r["n_links"], r["component"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for k, near in enumerate((False, False, True, True, True, False)):
+        assert got[10 * k] == (int(near), 10 * k) and got[10 * k + 1] == (int(near), 10 * k + (not near))
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     bench = [(1, "quick brown fox")]
     spark.createDataFrame(ROWS, SCHEMA).withColumn("id", np_lit()).write.parquet(f"{tmp_path}/documents.parquet")
