@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changemap.llm.text import WORDS, as_bytes, plain_words
+from changemap.session import materialise
 
 WINDOW_WORDS = 10
 # windows in one automaton: about 60 bytes of pattern and 4 kB of nodes each
@@ -31,15 +32,15 @@ def windows_of(raw: bytes | None, n: int = WINDOW_WORDS) -> list[bytes]:
 
 
 def _slices(bench: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[dict[bytes, set[str]]]:
-    """Windows with the items they occur in, in slices of about ``limit`` windows."""
+    """Windows with the items they occur in, in slices of at most ``limit`` windows; a long item may be in several."""
     part: dict[bytes, set[str]] = {}
     for item, raw in bench.select(F.col(id_col).cast("string"), as_bytes(F.col(text_col))).toLocalIterator():
         if item is not None:
             for w in windows_of(bytes(raw) if raw is not None else None):
                 part.setdefault(w, set()).add(item)
-        if len(part) >= limit:
-            yield part
-            part = {}
+                if len(part) >= limit:
+                    yield part
+                    part = {}
     if part:
         yield part
 
@@ -94,14 +95,19 @@ def scan(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
     sorted) and ``spans`` (character offsets of hit runs in the original text).
 
     The windows are broadcast in slices of ``slice_windows``; a larger benchmark takes
-    more scans over the same rows instead of a larger automaton. Null text has no
+    more scans over the same rows instead of a larger automaton. What a scan finds is written
+    before the next slice is sent, so no worker holds two automata. Null text has no
     words. Items without words or id match nothing; repeated items count once. The
     column replaces one of that name, other columns pass through.
     """
     spark = docs.sparkSession
     text = as_bytes(F.col(text_col))
     out = docs.withColumn("leak", F.lit(None).cast(FOUND))
+    sent = None
     for part in _slices(bench, item_col, item_text, slice_windows):
+        if sent is not None:
+            out = materialise(out, "leaks")
+            sent.destroy()
         sent = spark.sparkContext.broadcast({w: sorted(i) for w, i in part.items()})
         out = out.withColumn("leak", _matcher(uuid.uuid4().hex, sent)(text, F.col("leak")))
     return out.withColumn("leak", F.pandas_udf(_finished, LEAK)(text, F.col("leak")))

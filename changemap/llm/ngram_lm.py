@@ -126,14 +126,14 @@ class Segment:
     first: np.ndarray  # of each bucket's bits
     size: np.ndarray
 
-    def probe(self, keys: np.ndarray, step: float) -> np.ndarray:
-        """Estimated counts, by probing level after level until one is missing."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The levels of n-grams, by probing one after the other until one is missing."""
         levels = np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
         bucket = (keys % np.uint64(len(self.size))).astype(np.int64)
         first, size = self.first[bucket], self.size[bucket]
         level = 1
-        while len(at):
+        while len(at) and level < 256:
             for k in range(PROBES):
                 place = first[at] + _places(keys[at], level, size[at], k)
                 there = (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
@@ -142,7 +142,7 @@ class Segment:
                     break
             levels[at] = level
             level += 1
-        return count_at(levels, step)
+        return levels.astype(np.uint8)
 
     def exact(self, words: np.ndarray) -> np.ndarray:
         """Training counts of words of this segment."""
@@ -251,55 +251,79 @@ def _segment(parts: DataFrame, number: int, buckets: int) -> Segment:
     return Segment(number, words[order], np.concatenate([*counts, np.zeros(0, np.uint32)])[order], np.concatenate(bits), first, size)
 
 
-def score_tokens(texts: list[np.ndarray], seg: Segment, totals: Totals) -> pd.DataFrame:
-    """What one segment adds for each text: known tokens, base and model log10."""
+def look_up(texts: list[np.ndarray], seg: Segment, totals: Totals) -> tuple[pd.DataFrame, np.ndarray]:
+    """What one segment tells: for each text its tokens, known tokens and base log10, and for
+    each token two bytes, the levels of the word and of its pair; 0 for words of other segments."""
     tokens, before = contexts(texts)
     words, at = np.unique(tokens, return_inverse=True)
     mine = segment_of(words, totals.segments) == seg.number
-    exact, near = np.zeros(len(words), np.int64), np.zeros(len(words))
+    exact, near = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint8)
     exact[mine] = seg.exact(words[mine])
-    near[mine] = seg.probe(mixed(words[mine]), WORD_STEP)
+    near[mine] = seg.levels(mixed(words[mine]))
     own = mine[at]
     base = np.where(own, np.log10(totals.base(exact))[at], 0.0)
-    # log (pair + prior * word) for the words of this segment, less log (context + prior) for its contexts
-    pairs = np.zeros(len(tokens))
-    asked = np.flatnonzero(own & (near[at] > 0))
-    pairs[asked] = np.minimum(seg.probe(pair_keys(before[asked], tokens[asked]), PAIR_STEP), near[at[asked]])
-    model = np.where(own, np.log10(pairs + PRIOR * totals.base(near)[at]), 0.0)
-    start = int(np.searchsorted(words, np.uint64(xxhash.xxh64_intdigest(END))))
-    prior = np.empty(len(tokens), np.int64)
-    prior[1:] = at[:-1]
+    levels = np.zeros((len(tokens), 2), np.uint8)
+    levels[:, 0] = near[at]
+    asked = np.flatnonzero(levels[:, 0])
+    levels[asked, 1] = seg.levels(pair_keys(before[asked], tokens[asked]))
     starts = np.cumsum([0] + [len(t) for t in texts[:-1]])
-    prior[starts] = start
-    model -= np.where(mine, np.log10(near + PRIOR), 0.0)[prior]
     return pd.DataFrame({
         "n_tokens": [len(t) for t in texts], "n_known": np.add.reduceat((own & (exact[at] > 0)).astype(np.int64), starts),
-        "base": np.add.reduceat(base, starts), "score": np.add.reduceat(model, starts),
-    })
+        "base": np.add.reduceat(base, starts),
+    }), levels
+
+
+def log_probabilities(levels: np.ndarray, sizes: np.ndarray, totals: Totals) -> np.ndarray:
+    """log10 of the model's probability of every token, from the levels of all segments.
+
+    A token's context is the one before it, the end (each text's last token) at the start.
+    A pair is at most as frequent as its word and its context, so no probability exceeds one.
+    """
+    words = count_at(levels[:, 0].astype(np.int64), WORD_STEP)
+    ends = np.cumsum(sizes)
+    context = np.empty_like(words)
+    context[1:] = words[:-1]
+    context[ends - sizes] = words[ends - 1]
+    pairs = np.minimum(count_at(levels[:, 1].astype(np.int64), PAIR_STEP), np.minimum(words, context))
+    return np.log10(pairs + PRIOR * np.minimum(totals.base(words), 1.0)) - np.log10(context + PRIOR)
 
 
 SCORES = "struct<n_tokens:long,n_known:long,base:double,score:double>"
+HELD = "struct<n_tokens:long,n_known:long,base:double,levels:binary>"
 
 
-def _scorer(sent, totals: Totals):
+def _scorer(sent, totals: Totals, last: bool):
+    """Adds what one segment tells to what is held; behind the last one the score."""
+
+    def told(held: list[np.ndarray], had: list[bytes | None], seg: Segment) -> pd.DataFrame:
+        sizes = np.array([len(t) for t in held])
+        rows, levels = look_up(held, seg, totals)
+        if had[0] is not None:
+            levels |= np.frombuffer(b"".join(had), np.uint8).reshape(-1, 2)
+        starts = np.cumsum(sizes) - sizes
+        if last:
+            return rows.assign(score=np.add.reduceat(log_probabilities(levels, sizes, totals), starts))
+        return rows.assign(levels=[levels[a:a + n].tobytes() for a, n in zip(starts, sizes)])
+
     def scored(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         memo, seg = _Hashes(), sent.value
         for raw, had in batches:
-            out, held, size = [], [], 0
-            for x in raw:
+            out, held, before, size = [], [], [], 0
+            for x, levels in zip(raw, had["levels"]):
                 held.append(token_hashes(x, memo))
+                before.append(levels)
                 size += len(held[-1])
                 if size >= SCORE_TOKENS:
-                    out.append(score_tokens(held, seg, totals))
-                    held, size = [], 0
+                    out.append(told(held, before, seg))
+                    held, before, size = [], [], 0
             if held:
-                out.append(score_tokens(held, seg, totals))
-            now = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["n_tokens", "n_known", "base", "score"])
-            for c in ("n_known", "base", "score"):
+                out.append(told(held, before, seg))
+            now = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["n_tokens", "n_known", "base", "score" if last else "levels"])
+            for c in ("n_known", "base"):
                 now[c] = now[c].to_numpy() + had[c].fillna(0).to_numpy()
             yield now
 
-    return F.pandas_udf(scored, SCORES)
+    return F.pandas_udf(scored, SCORES if last else HELD)
 
 
 def score(docs: DataFrame, totals: Totals, parts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -307,18 +331,21 @@ def score(docs: DataFrame, totals: Totals, parts: DataFrame, text_col: str = "te
 
     ``base`` adds log10 of the smoothed word probabilities, from exact counts. ``score`` is
     the model's: (pairs + PRIOR * P(word)) / (context + PRIOR), counts and P(word) from
-    the filter. The filter is broadcast in segments of at most ``SEGMENT_BYTES`` of
-    training text; each adds the terms of its own words, in one pass over the texts
-    after the other, and all but the last are written and dropped before the next is sent. Null is an empty text, which has one token, the end. Without
+    the filter, a pair at most as frequent as its word and its context. The filter is broadcast in segments of
+    at most ``SEGMENT_BYTES`` of training text, one pass over the texts after the other. A segment
+    adds the levels of its own words, two bytes a token, which are written before the next is sent;
+    the last pass turns them into the score, so it does not depend on the number of segments but for false answers.
+    Null is an empty text, which has one token, the end. Without
     training tokens all counts are zero. The column replaces one of that name.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.withColumn("lm", F.lit(None).cast(SCORES))
+    out = docs.withColumn("lm", F.lit(None).cast(HELD))
     for s in range(totals.segments):
         sent = spark.sparkContext.broadcast(_segment(parts, s, totals.buckets))
-        out = out.withColumn("lm", _scorer(sent, totals)(as_bytes(F.col(text_col)), F.col("lm")))
-        if s + 1 < totals.segments:
+        last = s + 1 == totals.segments
+        out = out.withColumn("lm", _scorer(sent, totals, last)(as_bytes(F.col(text_col)), F.col("lm")))
+        if not last:
             # written before the next segment is sent, so no worker holds two
             out = materialise(out, "scores")
             sent.destroy()
