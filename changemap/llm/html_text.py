@@ -18,17 +18,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changemap.llm.text import as_bytes
+from changemap.llm.text import as_bytes, small_batches
 
 PATHS, WORDS, SHAPES = 2048, 4096, 8
 PATH_DIM, WORD_DIM, HIDDEN = 12, 6, 16
 # pages of the table the labeller is fitted on, taken by the hash of their id; besides made ones
 MAX_TRAIN, MADE_PAGES = 300, 1500
 EPOCHS, BATCH, RATE = 8, 32, 0.01
-BLOCKS_AT_ONCE = 20_000
+# blocks held at once, and blocks of the padded pages of one batch
+BLOCKS_AT_ONCE, PADDED_BLOCKS = 20_000, 40_000
 
 # HTML elements by their role.
-SKIPPED = frozenset("script style noscript template title svg math iframe object head".split())
+SKIPPED = frozenset("script style noscript template title svg iframe object annotation annotation-xml".split())
+# of these, the ones whose content runs to the end of the page where no end tag follows
+RAW = frozenset("script style iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -37,10 +40,13 @@ BLOCK = frozenset(
 )
 ARTICLE = frozenset("article main".split())
 ASIDE = frozenset("nav aside footer form button select menu dialog header".split())
+COMMENTS = frozenset(".comment .comments .commentlist .respond .replies .discussion".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PARTS = re.compile(r"[a-z]+")
+# what a picture ends at: its own end, or the first block, which no picture holds
+_PICTURE = re.compile(rf"<(/?)(svg|{'|'.join(sorted(BLOCK))})(?![\w-])[^>]*>", re.I)
 
 
 @dataclass
@@ -50,6 +56,24 @@ class Block:
     links: int = 0  # characters inside links
 
 
+def _after_skipped(tag: str, page: str, at: int) -> int:
+    """The place behind a skipped element whose start tag ends at ``at``.
+
+    An element that never ends is passed over by its start tag alone, so no text is
+    lost behind it; scripts, styles and frames run to the end of the page."""
+    if tag == "svg":
+        depth = 1
+        for m in _PICTURE.finditer(page, at):
+            if m[2].lower() != "svg":
+                return m.start()
+            depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+            if not depth:
+                return m.end()
+        return len(page)
+    close = re.compile(rf"</{tag}(?![\w-])[^>]*>", re.I).search(page, at)
+    return close.end() if close else len(page) if tag in RAW else at
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order; markup and scripts are gone, references decoded,
     white space is one space."""
@@ -92,10 +116,8 @@ def blocks_of(page: str) -> list[Block]:
                         del stack[k:]
                         break
         elif tag in SKIPPED:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            if tag == "head" or m[3].endswith("/"):
-                continue  # its own children are skipped one by one
-            at = close.end() if close else end
+            if not m[3].endswith("/"):
+                at = _after_skipped(tag, page, at)
         elif tag in BLOCK:
             flush()
             while stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
@@ -127,6 +149,12 @@ class _Buckets(dict):
         return b
 
 
+def _steps(path: list[str]) -> list[str]:
+    """The distinct names of a whole tag path, and its distinct steps from one element to the next."""
+    tags = [x for x in path if x[0] != "."]
+    return [*dict.fromkeys(path), *dict.fromkeys(f"{a}>{b}" for a, b in zip(tags, tags[1:])), "@" + tags[-1]] if tags else []
+
+
 class Features:
     """Blocks to bucket lists and shapes; keeps the buckets of the names it has seen."""
 
@@ -135,7 +163,7 @@ class Features:
 
     def of(self, blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
         n = len(blocks)
-        paths = [[*map(self.paths.__getitem__, b.path[-12:]), self.paths["@" + "/".join(x for x in b.path if x[0] != ".")[-40:]]] for b in blocks]
+        paths = [[*map(self.paths.__getitem__, _steps(b.path))] or [0] for b in blocks]
         words = [[*map(self.words.__getitem__, b.text.lower().split())] or [0] for b in blocks]
         size = np.array([len(b.text) for b in blocks], float)
         marks = np.array([b.text.count(".") + b.text.count(",") for b in blocks], float)
@@ -281,7 +309,7 @@ def weak_labels(blocks: list[Block]) -> np.ndarray | None:
     inside = np.array([bool(ARTICLE.intersection(b.path)) for b in blocks], bool)
     if not inside.any() or inside.all():
         return None
-    return (inside & np.array([not ASIDE.intersection(b.path) for b in blocks], bool)).astype(float)
+    return (inside & np.array([not (ASIDE | COMMENTS).intersection(b.path) for b in blocks], bool)).astype(float)
 
 
 def made_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
@@ -310,9 +338,17 @@ def made_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
 
     def comment(text: str) -> str:
         how = r.random()
+        if how < 0.3:
+            name = str(r.choice(["comment-body", "comment-content", "comment", "reply"]))
+            return f'<ol><li><article class="{name}"><p>{text}</p></article></li></ol>' if how < 0.2 else f'<ol><li class="{name}"><div><p>{text}</p></div></li></ol>'
         return f'<div class="comment"><p>{text}</p></div>' if how < 0.5 else f"<p>{text}</p>" if how < 0.8 else f"<ul><li>{text}</li></ul>"
 
     def menu(k: int) -> str:
+        if r.random() < 0.3:
+            # deep, with plain sentences among the links
+            items = "".join(f'<li class="menu-item item-{i}">{words(int(r.integers(3, 25))) if r.random() < 0.4 else f"<a>{words(1)[:-1]}</a>"}</li>' for i in range(k))
+            depth = int(r.integers(0, 4))
+            return "<div>" * depth + f'<ul class="{r.choice(["menu", "nav-list", "links"])}">{items}</ul>' + "</div>" * depth
         return "<ul>" + "".join(f'<li><a href="/{i}">{str(r.choice(stock["menu"])) if r.random() < 0.5 else words(1)[:-1]}</a></li>' for i in range(k)) + "</ul>"
 
     for _ in range(n):
@@ -331,15 +367,20 @@ def made_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
                         else "<table><tr>" + "".join(f"<td>{t}</td>" for t in texts) + "</tr></table>")
         tag = str(r.choice(["article", "main", "div", "div", "section"]))
         main = named(tag, ["content", "post", "entry-content", "article-body", "story", "main", "text", "page-content"], "".join(body))
+        if r.random() < 0.3:
+            # no names at all, in any depth
+            depth = int(r.integers(1, 6))
+            main = "<div>" * depth + "".join(body) + "</div>" * depth
         if r.random() < 0.3:
             main = f"<main>{main}</main>"
+        bare = r.random() < 0.1
         around = [
             (0.8, 0, lambda: named(str(r.choice(["nav", "div"])), ["menu", "nav", "navbar", "main-menu", "breadcrumb"], menu(int(r.integers(2, 9))))),
             (0.5, 0, lambda: named(str(r.choice(["header", "div"])), ["header", "site-header", "top", "masthead", "banner"], f"<p>{some('menu')}</p>")),
             (0.6, 0, lambda: named("div", ["ad", "ads", "advert", "sponsor", "banner-ad", "promo"], some("ad"))),
             (0.4, 0, lambda: named(str(r.choice(["div", "section"])), ["cookie", "notice", "cookie-banner", "consent", "alert", "popup"], f"<p>{some('notice')}</p>")),
             (0.5, 1, lambda: named(str(r.choice(["aside", "div"])), ["sidebar", "side", "related", "widget", "share", "recommended"], f"<h3>{some('menu')}</h3>{menu(3)}<p>{words(8)}</p>")),
-            (0.5, 1, lambda: named(str(r.choice(["div", "section"])), ["comments", "comment-list", "reader-comments", "discussion", "respond"],
+            (0.5, 1, lambda: named(str(r.choice(["div", "section"])), ["comments", "comments-area", "comment-list", "reader-comments", "discussion", "respond"],
                                    "".join(comment(some("comment") if r.random() < 0.4 else words(int(r.integers(5, 80)))) for _ in range(int(r.integers(1, 5)))))),
             (0.1, 0, lambda: "<table><tr>" + "".join(f'<td><a href="/{k}">{words(1)[:-1]}</a></td>' for k in range(int(r.integers(2, 6)))) + "</tr></table>"),
             (0.4, 1, lambda: f'<form action="/s"><label>{some("notice")}</label><input name="q"><button>{words(1)[:-1]}</button></form>'),
@@ -348,7 +389,7 @@ def made_pages(n: int, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
         ]
         parts = [[], [], []]
         for share, place, make in around:
-            if r.random() < share:
+            if not bare and r.random() < share:
                 parts[place].append(make())
         for p in parts[:2]:
             r.shuffle(p)
@@ -379,9 +420,12 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max
 def extract(pages: DataFrame, model: Labeller, html_col: str = "html") -> DataFrame:
     """``pages`` with ``main_text``: the blocks of the article in order, one a line.
 
-    Every block of the whole page is judged. Null and empty pages, and pages
-    without text, give an empty text. The column replaces one of that name.
+    Every block of the whole page is judged by its whole path. Pages are labelled in batches of at
+    most ``PADDED_BLOCKS`` blocks with padding, so a very long page is a batch of its own. Null and empty pages, and pages
+    without text, give an empty text; an empty table gives an empty table; repeated rows get equal
+    texts. Other columns pass through; ``main_text`` replaces one of that name.
     """
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(model.w)
 
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -392,11 +436,14 @@ def extract(pages: DataFrame, model: Labeller, html_col: str = "html") -> DataFr
 
             def flush() -> None:
                 held.sort(key=lambda x: len(x[1]))
-                for at in range(0, len(held), 4 * BATCH):
-                    some = held[at:at + 4 * BATCH]
+                while held:
+                    n = 1
+                    while n < min(len(held), 4 * BATCH) and (n + 1) * len(held[n][1]) <= PADDED_BLOCKS:
+                        n += 1
+                    some = held[:n]
+                    del held[:n]
                     for (k, blocks), p in zip(some, net.scores([features.of(b) for _, b in some])):
                         out[k] = "\n".join(b.text for b, x in zip(blocks, p) if x > 0.5)
-                held.clear()
 
             size = 0
             for k, raw in enumerate(batch):
