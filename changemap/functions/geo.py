@@ -98,7 +98,7 @@ def to_utm(lon: Column, lat: Column, zone: Column | int) -> tuple[Column, Column
     return UTM_EAST + k * east, k * north + F.when(lat < 0, F.lit(UTM_NORTH_SOUTH)).otherwise(F.lit(0.0))
 
 
-def cell(v: Column, size: float, origin: float = 0.0) -> Column:
+def cell(v: Column, size: float | Column, origin: float = 0.0) -> Column:
     """Integer grid index of a coordinate."""
     return F.floor((v - origin) / size).cast("int")
 

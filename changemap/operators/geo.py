@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changemap.functions import geo as G
+from changemap.operators.leaves import KEYS, Leaves
 
 
 @dataclass(frozen=True)
@@ -96,27 +97,38 @@ def table_utm_zone(points: DataFrame, lon: str = "lon", lat: str = "lat") -> Dat
 # --- point in polygon ---------------------------------------------------------
 
 
-def _polygon_cells(edges: DataFrame, key: str, size: float) -> DataFrame:
-    """What a point in a cell must be tested against, per polygon and cell.
+def _strips(edges: DataFrame, key: str, size: float) -> DataFrame:
+    """Edges on every cell of their rows from the polygon's left end to their own right end."""
+    e = with_bounds(edges, key)
+    return e.withColumn("gy", _range(G.cell(F.col("y1"), size), G.cell(F.col("y2"), size))).withColumn(
+        "gx", _range(G.cell(F.col("minx"), size), G.cell(F.greatest("x1", "x2"), size))
+    )
+
+
+def _decided(spread: DataFrame, key: str, at: list[str], size: float | Column) -> DataFrame:
+    """What a point in a cell must be tested against, per polygon and cell (``at``) of ``size``.
 
     Cells without an edge of their own are inside or outside as a whole, decided
     once at their centre: inside ones get one row with ``inner`` set.  Cells with
     an edge get the edges of their row strip from the cell to the right.
     """
-    e = with_bounds(edges, key)
-    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
-    spread = e.withColumn("gy", _range(G.cell(F.col("y1"), size), G.cell(F.col("y2"), size))).withColumn(
-        "gx", _range(G.cell(F.col("minx"), size), G.cell(hi, size))
-    )
-    spread = spread.withColumn("_own", F.col("gx") >= G.cell(lo, size))
+    spread = spread.withColumn("_own", F.col("gx") >= G.cell(F.least("x1", "x2"), size))
     mid = G.crosses_ray((F.col("gx") + 0.5) * size, (F.col("gy") + 0.5) * size)
-    kinds = spread.groupBy(key, "gx", "gy").agg(F.max("_own").alias("_own"), F.sum(mid).alias("_n"))
+    kinds = spread.groupBy(key, *at).agg(F.max("_own").alias("_own"), F.sum(mid).alias("_n"))
     coords = ["x1", "y1", "x2", "y2"]
     inner = kinds.where(~F.col("_own") & (F.col("_n") % 2 == 1)).select(
-        key, "gx", "gy", *[F.lit(None).cast("double").alias(c) for c in coords], F.lit(True).alias("inner")
+        key, *at, *[F.lit(None).cast("double").alias(c) for c in coords], F.lit(True).alias("inner")
     )
-    border = spread.where(F.col("y1") != F.col("y2")).join(kinds.where("_own").select(key, "gx", "gy"), [key, "gx", "gy"])
-    return inner.unionByName(border.select(key, "gx", "gy", *coords, F.lit(False).alias("inner")))
+    border = spread.where(F.col("y1") != F.col("y2")).join(kinds.where("_own").select(key, *at), [key, *at])
+    return inner.unionByName(border.select(key, *at, *coords, F.lit(False).alias("inner")))
+
+
+def _on_leaves(edges: DataFrame, key: str, leaves: Leaves) -> DataFrame:
+    """As ``_decided``, on cells that follow density: strips of split cells go on to their quarters."""
+    meets = lambda s: F.col("gy").between(
+        G.cell(F.least("y1", "y2"), s), G.cell(F.greatest("y1", "y2"), s)) & (F.col("gx") <= G.cell(F.greatest("x1", "x2"), s))
+    spread = leaves.refine(_strips(edges, key, leaves.size), meets)
+    return leaves.salted(_decided(spread, key, ["level", "gx", "gy"], leaves.size_at(F.col("level"))))
 
 
 def points_in_polygons(
@@ -127,17 +139,22 @@ def points_in_polygons(
     cell_size: float,
     x: str = "x",
     y: str = "y",
+    leaves: Leaves | None = None,
 ) -> DataFrame:
     """``point_key, poly_key`` for every point inside a polygon.
 
     Holes and multi-part polygons need no special care: inside means an odd number
-    of edge crossings to the right.
+    of edge crossings to the right. With ``leaves`` the cells follow the density of
+    points instead of ``cell_size``; the result is the same.
     """
     p = points.select(point_key, F.col(x).alias("_px"), F.col(y).alias("_py")).where(
         F.col("_px").isNotNull() & F.col("_py").isNotNull()
     )
-    p = p.withColumns({"gx": G.cell(F.col("_px"), cell_size), "gy": G.cell(F.col("_py"), cell_size)})
-    j = p.join(_polygon_cells(edges, poly_key, cell_size), ["gx", "gy"])
+    if leaves is None:
+        p = p.withColumns({"gx": G.cell(F.col("_px"), cell_size), "gy": G.cell(F.col("_py"), cell_size)})
+        j = p.join(_decided(_strips(edges, poly_key, cell_size), poly_key, ["gx", "gy"], cell_size), ["gx", "gy"])
+    else:
+        j = leaves.place(p, F.col("_px"), F.col("_py"), point_key).join(_on_leaves(edges, poly_key, leaves), [*KEYS])
     # a point in an inner cell is decided where it stands; only border cells are counted
     decided = j.where("inner").select(point_key, poly_key)
     hits = F.sum(G.crosses_ray(F.col("_px"), F.col("_py"))).alias("_n")
@@ -154,10 +171,11 @@ def point_in_polygon(
     how: str = "left",
     x: str = "x",
     y: str = "y",
+    leaves: Leaves | None = None,
 ) -> DataFrame:
     """Points with the polygon they lie in (``left``, ``inner``), or only those in
     any polygon (``left_semi``)."""
-    return points.join(points_in_polygons(points, edges, point_key, poly_key, cell_size, x, y), point_key, how)
+    return points.join(points_in_polygons(points, edges, point_key, poly_key, cell_size, x, y, leaves), point_key, how)
 
 
 def assign_admin(
@@ -207,6 +225,15 @@ def _boxes_by_cell(edges: DataFrame, key: str, size: float, margin: float = 0.0)
     return e.withColumn("gx", _range(lo["minx"], hi["maxx"])).withColumn("gy", _range(lo["miny"], hi["maxy"]))
 
 
+def _pairs_on_leaves(points: DataFrame, edges: DataFrame, point_key: str, poly_key: str, radius: float, leaves: Leaves) -> DataFrame:
+    """Points (``_px, _py``) with the boxes, widened by ``radius``, of the one leaf they lie in."""
+    meets = lambda s: F.col("gx").between(G.cell(F.col("minx") - radius, s), G.cell(F.col("maxx") + radius, s)) & F.col("gy").between(
+        G.cell(F.col("miny") - radius, s), G.cell(F.col("maxy") + radius, s))
+    boxes = leaves.salted(leaves.refine(_boxes_by_cell(edges, poly_key, leaves.size, radius), meets))
+    p = points.where(F.col("_px").isNotNull() & F.col("_py").isNotNull())
+    return leaves.place(p, F.col("_px"), F.col("_py"), point_key).join(boxes, [*KEYS])
+
+
 def _with_edges(pairs: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Pairs whose boxes meet, with the edges of their polygon."""
     return pairs.join(edges.select(key, "x1", "y1", "x2", "y2"), key)
@@ -221,22 +248,26 @@ def disk_overlap(
     cell_size: float,
     x: str = "x",
     y: str = "y",
+    leaves: Leaves | None = None,
 ) -> DataFrame:
     """``point_key, poly_key, area``: overlap of a disk around each point with polygons.
 
-    A pair meets in several cells; it is evaluated in the lowest common one only.
+    A pair meets in several cells; it is evaluated in the lowest common one only. With ``leaves``
+    a point stands in one cell, which follows density, and boxes are widened by the radius.
     """
     px, py = F.col("_px"), F.col("_py")
     p = points.select(point_key, F.col(x).alias("_px"), F.col(y).alias("_py"))
-    p = p.withColumn("gx", _range(G.cell(px - radius, cell_size), G.cell(px + radius, cell_size)))
-    p = p.withColumn("gy", _range(G.cell(py - radius, cell_size), G.cell(py + radius, cell_size)))
-    j = p.join(_boxes_by_cell(edges, poly_key, cell_size), ["gx", "gy"])
-    j = j.where(
-        (F.col("gx") == F.greatest(G.cell(F.col("minx"), cell_size), G.cell(px - radius, cell_size)))
-        & (F.col("gy") == F.greatest(G.cell(F.col("miny"), cell_size), G.cell(py - radius, cell_size)))
-        & (px + radius > F.col("minx")) & (px - radius < F.col("maxx"))
-        & (py + radius > F.col("miny")) & (py - radius < F.col("maxy"))
-    )
+    meet = (px + radius > F.col("minx")) & (px - radius < F.col("maxx")) & (py + radius > F.col("miny")) & (py - radius < F.col("maxy"))
+    if leaves is None:
+        p = p.withColumn("gx", _range(G.cell(px - radius, cell_size), G.cell(px + radius, cell_size)))
+        p = p.withColumn("gy", _range(G.cell(py - radius, cell_size), G.cell(py + radius, cell_size)))
+        j = p.join(_boxes_by_cell(edges, poly_key, cell_size), ["gx", "gy"]).where(
+            (F.col("gx") == F.greatest(G.cell(F.col("minx"), cell_size), G.cell(px - radius, cell_size)))
+            & (F.col("gy") == F.greatest(G.cell(F.col("miny"), cell_size), G.cell(py - radius, cell_size)))
+        )
+    else:
+        j = _pairs_on_leaves(p, edges, point_key, poly_key, radius, leaves)
+    j = j.where(meet)
     j = _with_edges(j.select(point_key, "_px", "_py", poly_key), edges, poly_key)
     share = G.disk_edge_area(px, py, radius)
     return j.groupBy(point_key, poly_key).agg(F.sum(share).alias("area")).where(F.col("area") > 1e-9)
@@ -251,12 +282,17 @@ def within_distance(
     cell_size: float,
     x: str = "x",
     y: str = "y",
+    leaves: Leaves | None = None,
 ) -> DataFrame:
     """``point_key, poly_key`` for points inside a polygon or at most ``radius`` away."""
     px, py = F.col("_px"), F.col("_py")
     p = points.select(point_key, F.col(x).alias("_px"), F.col(y).alias("_py"))
-    p = p.withColumns({"gx": G.cell(px, cell_size), "gy": G.cell(py, cell_size)})
-    j = p.join(_boxes_by_cell(edges, poly_key, cell_size, radius), ["gx", "gy"]).where(
+    if leaves is None:
+        p = p.withColumns({"gx": G.cell(px, cell_size), "gy": G.cell(py, cell_size)})
+        j = p.join(_boxes_by_cell(edges, poly_key, cell_size, radius), ["gx", "gy"])
+    else:
+        j = _pairs_on_leaves(p, edges, point_key, poly_key, radius, leaves)
+    j = j.where(
         px.between(F.col("minx") - radius, F.col("maxx") + radius)
         & py.between(F.col("miny") - radius, F.col("maxy") + radius)
     )

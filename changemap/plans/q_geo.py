@@ -11,6 +11,7 @@ from changemap.functions import geo as G
 from changemap.functions.scalars import area_at_least
 from changemap.operators import buildings as B
 from changemap.operators import geo, obs, pixels, stats, windows
+from changemap.operators.leaves import density_leaves
 from changemap.plans import fixtures as X
 
 GRID = geo.Grid(P.PIXEL_M)
@@ -28,6 +29,14 @@ def geo_point_in_polygon(spark, sf):
     )
 
 
+def geo_point_in_polygon_dense(spark, sf):
+    """Every point with its district or null, on cells that follow the density of points."""
+    pts = X.points(spark, sf).select("point_id", "x", "y")
+    return geo.point_in_polygon(
+        pts, X.polygons(spark, sf), "point_id", "poly_id", ADMIN_CELL, leaves=density_leaves(pts, 4 * ADMIN_CELL)
+    )
+
+
 def geo_within_boundary(spark, sf):
     """Buildings of at least 50 m2 whose centroid lies in a district."""
     out = B.within_boundary(X.edges(spark, sf), X.polygons(spark, sf), "building_id", "poly_id", ADMIN_CELL)
@@ -153,6 +162,21 @@ def geo_disk_overlap(spark, sf):
     return out.where(F.col("area") > 1e-5).withColumns(X.round6("area"))
 
 
+def geo_disk_overlap_dense(spark, sf):
+    """Area of every building in the 10 m disk around every point, on cells that follow the density of points."""
+    pts = X.points(spark, sf)
+    out = geo.disk_overlap(pts, X.edges(spark, sf), "point_id", "building_id", P.POINT_BUFFER_M, BUILDING_CELL,
+                           leaves=density_leaves(pts, 4 * BUILDING_CELL))
+    return out.where(F.col("area") > 1e-5).withColumns(X.round6("area"))
+
+
+def geo_within_distance_dense(spark, sf):
+    """Points inside a building or at most 5 m away, on cells that follow the density of points."""
+    pts = X.points(spark, sf)
+    return geo.within_distance(pts, X.edges(spark, sf), "point_id", "building_id", P.LABEL_BUFFER_M, BUILDING_CELL,
+                               leaves=density_leaves(pts, 4 * BUILDING_CELL))
+
+
 def geo_within_distance(spark, sf):
     """Points inside a building or at most 5 m away."""
     return geo.within_distance(
@@ -376,7 +400,7 @@ QUERIES = {
         geo_point_in_polygon, geo_within_boundary, geo_assign_admin, geo_intersects, geo_area_centroid, geo_bounds,
         geo_bounds_all, geo_utm, geo_table_zone, geo_spheroid_area, geo_quadkey, geo_global_pixel, geo_tile_bounds,
         geo_tile_coverage, geo_tile_grid, geo_pixel_overlap, geo_polygon_overlap, geo_disk_overlap,
-        geo_within_distance, building_scores, building_scores_from_points, building_wide, building_long_again,
+        geo_within_distance, geo_point_in_polygon_dense, geo_disk_overlap_dense, geo_within_distance_dense, building_scores, building_scores_from_points, building_wide, building_long_again,
         building_max_pre_post, building_classify, building_classify_strict, building_with_preds_left,
         building_with_preds_right, building_attach_labels, building_attach_labels_by_area, building_area_filter, stats_by_admin,
         stats_by_admin_cutoff, stats_admin_damage, stats_temporal_curve, stats_totals, pixel_boxes, pixel_focal_mean,
@@ -662,3 +686,5 @@ ORACLES = {
     "obs_fill_mean": X.with_views("obs", extra=("g AS (SELECT site_id, orbit, obs_date, CASE WHEN day(obs_date) % 4 <> 0 THEN vv END AS vv, CASE WHEN orbit <> 87 THEN vh END AS vh FROM obs)",))
     + f"SELECT site_id, orbit, obs_date, {X.r6('coalesce(vv, avg(vv) OVER (PARTITION BY site_id, orbit))')} AS vv, {X.r6('coalesce(vh, avg(vh) OVER (PARTITION BY site_id, orbit))')} AS vh FROM g",
 }
+# the same rows, whatever the cells
+ORACLES |= {f"{k}_dense": ORACLES[k] for k in ("geo_point_in_polygon", "geo_disk_overlap", "geo_within_distance")}
