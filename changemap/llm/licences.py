@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changemap.llm.text import aside
+
 # Spellings that licence texts use for each other.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
@@ -139,9 +141,13 @@ def scan(docs: DataFrame, digests: DataFrame, text_col: str = "text") -> DataFra
 
     Digests of canonical forms are compared by a hash join; ``digests`` is a list of
     published licences, so Spark broadcasts it by its size. Only lines that name
-    a licence word are hashed. A null or empty text is no licence. Rows keep their number;
-    both columns replace others of their names.
+    a licence word are hashed. A null or empty text is no licence. Rows keep their number, repeated
+    ones too, and an empty table gives an empty table; a digest of several licences stands for the first in
+    order of names; texts are looked at whole, of any length. Other columns pass through, whatever their
+    names; both columns replace others of their names.
     """
+    docs, new, back = aside(docs, {"_lines", "_digest", "_of_lines"})
+    text_col = new.get(text_col, text_col)
     cols = [F.col(f"`{c}`") for c in docs.columns if c not in ("text_licence", "line_licences")]
     named = digests.where(F.col("digest") != F.sha2(F.lit(""), 256))
     listed = named.limit(MAX_KNOWN + 1).collect()
@@ -154,4 +160,4 @@ def scan(docs: DataFrame, digests: DataFrame, text_col: str = "text") -> DataFra
     found = F.filter(F.transform(lines, lambda x: of[F.sha2(F.btrim(x), 256)]), lambda x: x.isNotNull())
     a = a.select(*cols, F.sha2(_whole(F.col("_lines")), 256).alias("_digest"), F.array_sort(F.array_distinct(found)).alias("_of_lines"))
     out = a.join(named.select(F.col("digest").alias("_digest"), F.col("licence").alias("text_licence")), "_digest", "left")
-    return out.select(*cols, "text_licence", F.coalesce("_of_lines", F.array().cast("array<string>")).alias("line_licences"))
+    return back(out.select(*cols, "text_licence", F.coalesce("_of_lines", F.array().cast("array<string>")).alias("line_licences")))

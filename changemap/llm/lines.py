@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changemap.llm.text import aside
 from changemap.session import materialise
 
 # A line ends behind a newline, or within running text behind marks and the space or
@@ -12,6 +13,7 @@ from changemap.session import materialise
 LINE = r"([^.,;:!?\n]*+(?:[.,;:!?]++[ \n]?|\n)|[^.,;:!?\n]++)"
 MIN_LINES = 2
 MIN_CHARS = 60
+_OWN = {"_lines", "_places", "_place_id", "_no", "_found", "_marks", "_starts", "_gone", "_rest"}
 
 
 def _kept(expr: Column, name: str) -> Column:
@@ -64,11 +66,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     notice) stay. Texts without such passages come back as they were, to the byte. A text
     that is all repeated becomes empty; its row stays, as do rows with null text. Rows
     repeated with the same id are one occurrence and stay; rows without an id count as
-    originals only. Other columns pass through; ``n_removed`` replaces a column of that name.
+    originals only. An empty table gives an empty table, and a text of any length is one row's work.
+    Other columns pass through, whatever their names; ``n_removed`` replaces a column of that name.
 
     Pairs are found by hash; the bytes of all that share one are compared by grouping on
     the texts themselves. A hash that different texts share proves nothing, and its pairs stay.
     """
+    docs, new, back = aside(docs, _OWN)
+    id_col, text_col = new.get(id_col, id_col), new.get(text_col, text_col)
     i, t = F.col(id_col), F.col(text_col)
     own = docs.where(t.isNotNull()).select(i.alias("id"), t.alias("text"))
     pairs = materialise(_pairs(own), "pairs").select("id", F.posexplode("pairs").alias("k", "h"))
@@ -87,7 +92,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     copies = F.filter("_places", lambda p: p["copy"] & ~F.array_contains("_no", p["h"]))
     marks = F.array_sort(F.array_distinct(F.transform(copies, lambda p: p["k"])))
     found = found.select(*cols, _kept(marks, "_found")).select(*cols, F.when(F.size("_found") > 0, F.col("_found")).alias("_marks"))
-    return _cut(found, text_col)
+    return back(_cut(found, text_col))
 
 
 def _cut(found: DataFrame, text_col: str) -> DataFrame:

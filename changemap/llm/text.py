@@ -33,3 +33,19 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark) -> None:
     """Texts go to Python workers at most ``BATCH_BYTES`` at a time: their number says little about their length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def aside(docs, own: set[str]):
+    """``docs`` with columns whose names an operator needs (``own``, in lower case) renamed, the new
+    name by the old one, and what gives the columns of a result their names again."""
+    taken = {c.lower() for c in docs.columns} | own
+    new = {}
+    for c in docs.columns:
+        if c.lower() in own:
+            name = f"{c}_"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            new[c] = name
+    back = {v: k for k, v in new.items()}
+    return docs.withColumnsRenamed(new), new, lambda out: out.withColumnsRenamed(back)

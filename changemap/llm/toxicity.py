@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changemap.llm.text import as_bytes, plain_words
+from changemap.llm.text import aside, as_bytes, plain_words
 
 FEATURES = 1 << 18
 # labelled rows that the model is fitted on; a bounded sample by the hash of the id
@@ -128,7 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Ordinal:
     """Fits on at most ``max_train`` labelled rows, taken by the hash of their id.
 
-    Rows with null text, id or label are left out. This sample is the one thing that
+    Rows with null text, id or label are left out; of several texts with one id the least
+    counts, and of several labels the highest, so the model does not change from run to run.
+    Without labels nothing is toxic. This sample is the one thing that
     goes to the driver: ``max_train`` texts.
     """
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_toxic"))
@@ -136,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = chosen.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_train)
     rows = (
         docs.select(id_col, as_bytes(F.col(text_col)).alias("_raw")).join(F.broadcast(chosen), id_col)
-        .where("_raw IS NOT NULL").dropDuplicates([id_col])
+        .where("_raw IS NOT NULL").groupBy(id_col, "_toxic").agg(F.min("_raw").alias("_raw"))
     )
 
     def words(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -190,6 +192,9 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` below ``threshold``, by a model fitted on ``labels``; all their columns."""
+    """The rows of ``docs`` below ``threshold``, by a model fitted on ``labels``; all their columns,
+    whatever their names. Rows with null or empty text stay, and so do repeated rows; an empty table stays empty."""
+    docs, new, back = aside(docs, {"_severity", "_toxic", "_raw"})
+    text_col = new.get(text_col, text_col)
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns], severity(F.col(text_col), train(docs, labels, text_col=text_col), docs.sparkSession).alias("_severity"))
-    return kept.where(F.col("_severity") < threshold).drop("_severity")
+    return back(kept.where(F.col("_severity") < threshold).drop("_severity"))

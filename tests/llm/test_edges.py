@@ -13,7 +13,8 @@ ROWS = [
     (6, "\U0001F600 ñ é \u0000 |", "es", "b", 3),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("leak", "lm", "language", "severity", "n_removed", "chunks", "id", "h", "k", "c", "first", "length", "size", "bucket", "marks", "hit")
+CLASH = ("leak", "lm", "language", "severity", "n_removed", "chunks", "id", "h", "k", "c", "first", "length", "size", "bucket", "marks", "hit",
+         "_lines", "_Places", "_place_id", "_no", "_found", "_marks", "_starts", "_gone", "_rest", "_digest", "_of_lines", "_severity", "_toxic", "_raw")
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +69,18 @@ def test_clashing_columns_pass_through(spark, docs, bench, labels):
         if rows and "text" in out.columns:
             assert kept <= set(out.columns)
             assert len(out.columns) == len(set(out.columns))
-            assert out.where("doc_id = 4").select("marks", "hit", "length").first() == ("b", "b", "b")
+            assert out.where("doc_id = 4").select("marks", "hit", "length", "_lines", "_Places", "_severity").first() == ("b",) * 6
+    kept = toxicity.drop_toxic(wide, labels)
+    assert kept.columns == wide.columns and kept.where("doc_id = 5").select("_severity", "_raw").first() == ("b", "b")
+
+
+def test_one_of_several_texts_with_an_id_counts(spark):
+    rows = [(i, f"{'bad' if i % 2 else 'good'} word number {i}") for i in range(40)]
+    more = [(i, f"zzz other text {i} of the same id") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    of = lambda x: toxicity.train(spark.createDataFrame(x, "doc_id long, text string").repartition(3), labels)
+    one, two = of(rows), of([*more, *rows])
+    assert (one.weights == two.weights).all() and (one.cuts == two.cuts).all()
 
 
 def test_defined_results(spark, docs, bench, labels):
