@@ -49,7 +49,7 @@ def most_severe_point(
 ) -> DataFrame:
     """Per building the most severe label among its points, as one whole row:
     ``label_damage, label_id`` and ``label_{carry}``."""
-    rows = pairs.join(labels, point_key)
+    rows = pairs.join(geo.shuffled(labels), point_key)
     order = F.struct(F.col("damage"), F.col(point_key), *[F.col(c) for c in tie])
     best = rows.groupBy(building_key).agg(F.min_by(F.struct("damage", point_key, *carry), order).alias("r"))
     return best.select(
@@ -80,12 +80,12 @@ def attach_labels(
     if areas is not None:
         touching = geo.intersects(edges, areas, building_key, area_key, area_cell)
         pairs = (
-            pairs.join(labels.select(point_key, area_key), point_key)
-            .join(touching, [building_key, area_key], "left_semi")
+            pairs.join(geo.shuffled(labels.select(point_key, area_key)), point_key)
+            .join(geo.shuffled(touching), [building_key, area_key], "left_semi")
             .drop(area_key)
         )
     best = most_severe_point(pairs, labels, point_key, building_key, carry=carry)
-    return buildings.join(best, building_key, "left")
+    return buildings.join(geo.shuffled(best), building_key, "left")
 
 
 def weighted_scores(
@@ -102,7 +102,7 @@ def weighted_scores(
     A missing value adds nothing to the numerator while its area still counts, so
     a building with only missing values gets 0.
     """
-    j = overlap.join(values.select(*on, win, value), list(on))
+    j = overlap.join(geo.shuffled(values.select(*on, win, value)), list(on))
     v = F.col(value) / F.lit(scale) if scale != 1.0 else F.col(value).cast("double")
     return j.groupBy(building_key, win).agg(
         (F.coalesce(F.sum(v * F.col("area")), F.lit(0.0)) / F.sum("area")).alias("weighted_mean"), F.max(v).alias("max")
@@ -132,7 +132,7 @@ def from_points(
 def with_preds(buildings: DataFrame, preds: DataFrame, how: str = "left", key: str = "building_id") -> DataFrame:
     """``left`` keeps buildings without overlap (pixel path), ``right`` drops them
     (point path)."""
-    return buildings.join(preds, key, how)
+    return buildings.join(geo.shuffled(preds), key, how)
 
 
 def to_wide(scores: DataFrame, starts: Sequence, key: str = "building_id", win: str = "start_post", value: str = "weighted_mean") -> DataFrame:

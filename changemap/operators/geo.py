@@ -50,8 +50,14 @@ def bounds(edges: DataFrame, *keys: str) -> DataFrame:
     return edges.groupBy(*keys).agg(*lo_hi) if keys else edges.agg(*lo_hi)
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join that is never broadcast. Cells, edges and samples are made by
+    exploding small rows, which Spark's size estimates do not see: by them it would send all to the driver."""
+    return rows.hint("merge")
+
+
 def with_bounds(edges: DataFrame, key: str) -> DataFrame:
-    return edges.join(bounds(edges, key), key)
+    return edges.join(shuffled(bounds(edges, key)), key)
 
 
 def _range(a: Column, b: Column) -> Column:
@@ -119,7 +125,7 @@ def _decided(spread: DataFrame, key: str, at: list[str], size: float | Column) -
     inner = kinds.where(~F.col("_own") & (F.col("_n") % 2 == 1)).select(
         key, *at, *[F.lit(None).cast("double").alias(c) for c in coords], F.lit(True).alias("inner")
     )
-    border = spread.where(F.col("y1") != F.col("y2")).join(kinds.where("_own").select(key, *at), [key, *at])
+    border = spread.where(F.col("y1") != F.col("y2")).join(shuffled(kinds.where("_own").select(key, *at)), [key, *at])
     return inner.unionByName(border.select(key, *at, *coords, F.lit(False).alias("inner")))
 
 
@@ -152,9 +158,9 @@ def points_in_polygons(
     )
     if leaves is None:
         p = p.withColumns({"gx": G.cell(F.col("_px"), cell_size), "gy": G.cell(F.col("_py"), cell_size)})
-        j = p.join(_decided(_strips(edges, poly_key, cell_size), poly_key, ["gx", "gy"], cell_size), ["gx", "gy"])
+        j = p.join(shuffled(_decided(_strips(edges, poly_key, cell_size), poly_key, ["gx", "gy"], cell_size)), ["gx", "gy"])
     else:
-        j = leaves.place(p, F.col("_px"), F.col("_py"), point_key).join(_on_leaves(edges, poly_key, leaves), [*KEYS])
+        j = leaves.place(p, F.col("_px"), F.col("_py"), point_key).join(shuffled(_on_leaves(edges, poly_key, leaves)), [*KEYS])
     # a point in an inner cell is decided where it stands; only border cells are counted
     decided = j.where("inner").select(point_key, poly_key)
     hits = F.sum(G.crosses_ray(F.col("_px"), F.col("_py"))).alias("_n")
@@ -175,7 +181,7 @@ def point_in_polygon(
 ) -> DataFrame:
     """Points with the polygon they lie in (``left``, ``inner``), or only those in
     any polygon (``left_semi``)."""
-    return points.join(points_in_polygons(points, edges, point_key, poly_key, cell_size, x, y, leaves), point_key, how)
+    return points.join(shuffled(points_in_polygons(points, edges, point_key, poly_key, cell_size, x, y, leaves)), point_key, how)
 
 
 def assign_admin(
@@ -189,7 +195,7 @@ def assign_admin(
 ) -> DataFrame:
     """All admin names and ids of the unit containing the point, in one join."""
     pairs = points_in_polygons(points, edges, point_key, poly_key, cell_size, **kw)
-    return points.join(pairs.join(admin, poly_key), point_key, "left")
+    return points.join(shuffled(pairs.join(admin, poly_key)), point_key, "left")
 
 
 def admin_hierarchy(adm3: DataFrame, adm1: DataFrame, adm2: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -231,12 +237,12 @@ def _pairs_on_leaves(points: DataFrame, edges: DataFrame, point_key: str, poly_k
         G.cell(F.col("miny") - radius, s), G.cell(F.col("maxy") + radius, s))
     boxes = leaves.salted(leaves.refine(_boxes_by_cell(edges, poly_key, leaves.size, radius), meets))
     p = points.where(F.col("_px").isNotNull() & F.col("_py").isNotNull())
-    return leaves.place(p, F.col("_px"), F.col("_py"), point_key).join(boxes, [*KEYS])
+    return leaves.place(p, F.col("_px"), F.col("_py"), point_key).join(shuffled(boxes), [*KEYS])
 
 
 def _with_edges(pairs: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Pairs whose boxes meet, with the edges of their polygon."""
-    return pairs.join(edges.select(key, "x1", "y1", "x2", "y2"), key)
+    return pairs.join(shuffled(edges.select(key, "x1", "y1", "x2", "y2")), key)
 
 
 def disk_overlap(
@@ -261,7 +267,7 @@ def disk_overlap(
     if leaves is None:
         p = p.withColumn("gx", _range(G.cell(px - radius, cell_size), G.cell(px + radius, cell_size)))
         p = p.withColumn("gy", _range(G.cell(py - radius, cell_size), G.cell(py + radius, cell_size)))
-        j = p.join(_boxes_by_cell(edges, poly_key, cell_size), ["gx", "gy"]).where(
+        j = p.join(shuffled(_boxes_by_cell(edges, poly_key, cell_size)), ["gx", "gy"]).where(
             (F.col("gx") == F.greatest(G.cell(F.col("minx"), cell_size), G.cell(px - radius, cell_size)))
             & (F.col("gy") == F.greatest(G.cell(F.col("miny"), cell_size), G.cell(py - radius, cell_size)))
         )
@@ -289,7 +295,7 @@ def within_distance(
     p = points.select(point_key, F.col(x).alias("_px"), F.col(y).alias("_py"))
     if leaves is None:
         p = p.withColumns({"gx": G.cell(px, cell_size), "gy": G.cell(py, cell_size)})
-        j = p.join(_boxes_by_cell(edges, poly_key, cell_size, radius), ["gx", "gy"])
+        j = p.join(shuffled(_boxes_by_cell(edges, poly_key, cell_size, radius)), ["gx", "gy"])
     else:
         j = _pairs_on_leaves(p, edges, point_key, poly_key, radius, leaves)
     j = j.where(
@@ -323,7 +329,7 @@ def intersects(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell_size: fl
     lies in the other."""
     ea = _edge_cells(a.select(a_key, "x1", "y1", "x2", "y2"), cell_size)
     eb = _edge_cells(b.select(b_key, *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")]), cell_size, "b")
-    j = ea.join(eb, ["gx", "gy"])
+    j = ea.join(shuffled(eb), ["gx", "gy"])
 
     def side(px, py, qx, qy, rx, ry):
         return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))

@@ -153,7 +153,7 @@ def geo_polygon_overlap(spark, sf):
     pts = X.points(spark, sf).groupBy(G.cell(F.col("y"), 25.0).alias("row"), G.cell(F.col("x"), 25.0).alias("col")).agg(
         F.count(F.lit(1)).alias("n_points")
     )
-    return o.join(pts, ["row", "col"]).withColumns(X.round6("area"))
+    return o.join(geo.shuffled(pts), ["row", "col"]).withColumns(X.round6("area"))
 
 
 def geo_disk_overlap(spark, sf):

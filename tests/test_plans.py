@@ -63,3 +63,14 @@ def test_views_grow_at_constant_density(spark):
             q_geo.geo_within_distance(spark, path).count(),
         )
     assert all(6 < b / a < 15 for a, b in zip(sizes["sf0.01"], sizes["sf0.1"])), sizes
+
+
+@pytest.mark.parametrize("name", [
+    "geo_area_centroid", "geo_disk_overlap", "geo_intersects", "geo_polygon_overlap", "geo_within_distance", "io_boundary",
+    "building_attach_labels", "building_attach_labels_by_area", "building_scores_from_points", "pixel_sample_window_max",
+])
+def test_exploded_rows_are_not_broadcast(spark, sf, name):
+    """Spark's size estimates do not see explodes; only single rows and nations may go through the driver."""
+    text = plan(catalog.queries()[name](spark, sf))
+    # the nations; the one box of the one boundary
+    assert text.count("BroadcastExchange") <= {"building_attach_labels": 1, "io_boundary": 1}.get(name, 0), text
