@@ -223,3 +223,25 @@ def test_features_with_one_hot_site(spark):
     want = rows.join(F.broadcast(spark.createDataFrame([(i, *s) for i, s in enumerate(post, 1)], "win int, a date, b date")), F.col("obs_date").between(F.col("a"), F.col("b")))
     want = {(r.site_id, r.win): r[2:] for r in want.groupBy("site_id", "win").agg(F.median("VV"), F.median("VH")).collect()}
     assert len(got) == 14 and {k: v for k, v in got.items() if v[0] is not None} == want
+
+
+def test_focal_mean_of_many_small_scenes_and_large_ones(spark, monkeypatch):
+    """Blocks cut over batches, small ones summed together, large ones alone; no Python call a scene."""
+    cells = [(w, r, c, float((w * 31 + r * 17 + c * 5) % 23)) for w in range(40) for r in range(-3, 6) for c in range(7) if (w * 7 + r * 5 + c * 3) % 4 and (w % 9 == 0 or r < 0)]
+    cells += [(5, 1, 1, None), (5, -1, 2, 8.5)]  # nothing there; a second value of a cell
+    p = spark.createDataFrame(cells, "w int, row int, col int, v double")
+    monkeypatch.setattr(pixels, "DENSE", 30)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        df = pixels.focal_mean(p, ["v"], 3, ["w"], 4)
+        got = {(x.w, x.row, x.col): x.v for x in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for w, r, c in {t[:3] for t in cells}:
+        near = [t[3] for t in cells if t[0] == w and abs(t[1] - r) <= 1 and abs(t[2] - c) <= 1 and t[3] is not None]
+        want[w, r, c] = sum(near) / len(near) if near else None
+    assert got.keys() == want.keys()
+    assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
