@@ -194,7 +194,7 @@ def io_pixels_in_box(spark, sf):
     from changemap.operators.pixels import centres
 
     path = work_path(spark, "pixels")
-    centres(X.pixels(spark, sf), Grid(10.0)).repartitionByRange(8, "y", "x").sortWithinPartitions("y", "x").write.parquet(path)
+    centres(X.pixels(spark, sf), Grid(10.0)).repartitionByRange("y", "x").sortWithinPartitions("y", "x").write.parquet(path)
     return io.read_pixels(spark, path, (205.0, 95.0, 745.5, 611.0)).select("win", "row", "col", "pred")
 
 

@@ -75,3 +75,12 @@ def test_exploded_rows_are_not_broadcast(spark, sf, name):
     # the nations; the one box of the one boundary, in each reading of its edges
     bounded = {"building_attach_labels": 1, "building_attach_labels_by_area": 1, "io_boundary": 3}
     assert text.count("BroadcastExchange") <= bounded.get(name, 0), text
+
+
+def test_pixel_partitions_are_not_merged_before_they_grow(spark, sf):
+    """Cells become 19 rows each behind their shuffle; a fixed number of ranges would grow with the table."""
+    from changemap.plans import fixtures as X
+
+    assert "REPARTITION_BY_NUM" in plan(X.pixels(spark, sf))
+    df = q_io.io_pixels_in_box(spark, "/root/testdata/sf0.01")
+    assert len(df.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
