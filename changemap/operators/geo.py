@@ -211,14 +211,16 @@ def grid_overlap(edges: DataFrame, key: str, grid: Grid) -> DataFrame:
     """``key, row, col, area`` for every grid cell a polygon covers in part.
 
     Each edge contributes to the cells of the columns it spans, from its own height
-    down to the polygon's floor; the contributions add up to exact areas.
+    down to the polygon's floor; the contributions add up to exact areas. Heights are
+    taken from that floor where it is inside the cell, so that a flat floor adds nothing to round.
     """
     e = with_bounds(edges, key).where(F.col("x1") != F.col("x2"))
     top = F.greatest("y1", "y2")
     spread = e.withColumn("col", _range(grid.col(F.col("x1")), grid.col(F.col("x2")))).withColumn(
         "row", _range(grid.row(top), grid.row(F.col("miny")))
     )
-    share = G.box_edge_area(*grid.box(F.col("row"), F.col("col")))
+    left, low, right, high = grid.box(F.col("row"), F.col("col"))
+    share = G.box_edge_area(left, F.greatest(low, F.least("miny", high)), right, high)
     return spread.groupBy(key, "row", "col").agg(F.sum(share).alias("area")).where(F.col("area") > 1e-9)
 
 

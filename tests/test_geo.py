@@ -74,6 +74,16 @@ def test_cell_parts_sum_to_the_polygon(spark, grid):
     assert max(r.area for r in parts) <= grid.res**2 + 1e-9
 
 
+def test_rectangles_cover_cells_to_the_last_bit(spark, sf):
+    """Scores of exactly the threshold hang on the last bit: a rectangle's part is the product of its sides in the cell."""
+    from changemap.plans import fixtures as X
+
+    box = {r.building_id: r for r in geo.bounds(X.edges(spark, sf), "building_id").collect()}
+    for r in geo.grid_overlap(X.edges(spark, sf), "building_id", Grid(10.0)).collect():
+        b, left, low = box[r.building_id], r.col * 10.0, r.row * 10.0
+        assert r.area == (min(b.maxx, left + 10) - max(b.minx, left)) * (min(b.maxy, low + 10) - max(b.miny, low))
+
+
 def test_overlap_of_one_cell_by_counting(spark):
     parts = {(r.row, r.col): r.area for r in geo.grid_overlap(edge_frame(spark, {"a": POLY}), "poly", Grid(20.0)).collect()}
     for (row, col), area in parts.items():
