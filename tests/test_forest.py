@@ -131,3 +131,12 @@ def test_out_of_bag_errors_by_hand(spark, table):
                 seen += 1
                 wrong += (sum(mine) / len(mine) > 0.5) != (row.y == 1)
         assert r.oob_error == pytest.approx(wrong / seen)
+
+
+def test_a_row_is_hashed_once_a_tree(spark):
+    """A draw compares one hash with seven steps; the draws are those of ``poisson``, tree by tree."""
+    df = spark.range(500).select("id", F.col("id").cast("string").alias("name"))
+    drawn = df.select(O.draws(9, ["id", "name"], 5).alias("d"))
+    assert drawn._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    alone = df.select(F.array(*[O.poisson(F.lit(5), F.lit(t), F.col("id"), F.col("name")) for t in range(9)]).alias("d"))
+    assert drawn.collect() == alone.collect()
