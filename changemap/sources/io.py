@@ -7,14 +7,17 @@ columns jobs select on, so a read touches only its own folders.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changemap import params as P
 from changemap.functions.scalars import area_at_least
+from changemap.operators import ledger
 from changemap.operators.labels import combine, default_columns
+from changemap.session import settings
 
 LABEL_SCHEMA = (
     "label_id string, site_id bigint, aoi string, damage int, ep int, date date, lon double, lat double,"
@@ -189,20 +192,28 @@ def _replace(df: DataFrame, path: str, *cols: str) -> None:
 
 # kinds of the columns that name folders; inference would make numbers of quadkeys
 FOLDERS = {
-    "aoi": "string", "orbit": "int", "strategy": "string", "split": "string", "win": "int", "tile": "string", "adm2_id": "string",
+    "aoi": "string", "orbit": "int", "strategy": "string", "split": "string", "batch": "int", "win": "int", "tile": "string", "adm2_id": "string",
 }
 
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:
     """A table with the kinds of ``FOLDERS`` for the columns that its folders name. The
-    other columns have the kinds that the files state."""
-    found = spark.read.parquet(path)
-    inside = {f.name for f in spark.read.option("recursiveFileLookup", True).parquet(path).schema.fields}
-    named = {f.name: FOLDERS[f.name] for f in found.schema.fields if f.name in FOLDERS and f.name not in inside}
-    if not named:
-        return found
-    fields = [f"`{f.name}` {named.get(f.name, f.dataType.simpleString())}" for f in found.schema.fields]
-    return spark.read.schema(", ".join(fields)).parquet(path)
+    other columns have the kinds that the files state.
+
+    Folders are listed once, in a few tasks: by default Spark deals out a task a folder.
+    """
+    few = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism)}
+    with settings(spark, few | {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
+        found = spark.read.parquet(path)
+    row = found.select("_metadata.file_path").first()
+    inside = set(spark.read.parquet(unquote(row[0]) if row else found.inputFiles()[0]).columns)
+    named = [c for c in found.columns if c not in inside]  # strings, for now
+    if set(named) <= set(FOLDERS):
+        return found.withColumns({c: F.col(c).cast(FOLDERS[c]) for c in named if FOLDERS[c] != "string"})
+    with settings(spark, few):
+        kinds = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema.fields}
+        kinds |= {c: FOLDERS[c] for c in named if c in FOLDERS}
+        return spark.read.schema(", ".join(f"`{c}` {k}" for c, k in kinds.items())).parquet(path)
 
 
 def write_obs(obs: DataFrame, path: str) -> None:
@@ -268,26 +279,52 @@ def write_pixel_features(pixels: DataFrame, path: str) -> None:
     _replace(pixels, path, "win", "orbit", "tile")
 
 
+# the record of written tiles beside predictions, and how many replaced tiles are sent to every task
+HELD, FEW_TILES = "_held", 50_000
+
+
 def write_pixel_preds(preds: DataFrame, path: str) -> None:
-    """Byte predictions; only the (window, tile) folders present in ``preds`` are replaced."""
-    (
-        _clustered(preds, "win", "tile")
-        .sortWithinPartitions("win", "tile", "row", "col")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("win", "tile").parquet(path)
-    )
+    """Byte predictions; only the (window, tile) pairs present in ``preds`` are replaced. One writer at a time.
+
+    A write is a batch: a folder with one folder a window, so that files grow with the rows and not
+    with the tiles, and behind it a record of its tiles. Without its record a batch is not there.
+    """
+    held = ledger.finished(preds.sparkSession, path, HELD)
+    last = held.agg(F.max("batch")).first()[0] if held is not None else None
+    batch = 0 if last is None else last + 1
+    out = f"{path}/batch={batch}"
+    rows = _clustered(preds, "win").sortWithinPartitions("win", "tile", "row", "col")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("win").parquet(out)
+    ledger.commit(preds.sparkSession.read.schema(preds.schema).parquet(out), path, batch, ("win", "tile"), HELD)
+
+
+def _newest(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of recorded batches whose tile no later batch holds."""
+    batches = [r[0] for r in held.select("batch").distinct().collect()]  # as many as there were writes
+    last = F.max("batch").over(Window.partitionBy("win", "tile"))
+    old = held.select("batch", "win", "tile").withColumn("_last", last).where(F.col("batch") < F.col("_last")).drop("_last")
+    rows, n = rows.where(F.col("batch").isin(batches)), old.count()
+    if n:
+        old = F.broadcast(old) if n <= FEW_TILES else old.hint("merge")
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("batch", "win", "tile")]
+        rows = rows.alias("x").join(old.alias("y"), same, "left_anti")
+    return rows.drop("batch")
 
 
 def read_preds(spark: SparkSession, path: str, compute=None) -> DataFrame:
-    """Saved predictions, or the result of ``compute()`` saved first when absent."""
+    """Saved predictions, or the result of ``compute()`` saved first when absent. Of a tile written
+    more than once by ``write_pixel_preds`` the last rows count."""
     from pyspark.errors import AnalysisException
 
     try:
-        return read_folders(spark, path)
+        rows = read_folders(spark, path)
     except AnalysisException as e:
         if compute is None or e.getCondition() not in ABSENT:
             raise
         compute().write.mode("overwrite").parquet(path)
-        return read_folders(spark, path)
+        rows = read_folders(spark, path)
+    held = ledger.finished(spark, path, HELD)
+    return rows if held is None else _newest(rows, held)
 
 
 def write_labels_by_aoi(labels: DataFrame, path: str) -> None:

@@ -197,3 +197,43 @@ def test_only_an_absent_path_is_computed(spark, tmp_path):
     assert io.read_preds(spark, path, lambda: spark.range(9).toDF("pred")).count() == 3
     with pytest.raises(Exception):
         io.read_preds(spark, f"{tmp_path}/none")
+
+
+def test_files_of_predictions_follow_rows_and_not_tiles(spark, tmp_path):
+    """Two thousand tiles in two windows: few files, one listing that is not a task a folder, and whole replacement of tiles."""
+    path = f"{tmp_path}/p"
+    rows = spark.range(4000).select(
+        F.lpad((F.col("id") % 2000).cast("string"), 6, "0").alias("tile"), (F.floor(F.col("id") / 2000) + 1).cast("int").alias("win"),
+        F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(7).alias("pred"))
+    io.write_pixel_preds(rows.unionByName(rows.withColumn("col", F.lit(1))), path)
+    io.write_pixel_preds(rows.where("win = 2 AND tile < '000003'").withColumn("pred", F.lit(1)), path)
+    out = io.read_preds(spark, path)
+    assert len(out.inputFiles()) < 100
+    assert dict(out.dtypes) == {"tile": "string", "win": "int", "row": "int", "col": "int", "pred": "int"}
+    got = {(r.pred, r.n) for r in out.groupBy("pred").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(7, 8000 - 6), (1, 3)}
+    assert out.where("win = 2 AND tile = '000002'").count() == 1
+
+
+def test_a_write_without_its_record_is_not_there(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/p"
+    first = spark.createDataFrame([("1", 1, 0, 0, 5), (None, 1, 0, 0, 4)], "tile string, win int, row int, col int, pred int")
+    io.write_pixel_preds(first, path)
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(ledger, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        io.write_pixel_preds(first.withColumn("pred", F.lit(9)), path)
+    assert {r.pred for r in io.read_preds(spark, path).collect()} == {4, 5}
+    io.write_pixel_preds(first.withColumn("pred", F.lit(8)), path)
+    io.write_pixel_preds(first.limit(0), path)
+    assert [r.pred for r in io.read_preds(spark, path).collect()] == [8, 8]
+
+
+def test_folders_of_any_name_and_with_spaces(spark, tmp_path):
+    rows = spark.createDataFrame([("MIDDLE EAST", 7, "007", 1)], "aoi string, year int, tile string, v int")
+    rows.write.partitionBy("aoi", "year", "tile").parquet(f"{tmp_path}/a")
+    rows.write.partitionBy("aoi").parquet(f"{tmp_path}/b")
+    for name in "ab":
+        out = io.read_folders(spark, f"{tmp_path}/{name}")
+        assert out.select("aoi", "year", "tile", "v").first() == ("MIDDLE EAST", 7, "007", 1)
+        assert dict(out.dtypes)["year"] == "int"
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
