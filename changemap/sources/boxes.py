@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 MANIFEST = "_bounds"
 ROWS_A_FILE = 2_000_000
+MAX_FILES = 4_000  # of a table: with a file every so many rows, shuffle blocks would grow with the square of the rows
 _BITS = 16
 
 
@@ -36,13 +37,14 @@ def z_order(x: Column, y: Column, extent: Sequence[float]) -> Column:
 def write_boxed(df: DataFrame, path: str, bounds: Sequence[str], rows_a_file: int = ROWS_A_FILE) -> None:
     """Write ``df`` along the Z-curve of the middles of its rows' boxes, and the manifest.
 
-    ``bounds`` names the columns minx, miny, maxx and maxy; for points the same two twice.
+    ``bounds`` names the columns minx, miny, maxx and maxy; for points the same two twice. Files hold
+    about ``rows_a_file`` rows, more where the table would have over ``MAX_FILES`` of them.
     """
     minx, miny, maxx, maxy = (F.col(c) for c in bounds)
     x, y = (minx + maxx) / 2, (miny + maxy) / 2
     *extent, n = df.agg(F.min(x), F.min(y), F.max(x), F.max(y), F.count(F.lit(1))).first()
     z = z_order(x, y, [v if v is not None else 0.0 for v in extent])
-    files = max(1, -(-n // rows_a_file))
+    files = min(max(1, -(-n // rows_a_file)), MAX_FILES)
     df.withColumn("_z", z).repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").parquet(path)
     written = df.sparkSession.read.parquet(path)
     covers = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(

@@ -56,3 +56,16 @@ def test_the_curve_keeps_neighbours_together(spark):
     cells = spark.range(16).select((F.col("id") % 4).cast("double").alias("x"), F.floor(F.col("id") / 4).cast("double").alias("y"))
     order = [(r.x, r.y) for r in cells.orderBy(boxes.z_order(F.col("x"), F.col("y"), (0, 0, 4, 4))).collect()]
     assert order[:8] == [(0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (3, 0), (2, 1), (3, 1)]
+
+
+def test_files_of_large_tables_hold_more_rows(spark, table, monkeypatch):
+    """The number of files is bounded, and every row is still there."""
+    monkeypatch.setattr(boxes, "MAX_FILES", 40)
+    df, _ = table
+    path = work_path(spark, "boxed")
+    boxes.write_boxed(df, path, B, 100)
+    assert spark.read.parquet(f"{path}/{boxes.MANIFEST}").agg(F.count("*"), F.sum("n")).first() == (40, 40_000)
+    box = (450, 450, 550, 550)
+    assert len(boxes.files_in_box(spark, path, box)) < 10
+    met = df.where((F.col("maxx") >= 450) & (F.col("maxy") >= 450) & (F.col("minx") <= 550) & (F.col("miny") <= 550))
+    assert boxes.read_boxed(spark, path, box, B).exceptAll(met).count() == 0 == met.exceptAll(boxes.read_boxed(spark, path, box, B)).count()
