@@ -30,6 +30,7 @@ BINS = 256
 LOCAL_ROWS = 100_000  # rows of a node that grows on in one task
 BUFFER = 1 << 21  # counts that a task holds before it compacts or sends them
 ACCURACY = 100_000  # of the quantiles between bins
+DENSE = 8  # cells a key up to which keys are counted in place
 MAX_DEPTH = 60  # a node's number is its path from the root, in a long
 CUTS = "tree int, node long, feature int, bin int, gain double, bound double, " + ", ".join(
     f"{side}_{what}" for side in ("left", "right") for what in ("n long", "w0 double", "w1 double"))
@@ -166,23 +167,39 @@ def best_cuts(group: np.ndarray, feature: np.ndarray, n: np.ndarray, w0: np.ndar
     return place, gain, [v[place] for v in left], [v[place] for v in right]
 
 
+def _cells(key: np.ndarray, w0: np.ndarray, w1: np.ndarray, size: int, whole: bool):
+    """The cells below ``size`` that the rows' keys (rows, tried) name, in order, with their rows and weights.
+
+    Whole numbers add up to the same in any order, so where keys are dense they are counted and not sorted.
+    """
+    mtry = key.shape[1]
+    if whole and size <= DENSE * key.size:
+        key = key.ravel()
+        n = np.bincount(key, minlength=size)
+        cell = np.flatnonzero(n)
+        return cell, n[cell], *(np.bincount(key, np.repeat(v, mtry), size)[cell] for v in (w0, w1))
+    order = np.argsort(key, axis=None, kind="stable")
+    key, row = key.ravel()[order], order // mtry
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.diff(np.append(first, len(key))), np.add.reduceat(w0[row], first), np.add.reduceat(w1[row], first)
+
+
 def subtree(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, node: int, bound: float, s: Settings) -> dict[str, np.ndarray]:
     """All cuts below (and at) ``node`` that can be among the tree's best; ``w`` holds rows' weights."""
     features = bins.shape[1]
     mtry, out = s.tried(features), []
     at, nodes, bounds = np.zeros(len(y), np.int64), np.array([node], np.int64), np.array([bound])
     w0, w1 = np.where(y == 0, w, 0.0), np.where(y == 1, w, 0.0)
+    whole = bool((w == np.floor(w)).all())
     while len(nodes):
-        tried = tried_at(nodes, tree, s.seed, features, mtry)[at]
-        key = (at[:, None] * features + tried) << 8 | np.take_along_axis(bins, tried, axis=1)
-        order = np.argsort(key, axis=None, kind="stable")
-        key, row = key.ravel()[order], order // mtry
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        cell = key[first]
-        counts = np.diff(np.append(first, len(key))), np.add.reduceat(w0[row], first), np.add.reduceat(w1[row], first)
-        group = (cell >> 8) // features
-        place, gain, left, right = best_cuts(group, (cell >> 8) % features, *counts, s.min_leaf)
-        who, feature, cut = group[place], (cell[place] >> 8) % features, cell[place] & 255
+        tried = tried_at(nodes, tree, s.seed, features, mtry)
+        # tried features are in order, so their places order cells as their numbers would
+        key = (at[:, None] * mtry + np.arange(mtry)) << 8 | np.take_along_axis(bins, tried[at], axis=1)
+        cell, *counts = _cells(key, w0, w1, len(nodes) * mtry << 8, whole)
+        group = (cell >> 8) // mtry
+        place, gain, left, right = best_cuts(group, (cell >> 8) % mtry, *counts, s.min_leaf)
+        who, cut = group[place], cell[place] & 255
+        feature = tried[who, (cell[place] >> 8) % mtry]
         bounds = np.minimum(bounds[who], gain)
         out.append(dict(zip(CUT_COLUMNS, (np.full(len(who), tree), nodes[who], feature, cut, gain, bounds, *left, *right))))
         # rows move on with the children that may be cut again
@@ -318,6 +335,7 @@ def _counts(plan: list[tuple[Settings, int, int]], trees: list[Tree], opened: _O
                 continue
             bins, times = _bytes(batch.column("bins")), _bytes(batch.column("draws"))
             y, w = batch.column("y").to_numpy(), batch.column("w").to_numpy()
+            whole = bool((w == np.floor(w)).all())
             for t, (s, number, _) in enumerate(plan):
                 in_bag = np.flatnonzero(times[:, number])
                 slot = _landed(trees[t], bins[in_bag], slots[t])
@@ -325,11 +343,13 @@ def _counts(plan: list[tuple[Settings, int, int]], trees: list[Tree], opened: _O
                 if not len(rows):
                     continue
                 here, place = np.unique(slot, return_inverse=True)
-                tried = tried_at(opened.node[here], number, s.seed, features, s.tried(features))[place]
-                key = ((slot[:, None] * features + tried) << 8 | np.take_along_axis(bins[rows], tried, axis=1)).ravel()
-                weight = np.repeat(times[rows, number] * w[rows], tried.shape[1])
-                one = np.repeat(y[rows], tried.shape[1]) == 1
-                parts.append(compact([(key, np.ones(len(key), np.int64), np.where(one, 0.0, weight), np.where(one, weight, 0.0))]))
+                tried = tried_at(opened.node[here], number, s.seed, features, s.tried(features))
+                mtry = tried.shape[1]
+                key = (place[:, None] * mtry + np.arange(mtry)) << 8 | np.take_along_axis(bins[rows], tried[place], axis=1)
+                weight, one = times[rows, number] * w[rows], y[rows] == 1
+                cell, *sums = _cells(key, np.where(one, 0.0, weight), np.where(one, weight, 0.0), len(here) * mtry << 8, whole)
+                node, nth = np.divmod(cell >> 8, mtry)
+                parts.append(((here[node] * features + tried[node, nth]) << 8 | cell & 255, *sums))
                 size += len(parts[-1][0])
                 if size > BUFFER:
                     parts = [compact(parts)]

@@ -140,3 +140,20 @@ def test_a_row_is_hashed_once_a_tree(spark):
     assert drawn._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
     alone = df.select(F.array(*[O.poisson(F.lit(5), F.lit(t), F.col("id"), F.col("name")) for t in range(9)]).alias("d"))
     assert drawn.collect() == alone.collect()
+
+
+def test_dense_cells_are_counted_and_equal_sorted_ones():
+    """No sort where keys are dense and weights whole; the same cells and sums to the last bit."""
+    r = np.random.default_rng(4)
+    key = r.integers(0, 3 * 2 << 8, (5000, 2))
+    w = r.poisson(1, 5000).astype(float)
+    w0, w1 = np.where(key[:, 0] % 3 == 0, 0.0, w), np.where(key[:, 0] % 3 == 0, w, 0.0)
+    kinds, argsort = [], np.argsort
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(np, "argsort", lambda *a, **k: kinds.append(1) or argsort(*a, **k))
+        dense = O._cells(key, w0, w1, 3 * 2 << 8, True)
+        assert not kinds
+        plain = O._cells(key, w0, w1, 3 * 2 << 8, False)
+        assert len(kinds) == 1
+        assert len(O._cells(key, w0, w1, 1 << 40, True)[0]) == len(dense[0])  # sparse keys are sorted
+    assert all(np.array_equal(a, b) for a, b in zip(dense, plain))
