@@ -115,6 +115,7 @@ def split_features(
         s, on = splits.random_per_aoi(features, seed), ("aoi", "site_id")
     else:
         raise ValueError(f"unknown split strategy {strategy!r}")
+    s = materialise(s, "split")  # a row a site, joined by every pass over either part
     return splits.apply(features, s, "train", on), splits.apply(features, s, "test", on)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from changemap.plans import catalog, q_io, q_model
+from changemap.plans import catalog, q_io, q_model, run
 from changemap.session import work_path
 from changemap.sources import io
 
@@ -84,3 +84,15 @@ def test_pixel_partitions_are_not_merged_before_they_grow(spark, sf):
     assert "REPARTITION_BY_NUM" in plan(X.pixels(spark, sf))
     df = q_io.io_pixels_in_box(spark, "/root/testdata/sf0.01")
     assert len(df.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("strategy", ["random_all", "random_per_aoi"])
+def test_random_split_is_drawn_once(spark, strategy):
+    """Passes over the parts read the sites' split; none ranks them again. A null area is in no part of its own."""
+    f = spark.range(400).select((F.col("id") % 40).alias("site_id"), F.when(F.col("id") % 40 != 7, F.col("id") % 4).alias("aoi"), "id")
+    parts = run.split_features(f, strategy)
+    rows = [{(r.site_id, r.id) for r in p.collect()} for p in parts]
+    assert not rows[0] & rows[1] and not {s for s, _ in rows[0]} & {s for s, _ in rows[1]}
+    assert len(rows[0] | rows[1]) == (400 if strategy == "random_all" else 390)
+    for p in parts:
+        assert "Window" not in plan(p)
