@@ -82,11 +82,18 @@ def draws(trees: int, row_key: Sequence[str], seed: int = 0) -> Column:
 # --- rows as bytes ------------------------------------------------------------------
 
 
-def edges(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[list[float]]:
-    """Upper ends of all bins but the last, per feature: quantiles over all rows, in one pass."""
+def quantiles(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
+    """``feature, ends``: quantiles over all rows, a row a feature by its place, in one pass. Features are
+    groups, so that the sketches of all tasks are not merged in one."""
     at = F.array(*[F.lit((i + 1) / bins) for i in range(bins - 1)])  # made once: a call to the JVM a number
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at, ACCURACY) for c in features]).first()
-    return [sorted(set(v or [])) for v in row]
+    values = df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in features])).alias("feature", "value"))
+    return values.groupBy("feature").agg(F.percentile_approx("value", at, ACCURACY).alias("ends"))
+
+
+def edges(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[list[float]]:
+    """Upper ends of all bins but the last, per feature."""
+    found = dict(quantiles(df, features, bins).collect())
+    return [sorted(set(found.get(i) or [])) for i in range(len(features))]
 
 
 def _to_bins(x: np.ndarray, ends: Sequence[Sequence[float]]) -> np.ndarray:

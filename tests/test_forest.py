@@ -157,3 +157,14 @@ def test_dense_cells_are_counted_and_equal_sorted_ones():
         assert len(kinds) == 1
         assert len(O._cells(key, w0, w1, 1 << 40, True)[0]) == len(dense[0])  # sparse keys are sorted
     assert all(np.array_equal(a, b) for a, b in zip(dense, plain))
+
+
+def test_bin_ends_are_quantiles_and_not_merged_in_one_task(spark, table):
+    """A row a feature: each feature's sketches meet in a task of their own."""
+    full = table.na.drop(subset=NAMES)
+    got = O.edges(full, NAMES, 16)
+    for c, ends in zip(NAMES, got):
+        v = sorted(r[0] for r in full.select(c).collect())
+        assert ends == sorted({v[max(0, -(-(i + 1) * len(v) // 16) - 1)] for i in range(15)})
+    assert O.edges(full.where("id < 0"), NAMES) == [[], [], [], []]
+    assert "SinglePartition" not in O.quantiles(full, NAMES)._jdf.queryExecution().executedPlan().toString()
