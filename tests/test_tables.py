@@ -245,3 +245,16 @@ def test_focal_mean_of_many_small_scenes_and_large_ones(spark, monkeypatch):
     assert got.keys() == want.keys()
     assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
     assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_reading_is_smoothed_in_a_scene_of_its_day(spark, sf, monkeypatch):
+    from changemap.plans import fixtures, q_features
+
+    seen, mean = [], features.focal_mean
+    monkeypatch.setattr(features, "focal_mean", lambda px, values, k, keys: seen.append((px, keys)) or mean(px, values, k, keys))
+    out = q_features.features_from_pixels_3x3(spark, sf)
+    ((px, keys),) = seen
+    o = fixtures.obs(spark, sf)
+    assert px.count() == o.count() and px.select("obs_date").distinct().count() == o.select("obs_date").distinct().count()
+    assert px.groupBy("row", "col", *keys).count().where("count > 1").isEmpty()
+    assert not out.where("vv_post_3x3_kurtosis IS NOT NULL").isEmpty()  # four scenes and more in a window
