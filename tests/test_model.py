@@ -62,6 +62,12 @@ def test_incomplete_rows_get_null_and_missing_columns_raise(feats):
         model.score_or_null(m, feats.drop(COLS[0]), COLS)
 
 
+def test_rows_are_read_once_to_be_scored_or_null(feats):
+    s = model.score_or_null(R.train(feats, CFG), feats, COLS)
+    text = s._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan parquet") == 1 and text.count("ArrowEvalPython") == 1
+
+
 def test_load_or_fit_reuses_the_saved_model(spark, feats):
     path = work_path(spark, "m")
     a = R.train(feats, CFG, path=path)

@@ -172,6 +172,21 @@ def test_late_orbits_and_second_halves_are_scored_and_repeats_are_not(spark):
     assert {(r.orbit, r.n) for r in ledger.finished(spark, out).groupBy("orbit").agg(F.sum("n").alias("n")).collect()} == {(87, 4), (94, 4)}
 
 
+def test_state_is_one_key_a_cell_on_disk_and_not_rewritten(spark):
+    src, out, ck = (work_path(spark, n) for n in ("src", "out", "ck"))
+    rows = [(1, 1, 87, r, c, 0.5) for r in range(50) for c in range(8)]  # one tile that keeps growing
+    for part in (rows[:200], [*rows[200:], rows[0]], rows):
+        _arrive(spark, src, part)
+        s = stream.pixel_source(spark, src, TILE_ROWS)
+        query = stream.score_stream(s, lambda b: b.withColumn("prob", F.col("v")), out, ck, tasks=2)
+        query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]
+        assert state["operatorName"] == "dedupe" and state["numShufflePartitions"] == 2
+        assert any("rocksdb" in k for k in state["customMetrics"])
+    assert state["numRowsUpdated"] == 0 and _keys(spark, out) == sorted(r[:5] for r in rows)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_tiles_of_another_run_are_skipped_by_orbit(spark):
     src, out, ck, other = (work_path(spark, n) for n in ("src", "out", "ck", "other"))
     rows = [(1, t, orbit, 0, 0, 0.5) for t in (1, 2) for orbit in (87, 94)]
