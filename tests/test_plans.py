@@ -86,6 +86,13 @@ def test_pixel_partitions_are_not_merged_before_they_grow(spark, sf):
     assert len(df.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_pixel_partitions_grow_with_the_table(spark, sf, monkeypatch):
+    from changemap.plans import fixtures as X
+
+    monkeypatch.setattr(X, "SHIPMENTS_A_TASK", 500)
+    assert "hashpartitioning(row#" in plan(X.pixels(spark, sf)) and ", 12), REPARTITION_BY_NUM" in plan(X.pixels(spark, sf))
+
+
 @pytest.mark.parametrize("strategy", ["random_all", "random_per_aoi"])
 def test_random_split_is_drawn_once(spark, strategy):
     """Passes over the parts read the sites' split; none ranks them again. A null area is in no part of its own."""

@@ -168,6 +168,18 @@ def test_focal_mean_shuffles_once_and_mosaic_sorts_nothing(spark):
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
 
 
+def test_mosaic_sends_no_cell_by_its_tile(spark):
+    """Ranks are broadcast whatever size Spark expects of them: tiles are few, and all cells of one would meet in a task."""
+    from changemap.session import settings
+
+    t = spark.createDataFrame([(1, 0, c, x, v) for c in range(4) for x, v in (("a", 5), ("b", c % 2 * 9))], "win int, row int, col int, tile string, pred int")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        out = pixels.mosaic(t)
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        assert {(r.col, r.pred) for r in out.collect()} == {(0, 5), (1, 9), (2, 5), (3, 9)}
+
+
 def test_mosaic_of_negative_values_missing_names_and_wide_kinds(spark):
     rows = [("b", 0, -5), ("a", 0, 7), ("a", 1, -3), ("c", 1, 0), (None, 2, 4), ("b", 3, None), ("b", 4, -(2**31)), ("a", 4, 2**31 - 1)]
     p = spark.createDataFrame(rows, "tile string, col int, pred int")
