@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ class Settings:
     max_leaves: int = 10_000
     max_depth: int = MAX_DEPTH
     seed: int = 0
+    first: int = 0  # number of the first tree; a tree follows from its number, not from how many there are
 
     def tried(self, features: int) -> int:
         named = {"sqrt": int(np.sqrt(features)), "log2": int(np.log2(features)), "all": features}
@@ -72,10 +73,10 @@ def poisson(*key: Column) -> Column:
     return _drawn(_uniform(*key))
 
 
-def draws(trees: int, row_key: Sequence[str], seed: int = 0) -> Column:
-    """How often a row is drawn for each tree. The hash is an array of its own: what a function
+def draws(trees: int, row_key: Sequence[str], seed: int = 0, first: int = 0) -> Column:
+    """How often a row is drawn for each tree from number ``first`` on. The hash is an array of its own: what a function
     over arrays uses several times it also works out several times."""
-    u = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(F.lit(seed), t, *[F.col(c) for c in row_key]))
+    u = F.transform(F.sequence(F.lit(first), F.lit(first + trees - 1)), lambda t: _uniform(F.lit(seed), t, *[F.col(c) for c in row_key]))
     return F.transform(u, _drawn)
 
 
@@ -350,7 +351,7 @@ def _counts(plan: list[tuple[Settings, int, int]], trees: list[Tree], opened: _O
                 if not len(rows):
                     continue
                 here, place = np.unique(slot, return_inverse=True)
-                tried = tried_at(opened.node[here], number, s.seed, features, s.tried(features))
+                tried = tried_at(opened.node[here], s.first + number, s.seed, features, s.tried(features))
                 mtry = tried.shape[1]
                 key = (place[:, None] * mtry + np.arange(mtry)) << 8 | np.take_along_axis(bins[rows], tried[place], axis=1)
                 weight, one = times[rows, number] * w[rows], y[rows] == 1
@@ -501,7 +502,7 @@ def _grown(plan, features: int):
         tree, node, bound = (table.column(c)[0].as_py() for c in ("tree", "node", "bound"))
         y, w, bins = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("y", np.uint8), ("w", np.float64), ("bins", np.uint8)))
         s, number, _ = plan[tree]
-        cuts = subtree(bins.reshape(-1, features), y, w, number, node, bound, s) | {"tree": None}
+        cuts = subtree(bins.reshape(-1, features), y, w, s.first + number, node, bound, s) | {"tree": None}
         cuts["tree"] = np.full(len(cuts["node"]), tree)
         return pa.table([pa.array(cuts[c]).cast(k) for c, k in zip(CUT_COLUMNS, _KINDS)], names=CUT_COLUMNS)
 
@@ -602,16 +603,28 @@ def fit_binned(rows: DataFrame, features: Sequence[str], ends, forests: Sequence
 
 def fit(train: DataFrame, features: Sequence[str], settings: Settings = Settings(), label: str = "label", weight: str | None = None,
         row_key: Sequence[str] | None = None, drawn: Column | None = None, bins: Sequence[Sequence[float]] | None = None,
-        local_rows: int | None = None) -> Forest:
+        local_rows: int | None = None, start: Forest | None = None) -> Forest:
     """One forest on the chosen columns.
 
     A row's draws come from the hash of its ``row_key`` (by default, of all columns), or
     from ``drawn``, an array with a number a tree. ``bins`` gives the bin ends instead of quantiles. Rows with a
-    missing feature are left out; without rows the forest says 0.
+    missing feature are left out; without rows the forest says 0. ``start``, a smaller forest of the same rows,
+    features and settings, is grown on: its trees and bin ends are taken as they are.
     """
     full = train.na.drop(subset=list(features))
+    if start is not None:
+        n = len(start.trees)
+        if list(features) != start.features or n > settings.trees:
+            raise ValueError("a forest is grown on from a smaller one on the same features")
+        if n == settings.trees:
+            return start
+        rest = replace(settings, trees=settings.trees - n, first=settings.first + n)
+        drawn = None if drawn is None else F.slice(drawn, n + 1, rest.trees)
+        more = fit(train, features, rest, label, weight, row_key, drawn, start.ends, local_rows)
+        cuts = {c: np.concatenate((v, more.cuts[c] + n if c == "tree" else more.cuts[c])) for c, v in start.cuts.items()}
+        return Forest(start.features, start.ends, [*start.shares, *more.shares], cuts)
     ends = [list(e) for e in bins] if bins is not None else edges(full, features)
-    drawn = draws(settings.trees, row_key or train.columns, settings.seed) if drawn is None else drawn
+    drawn = draws(settings.trees, row_key or train.columns, settings.seed, settings.first) if drawn is None else drawn
     rows = binned(full, features, ends, label, drawn, weight)
     return next(fit_binned(rows, features, ends, [settings], local_rows))
 

@@ -60,15 +60,17 @@ def fit(
     balanced: bool = False,
     weight: str | None = None,
     row_key: Sequence[str] | None = None,
+    start: forest.Forest | None = None,
     **args,
 ) -> PipelineModel | forest.Forest:
-    """Train on the chosen columns; rows with a missing feature are left out."""
+    """Train on the chosen columns; rows with a missing feature are left out. ``start`` is a smaller
+    forest of the same rows and settings to grow on."""
     data = train.na.drop(subset=list(features))
     key = list(row_key or train.columns)
     if balanced:
         data, weight = balanced_weights(data, label, "_w"), "_w"
     if name == "random_forest":
-        return forest.fit(data, features, forest_settings(seed, **args), label, weight, key)
+        return forest.fit(data, features, forest_settings(seed, **args), label, weight, key, start=start)
     clf = classifier(name, seed, label, **args)
     if weight:
         clf = clf.setWeightCol(weight)

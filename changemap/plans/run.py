@@ -22,15 +22,25 @@ def columns(cfg: P.RunConfig) -> list[str]:
     return feature_names(cfg.bands, cfg.reducers, (cfg.extract_window,))
 
 
-def train(train_df: DataFrame, cfg: P.RunConfig, test_df: DataFrame | None = None, path: str | None = None, force: bool = False):
-    """Fit by configuration; ``train_on_all`` adds the test rows to the training set."""
+def train(train_df: DataFrame, cfg: P.RunConfig, test_df: DataFrame | None = None, path: str | None = None, force: bool = False, start=None):
+    """Fit by configuration; ``train_on_all`` adds the test rows to the training set. ``start`` is a smaller forest
+    of the same configuration to grow on."""
     data = train_df
     if cfg.train_on_all and test_df is not None:
         data = train_df.unionByName(test_df, allowMissingColumns=True)
     args = {"name": cfg.model_name, "seed": cfg.seed, "balanced": cfg.balanced, **cfg.model_args}
     if path:
         return model.load_or_fit(path, data, columns(cfg), force, **args)
-    return model.fit(data, columns(cfg), **args)
+    return model.fit(data, columns(cfg), start=start, **args)
+
+
+def _grows_on(before: P.RunConfig, cfg: P.RunConfig) -> bool:
+    """Whether ``cfg`` is ``before`` with more trees: the trees of a forest are the first of a larger one."""
+    def other(c):
+        return replace(c, model_args={**c.model_args, "numTrees": None})
+
+    counts = [c.model_args.get("numTrees") for c in (before, cfg)]
+    return cfg.model_name == "random_forest" and None not in counts and counts[0] <= counts[1] and other(before) == other(cfg)
 
 
 def predictions(
@@ -77,10 +87,13 @@ def ablate(
     change_date: dt.date = P.CHANGE_DATE,
 ) -> DataFrame:
     """``setting, threshold`` and metrics for each configuration; all thresholds of
-    a configuration come from one pass over its predictions."""
-    out = None
+    a configuration come from one pass over its predictions. A forest that differs from the one before
+    by more trees only is grown on from it."""
+    out = fitted = before = None
     for name, cfg in settings.items():
-        preds = materialise(predictions(train(train_df, cfg), test_df, cfg), "preds")
+        start = fitted if before is not None and _grows_on(before, cfg) else None
+        fitted, before = train(train_df, cfg, None, None, False, start), cfg
+        preds = materialise(predictions(fitted, test_df, cfg), "preds")
         dated = sites.join(preds.select("site_id").distinct(), "site_id", "left_semi")
         one = evaluate.sweep(preds, dated, spans, cfg.thresholds, change_date).select(F.lit(name).alias("setting"), "*")
         out = one if out is None else out.unionByName(one)

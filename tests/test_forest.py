@@ -168,3 +168,16 @@ def test_bin_ends_are_quantiles_and_not_merged_in_one_task(spark, table):
         assert ends == sorted({v[max(0, -(-(i + 1) * len(v) // 16) - 1)] for i in range(15)})
     assert O.edges(full.where("id < 0"), NAMES) == [[], [], [], []]
     assert "SinglePartition" not in O.quantiles(full, NAMES)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_forest_grown_on_equals_one_grown_at_once(table):
+    few, many = O.Settings(3, 2, 2, max_leaves=9, seed=5), O.Settings(7, 2, 2, max_leaves=9, seed=5)
+    small = O.fit(table, NAMES, few, row_key=["id"])
+    whole = O.fit(table, NAMES, many, row_key=["id"], bins=small.ends)
+    for local in (100_000, 40):
+        grown = O.fit(table, NAMES, many, row_key=["id"], local_rows=local, start=small)
+        assert len(grown.trees) == 7 and grown.shares == whole.shares and grown.ends == whole.ends
+        for a, b in zip(grown.trees, whole.trees):
+            assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("feature", "bin", "node", "value"))
+    with pytest.raises(ValueError):
+        O.fit(table, NAMES, few, row_key=["id"], start=whole)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changemap import params as P
-from changemap.operators import model
+from changemap.operators import forest, model
 from changemap.plans import run as R
 from changemap.session import materialise, work_path
 from changemap.sources import io
@@ -138,3 +138,15 @@ def test_ablation_settings():
     assert list(R.band_settings(base)) == ["VV only", "VH only", "VV+VH"]
     assert [len(c.reducers) for c in R.reducer_settings(base).values()] == [2, 3, 5, 6, 7]
     assert [c.model_args["numTrees"] for c in R.tree_settings(base).values()] == [10, 25, 50, 75, 100]
+
+
+def test_ablation_of_tree_counts_grows_every_tree_once(spark, feats, monkeypatch):
+    grown, grow = [], forest.grow
+    monkeypatch.setattr(forest, "grow", lambda rows, n, forests, *a: grown.append([(s.first, s.trees) for s in forests]) or grow(rows, n, forests, *a))
+    tr, te = R.split_features(feats, "aoi", ["a"], ["b"])
+    sites = feats.select("site_id").distinct().withColumn("date", F.lit(D(2020, 3, 1)))
+    R.ablate(tr, te, sites, SPANS, R.tree_settings(CFG, (2, 5)), D(2020, 3, 1))
+    assert grown == [[(0, 2)], [(2, 3)]]
+    grown.clear()
+    R.ablate(tr, te, sites, SPANS, R.reducer_settings(CFG), D(2020, 3, 1))  # other features: nothing to grow on but equal ones
+    assert {g[0][0] for g in grown} == {0}
