@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +16,44 @@ from changemap import params as P
 from changemap.functions.names import split_name
 from changemap.operators import forest
 
-# The ML library's forest (no leaf limit), for vectors that are columns already;
-# ``fit`` grows the forests of ``operators.forest``.
-_FOREST = {"numTrees": 50, "minInstancesPerNode": 3, "maxDepth": 30, "maxBins": 64}
+_FOREST = {"numTrees": 50, "minInstancesPerNode": 3}
 # the names of the study's settings
 _SETTINGS = {"numTrees": "trees", "minInstancesPerNode": "min_leaf", "maxLeaves": "max_leaves", "maxDepth": "max_depth", "featureSubsetStrategy": "mtry"}
 
 
+@dataclass
+class VectorForest:
+    """A forest of ``operators.forest`` on the vectors of ``features``, with the ``fit`` and ``transform`` of the ML
+    library's classifiers. That library's own forest has no leaf limit and is built on the driver, whose
+    memory then grows with the rows."""
+
+    settings: forest.Settings
+    label: str = "label"
+    fitted: forest.Forest | None = None
+
+    def fit(self, df: DataFrame) -> VectorForest:
+        x = vector_to_array("features")
+        size = df.select(F.size(x)).first()
+        if size is None:
+            raise ValueError("no rows to train on")
+        names = [f"x{i}" for i in range(size[0])]
+        key = F.xxhash64(*[x if c == "features" else F.col(c) for c in df.columns])
+        rows = df.select(key.alias("_key"), F.col(self.label).alias("_y"), x.alias("_x"))
+        rows = rows.select("_key", "_y", *[F.col("_x")[i].alias(n) for i, n in enumerate(names)])
+        return replace(self, fitted=forest.fit(rows, names, self.settings, "_y", row_key=["_key"]))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = df.withColumn("_x", vector_to_array("features"))
+        values = F.struct(*[F.col("_x")[i].alias(n) for i, n in enumerate(self.fitted.features)])
+        p = x.withColumn("_p", self.fitted.probability(values))
+        return p.withColumn("probability", array_to_vector(F.array(1 - F.col("_p"), F.col("_p")))).drop("_x", "_p")
+
+
 def classifier(name: str = "random_forest", seed: int = 0, label: str = "label", **args):
     """Untrained classifier by name; unknown names raise."""
     common = {"featuresCol": "features", "labelCol": label}
     if name == "random_forest":
-        return RandomForestClassifier(**common, seed=seed, **{**_FOREST, **args})
+        return VectorForest(forest_settings(seed, **{**_FOREST, **args}), label)
     if name == "svm":
         return LinearSVC(**common, **args)
     if name == "gradient_trees":

@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from changemap import params as P
@@ -150,3 +152,16 @@ def test_ablation_of_tree_counts_grows_every_tree_once(spark, feats, monkeypatch
     grown.clear()
     R.ablate(tr, te, sites, SPANS, R.reducer_settings(CFG), D(2020, 3, 1))  # other features: nothing to grow on but equal ones
     assert {g[0][0] for g in grown} == {0}
+
+
+def test_forests_on_vectors_have_the_studys_leaf_limit(spark):
+    df = spark.range(400).select("id", array_to_vector(F.array(*[(F.col("id") * k % 101).cast("double") for k in (7, 13, 29)])).alias("features"),
+                                 (F.col("id") * 7 % 101 > 50).cast("double").alias("label"))
+    clf = model.classifier("random_forest", 0, numTrees=5, minInstancesPerNode=3)
+    assert (clf.settings.max_leaves, clf.settings.trees, clf.settings.min_leaf) == (10_000, 5, 3)
+    m = clf.fit(df)
+    said = m.transform(df).select("label", vector_to_array("probability").alias("p")).collect()
+    assert len(said) == 400 and all(abs(sum(r.p) - 1) < 1e-12 for r in said)
+    assert sum((r.p[1] > 0.5) == (r.label == 1) for r in said) > 380
+    small = model.classifier("random_forest", 0, numTrees=5, maxLeaves=4).fit(df)
+    assert max(np.bincount(small.fitted.cuts["tree"])) <= 3
